@@ -1,7 +1,8 @@
 """Connected components as a DataFrame loop: alternate large-star and small-star steps.
 
-Every step is an aggregation and a join on it, so a vertex with very many neighbours is pre-aggregated and its join can be
-split.  Each round is written to the shared folder, which cuts the lineage.
+Every step is an aggregation and a join with what it gave.  A vertex with very many neighbours is pre-aggregated; the
+aggregate is written before the join, so that both sides are plain exchanges and a hot vertex can be split.  Each round is
+written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from .common import stored
 
 def _large_star(e: DataFrame) -> DataFrame:
     near = e.select(F.col("p").alias("u"), F.col("c").alias("v")).union(e.select("c", "p"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return near.join(least, "u").filter("v > u").select(F.col("m").alias("p"), F.col("v").alias("c"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("c").agg(F.min("p").alias("m"))
+    least = stored(e.groupBy("c").agg(F.min("p").alias("m")), "least")
     moved = e.join(least, "c").filter("p <> m").select(F.col("m").alias("p"), F.col("p").alias("c"))
     return moved.union(least.select(F.col("m").alias("p"), "c"))
 
@@ -36,7 +37,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        e = stored(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        e = stored(_large_star(e).distinct(), "edges")
+        e = stored(_small_star(e).distinct(), "edges")
         now = _state(e)
         if now == state:
             break

@@ -136,19 +136,40 @@ def _search(items: list[tuple[int, str]], budget: float, min_chars: int):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, item_id, distance and match_end of every document that holds an item within its error budget."""
-    small_batches(docs.sparkSession)
+def _clean(items: list[tuple[int, str]], budget: float, min_chars: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, budget, min_chars)
+        for b in batches:
+            yield b.filter(pa.array([not (t and matcher.find(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The test items in normal form, in blocks of bounded size."""
     items = benchmark.select("item_id", "text").filter("text is not null")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
-    texts = docs.select("doc_id", "text")
-    found = []
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        held = [(r.item_id, normal(r.text)) for r in rows]
-        found.append(texts.mapInArrow(_search(held, budget, min_chars), "doc_id long, item_id long, distance long, match_end long"))
-    return reduce(DataFrame.union, found)
+        yield [(r.item_id, normal(r.text)) for r in rows]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs``, all columns, without the rows that hold an item; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    schema, at = docs.schema, docs.columns.index("text")
+    for held in item_blocks(benchmark):
+        docs = docs.mapInArrow(_clean(held, budget, min_chars, at), schema)
+    return docs
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, item_id, distance and match_end of every document that holds an item within its error budget."""
+    small_batches(docs.sparkSession)
+    texts = docs.select("doc_id", "text")
+    schema = "doc_id long, item_id long, distance long, match_end long"
+    return reduce(DataFrame.union, [texts.mapInArrow(_search(held, budget, min_chars), schema) for held in item_blocks(benchmark)])
 
 
 ship(__name__)

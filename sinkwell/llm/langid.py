@@ -139,24 +139,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     return Model(langs, np.array(owner), np.vstack(out), idf, np.maximum(low - MARGIN, low * 0.25))
 
 
+class Nearest:
+    """A fitted model, ready to classify texts."""
+
+    def __init__(self, model: Model | None):
+        self.model, self.letters = model, letter_table()
+        self.table = np.ascontiguousarray(model.centroids.T) if model else None
+
+    def __call__(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, cosine, and whether the text is rejected."""
+        model = self.model
+        at, count, n = grams(text, self.letters) if text and model else ((), (), 0)
+        if not n:
+            return UNKNOWN, 0.0, True
+        cosine = _vector(at, count, model.idf).astype(np.float32) @ self.table[at]
+        best = int(np.argmax(cosine))
+        far = bool(cosine[best] < model.floor[np.searchsorted(LENGTHS, n, "right")])
+        return model.langs[model.owner[best]], float(min(1.0, max(0.0, cosine[best]))), far
+
+
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
-        table = np.ascontiguousarray(model.centroids.T) if model else None
+        nearest = Nearest(model)
         for b in batches:
-            lang, score, rejected = [], [], []
-            for text in b.column(2).to_pylist():
-                at, count, n = grams(text, letters) if text and model else ((), (), 0)
-                if not n:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    rejected.append(True)
-                    continue
-                cosine = _vector(at, count, model.idf).astype(np.float32) @ table[at]
-                best = int(np.argmax(cosine))
-                lang.append(model.langs[model.owner[best]])
-                score.append(float(min(1.0, max(0.0, cosine[best]))))
-                rejected.append(bool(cosine[best] < model.floor[np.searchsorted(LENGTHS, n, "right")]))
+            found = [nearest(t) for t in b.column(2).to_pylist()]
+            lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return run
@@ -169,4 +176,21 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def _known(model: Model | None, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = Nearest(model)
+        for b in batches:
+            yield b.filter(pa.array([not nearest(t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs``, all columns, without the rows that are rejected; without a model, only without those that have no letter."""
+    small_batches(docs.sparkSession)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return docs.mapInArrow(_known(model, docs.columns.index("text")), docs.schema)
+
+
 ship(__name__)

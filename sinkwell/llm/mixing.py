@@ -102,3 +102,12 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3
     taken = spans.join(schedule(spark, plan), ["_s", "block"]).groupBy("_id").agg(F.sum(words).alias("taken"))
     out = placed.join(taken, "_id", "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_h")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """``docs``, all columns, each as often as the mix takes it (a part counts as once); what it leaves out is gone."""
+    seed = how.get("seed", 17)
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    often = mix(docs, **how).filter("taken > 0").groupBy("_h").agg(F.sum(copies).cast("int").alias("_copies"))
+    rows = docs.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed))).join(often, "_h").dropDuplicates(["_h"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

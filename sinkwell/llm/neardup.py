@@ -5,7 +5,7 @@ has a signature of 40 MinHash values of 14 bits.  The distance of two signatures
 grows with 1 - similarity.  The signature is cut into 8 chunks of 5 values.  Two signatures at a distance of at most
 ``DISTANCE`` = 15 must have a chunk with at most one differing value (pigeonhole: 8 chunks with two each make 16), so a row is
 indexed under every chunk with every single value left out, 40 keys, and no pair under the threshold is lost.  A pair with a
-similarity of 0.85 shares none of these keys with a probability of 6e-7.
+similarity of 0.85 shares none of these keys with a probability of 6e-7, one of 0.8 with 2e-5.
 
 Rows under a key are not paired with one another.  The least id of a key is its leader; the distinct (leader, id) rows say who
 meets whom.  A leader's group is cut into blocks of bounded size and every two blocks meet in one task, which compares all
@@ -198,7 +198,8 @@ def candidate_members(classes: DataFrame) -> DataFrame:
     """lead, part and id of the ids that have another one within the signature threshold in their block pair."""
     index = classes.select("id", "n_shingles", "sig")
     keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    leaders = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # stored, so that both sides of the join below are plain exchanges and a hot key can be split
+    leaders = stored(keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
     members = stored(keys.join(leaders, "key").select("lead", "id").distinct(), "members")
     rows = block_pairs(members.join(index, "id"))
     rows = rows.select("lead", "part", "id", "sig").repartition("lead", "part").sortWithinPartitions("lead", "part")
@@ -214,7 +215,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = 3, percent: int = 85) -
     return rows.mapInArrow(_confirm(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``.
 
     Documents are linked where 100 * intersection >= percent * union of their sets of ``k``-word shingles.
