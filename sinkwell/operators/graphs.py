@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """AGG-27: distinct neighbours in and out."""
@@ -17,13 +19,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """GRF-1/GRF-10: breadth-first distance of every vertex reached from ``seeds`` (id); one join per level, no path is kept."""
-    hops = edges.select("src", "dst").distinct()
+    """GRF-1/GRF-10: breadth-first distance of every vertex reached from ``seeds`` (id); one join per level, no path is kept.
+
+    Edges and every level are written once, so a level never runs the ones before it again; the search ends with an empty level.
+    """
+    hops = stored(edges.select("src", "dst").distinct(), "hops")
     seen = seeds.select("id").distinct().withColumn("distance", F.lit(0))
     front = seen
     for d in range(1, depth + 1):
         new = front.join(hops, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        front = new.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(d))
+        front = stored(new.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(d)), "level")
+        if front.isEmpty():
+            break
         seen = seen.union(front)
     return seen
 

@@ -1,6 +1,6 @@
 """Every registered query of the library, without the subpackage ``llm``."""
 
-from . import ranked  # noqa: F401  (importing registers)
+from . import ranked, related  # noqa: F401  (importing registers)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
