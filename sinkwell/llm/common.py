@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.stored import stored  # noqa: F401  (the operators take both from here)
+from ..sources.tables import table  # noqa: F401
+
 #: The white space of the contracts: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
 #: Java regular expression of one word under that white space.
@@ -20,34 +21,11 @@ LONG_MIN = -(2**63)
 LONG_MAX = 2**63 - 1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="sinkwell-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that a lost executor cannot undo."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def unit(h: Column) -> Column:
     """A 64-bit hash as a number from 0 to 1; keeps the order of the hashes."""
     return h.cast("double") / F.lit(2.0**64) + F.lit(0.5)

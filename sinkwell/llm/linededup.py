@@ -7,8 +7,8 @@ found in at least ``min_docs`` documents loses its lines everywhere but in the l
 bitmap per document: 64 lines a word, words without a dropped line left out.
 
 Defined cases: a null or empty text is one empty line; a null doc_id is one document below every other; rows that share a
-doc_id count as one document, and each text among them gets a bitmap of its own; extra columns are ignored by the bitmaps
-and passed through by ``apply_bitmaps``.
+doc_id count as one document, and each text among them gets a bitmap of its own; an empty table gives no rows; extra columns
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,14 +69,14 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with n_lines, n_dropped, words and kept_text."""
+    """doc_id, n_lines, n_dropped, words (the bitmap) and kept_text of every row."""
     kept = F.filter(
         _lines(F.col("text")),
         lambda line, i: F.coalesce(F.getbit(F.try_element_at("words", F.shiftright(i, 6)), i.bitwiseAND(63)), F.lit(0)) == 0,
     )
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
-        _document(docs)
+        _document(docs.select("doc_id", "text"))
         .join(bitmaps, ["_doc", "_tid"], "left")
         .withColumns(
             {
@@ -85,7 +85,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 "kept_text": F.when(F.col("words").isNull(), text).otherwise(F.array_join(kept, "\n")),
             }
         )
-        .drop("_doc", "_tid")
+        .drop("_doc", "_tid", "text")
     )
 
 

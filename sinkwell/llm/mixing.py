@@ -109,5 +109,6 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     seed = how.get("seed", 17)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     often = mix(docs, **how).filter("taken > 0").groupBy("_h").agg(F.sum(copies).cast("int").alias("_copies"))
-    rows = docs.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed))).join(often, "_h").dropDuplicates(["_h"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
+    rows = rows.join(often, "_h").dropDuplicates(["_h"])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

@@ -11,7 +11,7 @@ What reaches the driver is bounded by the parameters: the sample (about ``n_shar
 one row per range.
 
 Defined cases: a null text has size 1 and a null text_crc32; rows with equal doc_id and text take neighbouring slots; an empty
-table gives no rows; extra columns pass through.
+table gives no rows; extra columns pass through, but for those named like a result, which it replaces.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def fit_splitters(docs: DataFrame, n_shards: int = 8, ranges_per_shard: int = 25
 
 def assign(docs: DataFrame, cut: Splitters) -> DataFrame:
     """``docs`` with size, shard and _range: a function of each row alone, no shuffle."""
-    keyed = _keys(docs).withColumns({"size": record_size(), "_range": range_of(cut.bounds)})
+    keyed = _keys(docs.drop("size", "shard", "slot", "_range")).withColumns({"size": record_size(), "_range": range_of(cut.bounds)})
     return keyed.withColumn("shard", F.element_at(array_of(cut.shard, "int"), F.col("_range") + 1))
 
 
