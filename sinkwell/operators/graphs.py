@@ -102,3 +102,67 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def repeated_ids(nodes: DataFrame) -> DataFrame:
     """VAL-1: ids that occur more than once."""
     return nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def best_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """GRF-12: per vertex the shortest path from a seed, ties to the least path; partial if any step is.
+
+    ``edges`` has src, dst and status.  Only the best path of each vertex goes on to the next level.
+    """
+    hops = stored(edges.select("src", "dst", "status").distinct(), "hops")
+    front = seeds.select("id", F.array("id").alias("path"), F.lit(False).alias("partial"))
+    seen = front
+    for _ in range(depth):
+        step = front.join(hops, F.col("id") == F.col("src"))
+        step = step.select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"), (F.col("partial") | (F.col("status") == "partial")).alias("partial"))
+        best = step.groupBy("id").agg(F.min(F.struct("path", "partial")).alias("b")).select("id", "b.*")
+        front = stored(best.join(seen.select("id"), "id", "left_anti"), "level")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
+
+
+def unique_paths(paths: DataFrame) -> DataFrame:
+    """GRF-13: ends that exactly one path leads to."""
+    end = F.element_at("path", -1)
+    return paths.groupBy(end.alias("id")).agg(F.count("*").alias("n"), F.first("path").alias("path")).filter("n = 1").drop("n")
+
+
+def bounded_slices(edges: DataFrame, seeds: DataFrame, priority, limit: int, depth: int) -> DataFrame:
+    """GRF-2: for every seed, a slice of at most ``limit`` vertices, nearest level first, within a level by priority and id.
+
+    All seeds advance together.  The budget of a seed is what its earlier levels have left; ``truncated`` tells that some
+    vertex did not fit.  Where the budget does not bind this is the set of all vertices within ``depth``.
+    """
+    hops = stored(edges.select("src", "dst").distinct(), "hops")
+    seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance"), F.lit(False).alias("truncated"))
+    front = seen
+    for d in range(1, depth + 1):
+        used = seen.groupBy("seed").agg(F.count("*").alias("used"))
+        new = front.join(hops, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        new = new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").join(used, "seed")
+        own = W.partitionBy("seed")
+        new = new.withColumn("k", F.row_number().over(own.orderBy(F.desc(priority), "id"))).withColumn("all", F.count("*").over(own))
+        kept = new.filter(F.col("k") + F.col("used") <= limit)
+        front = stored(kept.select("seed", "id", F.lit(d).alias("distance"), (F.col("all") + F.col("used") > limit).alias("truncated")), "level")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
+
+
+def field_transitions(states: DataFrame, relations: DataFrame) -> DataFrame:
+    """GRF-15: one step of a field along relations: preserve, extend by a segment, drop a segment, or stop with a reason.
+
+    ``states`` has id and field (array of segments); ``relations`` has src, dst, kind and segment.
+    """
+    rows = states.join(relations, F.col("id") == F.col("src"))
+    kind, field = F.col("kind"), F.col("field")
+    after = (
+        F.when(kind.isin("alias", "argument", "return"), field)
+        .when(kind == "wrap", F.concat(F.array("segment"), field))
+        .when((kind == "read") & (F.try_element_at(field, F.lit(1)) == F.col("segment")), F.slice(field, 2, F.greatest(F.size(field) - 1, F.lit(0))))
+    )
+    reason = F.when(after.isNull(), F.when(kind == "read", "field-mismatch").otherwise("unsupported-relation"))
+    return rows.select("src", F.col("dst").alias("id"), after.alias("field"), reason.alias("stop"))
