@@ -2,8 +2,8 @@
 
 A text becomes a vector of hashed character n-grams (1 to 3 letters, lower case, all else a space) with weights
 (1 + log tf) * idf, of length 1.  Each language has several centroids, found by spherical k-means over its own texts; a
-text gets the language of the nearest centroid by cosine.  It is rejected where its distance is beyond the farthest that the
-fitting texts of a similar length were from their centroid, with a margin.
+text gets the language of the nearest centroid by cosine.  It is rejected where its distance is beyond ``DISTANCE``, or, if the
+fitting texts of a similar length were so far themselves, under half their least cosine.
 
 The classifier is fitted on at most about ``sample`` labelled rows (a documented bound), drawn by hash of the id; the counts
 of n-grams of these, not their texts, reach the driver.
@@ -29,9 +29,10 @@ from .groups import ship
 DIMENSIONS = 1 << 14
 SAMPLE = 3000
 CENTROIDS = 3
-#: Lengths in letters that part texts into classes for the rejection, and the margin beyond the farthest fitting text.
+#: Lengths in letters that part texts into classes for the rejection.
 LENGTHS = (20, 60, 200)
-MARGIN = 0.15
+#: Texts in other scripts, and strings of letters without a language, are farther than this from every centroid.
+DISTANCE = 0.94
 UNKNOWN = "und"
 
 
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         out.append(c)
         owner += [n] * len(c)
     low = np.minimum.accumulate(low[::-1])[::-1]  # a shorter text may be as far as any longer one
-    return Model(langs, np.array(owner), np.vstack(out), idf, np.maximum(low - MARGIN, low * 0.25))
+    return Model(langs, np.array(owner), np.vstack(out), idf, np.minimum(1 - DISTANCE, low / 2))
 
 
 class Nearest:
