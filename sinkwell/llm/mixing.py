@@ -14,10 +14,10 @@ documents of their own; an empty table, or one without words, gives targets and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, array_of, running_total, search, stored, unit
+from .common import WORD, array_of, running_total, search, stored
 
 #: 2**32 / phi, odd: multiples of it modulo 2**32 are golden-ratio points.  A fixed value.
 GOLDEN = 2654435769
@@ -45,9 +45,15 @@ def fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     return out
 
 
+def order_hash(seed: int) -> Column:
+    """60 bits that put the documents of a source in their order; equal only for equal id and text."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
+    return docs.select("doc_id", "source", words.alias("size"), order_hash(seed).alias("_h"))
 
 
 def source_plan(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> dict:
@@ -91,7 +97,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3
     plan = source_plan(rows, cycle, float(max_repeat))
     buckets = max(1, -(-plan["n"] // ROWS_PER_BUCKET))
     known = rows.join(F.broadcast(_plan_rows(spark, plan)).withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    known = known.withColumn("_bucket", F.least(F.floor(unit(F.col("_h")) * buckets), F.lit(buckets - 1)))
+    known = known.withColumn("_bucket", F.least(F.floor(F.col("_h") / F.lit(2.0**60) * buckets), F.lit(buckets - 1)))
     placed = running_total(known, "_s", "_bucket", ["_h", "doc_id"], F.col("size"), "_start")
     placed = placed.withColumn("_id", F.struct("_h", "doc_id", "_start"))
     b = plan["block"]
@@ -109,6 +115,6 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     seed = how.get("seed", 17)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     often = mix(docs, **how).filter("taken > 0").groupBy("_h").agg(F.sum(copies).cast("int").alias("_copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_h"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), order_hash(seed).alias("_h"))
     rows = rows.join(often, "_h").dropDuplicates(["_h"])
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

@@ -129,4 +129,55 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(length('<|turn|>') + length('<|body|>') + length('<|end|>') + length(regexp_replace(role || text, '([\\<\[])', '\1x', 'g')))::BIGINT AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op10_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) AS i FROM d GROUP BY source
+        ), w AS (
+            SELECT *, (i - 1) % 3 + 1 AS weight, sum(source_size) OVER ()::BIGINT AS total FROM s
+        ), c AS (  -- by the least cap per weight first: a source is capped if what its predecessors leave would give it more
+            SELECT *, 3 * source_size < (total - coalesce(sum(3 * source_size) OVER o, 0))::DOUBLE
+                      / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) * weight AS capped
+            FROM w WINDOW o AS (ORDER BY 3 * source_size::DOUBLE / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (
+            SELECT *, CASE WHEN capped THEN (3 * source_size)::DOUBLE
+                           ELSE (total - coalesce(sum(3 * source_size) FILTER (WHERE capped) OVER (), 0))::DOUBLE / sum(weight) FILTER (WHERE NOT capped) OVER () * weight END AS target,
+                   greatest(1, least(4096, total // 65536), -((-total) // 2147483648)) AS block
+            FROM c
+        ), k AS (
+            SELECT *, sum(target) OVER (ORDER BY i) / total AS upto, coalesce(sum(target) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS since FROM t
+        ), points AS (
+            SELECT ((x * 2654435769) % 4294967296 + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS p FROM (SELECT unnest(range(0, (SELECT ceil(any_value(total) / any_value(block)::DOUBLE)::BIGINT FROM t))) AS x)
+        ), slots AS (
+            SELECT i, count(*) AS n FROM points JOIN k ON p >= since AND p < upto GROUP BY i
+        ), placed AS (
+            SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
+        )
+        SELECT p.doc_id, p.source, p.size, k.source_size, k.target,
+               (greatest(0, least(start + size, coalesce(n, 0) * block) - start)
+                + greatest(0, least(source_size + start + size, coalesce(n, 0) * block) - source_size - start)
+                + greatest(0, least(2 * source_size + start + size, coalesce(n, 0) * block) - 2 * source_size - start))::BIGINT AS taken
+        FROM placed p JOIN k ON p.source IS NOT DISTINCT FROM k.source LEFT JOIN slots ON slots.i = k.i""",
+    "op9_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), i AS (
+            SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM i
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ), walk(id, root) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT b, root FROM walk JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) ON a = id
+        ), c AS (
+            SELECT id, min(root) AS root FROM walk GROUP BY id
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
 }
