@@ -200,7 +200,8 @@ def candidate_members(classes: DataFrame) -> DataFrame:
     keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
     # stored, so that both sides of the join below are plain exchanges and a hot key can be split
     leaders = stored(keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
-    members = stored(keys.join(leaders, "key").select("lead", "id").distinct(), "members")
+    # both sides grow with the corpus: the same shuffled join at every size
+    members = stored(keys.join(leaders.hint("merge"), "key").select("lead", "id").distinct(), "members")
     rows = block_pairs(members.join(index, "id"))
     rows = rows.select("lead", "part", "id", "sig").repartition("lead", "part").sortWithinPartitions("lead", "part")
     return rows.mapInArrow(_near, "lead long, part int, id long")
@@ -211,7 +212,7 @@ def links(docs: DataFrame, sketched: DataFrame, k: int = 3, percent: int = 85) -
     classes = sketched.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     met = stored(candidate_members(stored(classes.drop("f1", "f2"), "classes")).distinct(), "met")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    rows = met.join(texts, "id").select("lead", "part", "id", "text").repartition("lead", "part").sortWithinPartitions("lead", "part")
+    rows = met.hint("merge").join(texts, "id").select("lead", "part", "id", "text").repartition("lead", "part").sortWithinPartitions("lead", "part")
     return rows.mapInArrow(_confirm(k, percent), "a long, b long")
 
 
