@@ -2,11 +2,11 @@
 
 Vectors are cut into blocks; each block of queries meets each block of candidates in one task (a stated query set against all
 rows, in blocks).  There every dimension is a list of the candidates sorted by value, which a query reads from the top for a
-positive component and from the bottom for a negative one.  All lists are read to the same depth.  A candidate's lower bound
-takes the least value of every list where it has not been seen, its upper bound the value at the list's front.  Candidates
-whose upper bound is under the k-th best lower bound go, and so do all unseen ones once the sum of the fronts is under it;
-reading stops when no outsider can qualify.  The scores of the finalists are then resolved, and the best k of each block are
-merged over the blocks.
+positive component and from the bottom for a negative one.  All lists are read to the same depth, in strides.  A candidate's
+lower bound takes the least value of every list where it has not been seen, its upper bound the value at the list's front.
+Candidates whose upper bound is under the k-th best lower bound cannot qualify; reading stops when few are left, at the latest
+at the ends of the lists.  The scores of the finalists are then resolved, and the best k of each block are merged over the
+blocks.
 
 Components are integers, floor(scale * x).  Defined cases: rows with a null id, a null vector, or a null or non-finite component
 take no part; shorter vectors count as padded with zeros; equal scores go to the smaller id; repeated candidate rows are
@@ -27,7 +27,9 @@ from pyspark.sql import Window as W
 from .groups import ship, sorted_groups
 
 SCALE = 256.0
-CANDIDATE_BLOCK, QUERY_BLOCK = 2048, 2048
+CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 4096
+#: Queries whose bounds are held at once.
+QUERY_STEP = 128
 
 
 def quantized(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -51,46 +53,70 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 class Lists:
-    """The sorted lists of a block of candidates."""
+    """The sorted lists of a block of candidates.
+
+    Lists are read for many queries at once: to a depth t, a list has shown every value beyond the one at its front, so bounds
+    for all queries and candidates are products of the queries' positive and negative parts with clipped values.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], vectors[order]
-        n, d = self.x.shape
-        by_value = np.argsort(-self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, by_value, axis=0)
-        self.rank = np.empty((n, d), np.int32)
-        np.put_along_axis(self.rank, by_value, np.arange(n, dtype=np.int32)[:, None], axis=0)
-
-    def best(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best candidates whose id is not ``own``; ties to the smaller id."""
-        n = len(self.ids)
-        lists = q < 0
-        alive = np.flatnonzero(self.ids != own)
-        if not len(alive):
-            return self.ids[:0], np.zeros(0, np.int64)
-        place = np.where(lists[None, :], n - 1 - self.rank[alive], self.rank[alive])
-        gain = self.x[alive] * q
-        last = np.where(lists, self.sorted[0], self.sorted[-1]) * q
-        depth = max(1, min(n, 32))
-        while True:
-            at = n - 1 if depth >= n else depth
-            front = np.where(lists, self.sorted[n - 1 - at], self.sorted[at]) * q
-            seen = place < depth
-            known = np.where(seen, gain, 0).sum(axis=1)
-            low = known + np.where(seen, 0, last).sum(axis=1)
-            high = known + np.where(seen, 0, front).sum(axis=1)
-            if len(alive) > k:
-                bar = np.partition(low, len(low) - k)[len(low) - k]
-                stay = high >= bar
-                alive, place, gain = alive[stay], place[stay], gain[stay]
-            if len(alive) <= k or depth >= n:
-                break
-            depth = min(n, depth * 2)
-        score = gain.sum(axis=1)  # the finalists' remaining entries are read
+        self.sorted = -np.sort(-self.x, axis=0)
+
+    def _type(self, q: np.ndarray) -> type:
+        """The fastest type in which every sum is exact."""
+        reach = float(np.abs(q).sum(axis=1).max(initial=0)) * float(np.abs(self.x).max(initial=0))
+        return np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64
+
+    def _resolve(self, q: np.ndarray, alive: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Final scores of the finalists: their remaining entries are read."""
+        score = self.x[alive] @ q
         order = np.lexsort((alive, -score))[:k]
         return self.ids[alive[order]], score[order]
 
+    def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the query, ids, scores) of the k best candidates whose id is not its own; ties to the smaller id."""
+        n = len(self.ids)
+        first, last = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        kind = self._type(queries)
+        open_ = np.arange(len(queries))
+        for depth in (n // 8, n // 2):
+            if not 0 < depth < n or n <= k + 1 or not len(open_):
+                continue
+            front, back = self.sorted[depth], self.sorted[n - 1 - depth]
+            above, below = np.maximum(self.x, front).astype(kind), np.minimum(self.x, back).astype(kind)
+            shown = np.where(self.x > front, self.x, self.sorted[-1]).astype(kind), np.where(self.x < back, self.x, self.sorted[0]).astype(kind)
+            still = []
+            for at in range(0, len(open_), QUERY_STEP):
+                some = open_[at : at + QUERY_STEP]
+                up, down = np.maximum(queries[some], 0).astype(kind), np.minimum(queries[some], 0).astype(kind)
+                high = up @ above.T + down @ below.T
+                low = up @ shown[0].T + down @ shown[1].T
+                least = low.min() - 1
+                for row, i in enumerate(some):
+                    low[row, first[i] : last[i]] = least
+                bar = np.partition(low, n - k, axis=1)[:, n - k]
+                alive = high >= bar[:, None]
+                for row, i in enumerate(some):
+                    alive[row, first[i] : last[i]] = False
+                few = alive.sum(axis=1) <= max(4 * k, n // 16)
+                for row in np.flatnonzero(few):
+                    yield int(some[row]), *self._resolve(queries[some[row]], np.flatnonzero(alive[row]), k)
+                still.append(some[~few])
+            open_ = np.concatenate(still)
+        x = self.x.astype(kind)
+        for at in range(0, len(open_), QUERY_STEP):  # the lists are read to their ends
+            some = open_[at : at + QUERY_STEP]
+            score = queries[some].astype(kind) @ x.T
+            for row, i in enumerate(some):
+                line = score[row]
+                mine = np.concatenate([np.arange(first[i]), np.arange(last[i], n)])
+                if len(mine) > 4 * k:
+                    bar = np.partition(line[mine], len(mine) - k)[len(mine) - k]
+                    mine = mine[line[mine] >= bar]
+                yield int(i), *self._resolve(queries[i], mine, k)
+
 
 def _search(k: int):
     names = ["q_key", "query_id", "vec_id", "score"]
@@ -104,9 +130,9 @@ def _search(k: int):
                 continue
             lists = Lists(ids[~query], x[~query])
             out = []
-            for i in np.flatnonzero(query):
-                found, score = lists.best(ids[i], x[i], k)
-                out.append((np.full(len(found), keys[i]), np.full(len(found), ids[i]), found, score))
+            own, key = ids[query], keys[query]
+            for i, found, score in lists.best(own, x[query], k):
+                out.append((np.full(len(found), key[i]), np.full(len(found), own[i]), found, score))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names)
 
     return run

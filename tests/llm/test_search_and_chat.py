@@ -48,8 +48,21 @@ def test_lists_stop_early():
     x = rng.integers(-20, 20, (2000, 8))
     x[7] = 255
     lists = topk.Lists(np.arange(2000), x.astype(np.int64))
-    ids, score = lists.best(-1, np.full(8, 100, np.int64), 1)
-    assert ids.tolist() == [7] and score.tolist() == [255 * 800]
+    found = list(lists.best(np.array([-1, 7]), np.full((2, 8), 100, np.int64), 1))
+    assert {i: s.tolist() for i, _, s in found}[0] == [255 * 800]
+    assert {i: ids.tolist() for i, ids, _ in found}[0] == [7] and {i: ids.tolist() for i, ids, _ in found}[1] != [7]
+
+
+def test_lists_are_exact_for_any_magnitude():
+    rng = np.random.default_rng(2)
+    for scale in (3, 3000, 10**7, 10**8):
+        x = rng.integers(-scale, scale, (300, 6)).astype(np.int64)
+        q = rng.integers(-scale, scale, (9, 6)).astype(np.int64)
+        got = {i: (ids.tolist(), s.tolist()) for i, ids, s in topk.Lists(np.arange(300), x).best(np.arange(9), q, 5)}
+        for i in range(9):
+            s = x @ q[i]
+            order = [j for j in np.lexsort((np.arange(300), -s)) if j != i][:5]
+            assert got[i] == (order, s[order].tolist())
 
 
 def turns_of(spark, rows, extra=False):
