@@ -58,7 +58,8 @@ def repeated_lines(hashes: DataFrame, min_docs: int = 3) -> DataFrame:
 def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Per document that loses lines: ``words``, the 64-line words (index, mask of dropped lines) of its bitmap."""
     hashes = stored(line_hashes(docs, min_chars), "lines")
-    repeated = repeated_lines(hashes, min_docs)
+    # stored, so that both sides of the join are plain exchanges and a hot line can be split
+    repeated = stored(repeated_lines(hashes, min_docs), "repeated")
     lost = hashes.join(repeated, ["h1", "h2"]).filter(F.col("_doc") != F.col("keep_doc"))
     words = lost.groupBy("_doc", "_tid", F.shiftright("pos", 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("pos").bitwiseAND(63))).alias("mask")
