@@ -1,6 +1,6 @@
 """Every registered query of the library, without the subpackage ``llm``."""
 
-from . import markup, ranked, related, views  # noqa: F401  (importing registers)
+from . import evidence, markup, ranked, related, views  # noqa: F401  (importing registers)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
