@@ -25,7 +25,7 @@ MAX_SOURCES = 100_000
 MAX_BLOCK = 4096
 #: The schedule has at least so many slots where there are as many words, and at most 2**31.
 MIN_SLOTS = 65_536
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1000
 
 
 def fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
