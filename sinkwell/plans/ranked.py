@@ -168,8 +168,9 @@ def agg10(spark, sf):
     place = F.row_number().over(W.orderBy(F.desc("b"), "file"))
     best = top.withColumn("k", place).agg(F.sum(F.when(F.col("k") <= 5, F.col("b"))).alias("b5"), F.sum("b").alias("b9"))
     sums = per.agg(F.count("*").alias("file_count"), F.sum("n").alias("sink_count"), F.sum("b").alias("total"), F.count_if(F.col("n") >= 4).alias("hot4_plus"))
-    return sums.join(F.broadcast(best), F.lit(True)).select(
-        "file_count", "sink_count", F.round("total", 6).alias("total_burden"), F.round(F.col("b5") / F.col("total"), 6).alias("top5"), F.round(F.col("b9") / F.col("total"), 6).alias("top9"), "hot4_plus"
+    b5, b9 = best.select("b5").scalar(), best.select("b9").scalar()
+    return sums.select(
+        "file_count", "sink_count", F.round("total", 6).alias("total_burden"), F.round(b5 / F.col("total"), 6).alias("top5"), F.round(b9 / F.col("total"), 6).alias("top9"), "hot4_plus"
     )
 
 
@@ -208,7 +209,7 @@ def agg14(spark, sf):
     r = M.Report(spark, sf)
     a = r.sinks.agg(F.count("*").alias("sinks"), F.count_distinct("file").alias("files"))
     b = r.roots.agg(F.count_distinct("label").alias("roots"), F.count("*").alias("root_links"))
-    return a.join(F.broadcast(b), F.lit(True))
+    return a.select("sinks", "files", b.select("roots").scalar().alias("roots"), b.select("root_links").scalar().alias("root_links"))
 
 
 @query(

@@ -38,8 +38,8 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
 def regressed(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """One row: the worst burdens and whether the current one is larger (missing ones count as 0)."""
     now = current.agg(F.coalesce(F.max("burden"), F.lit(0.0)).alias("current_worst"))
-    before = baseline.filter("seq = 0").agg(F.coalesce(F.max("burden"), F.lit(0.0)).alias("baseline_worst"))
-    return now.join(F.broadcast(before), F.lit(True)).withColumn("regressed", F.col("current_worst") > F.col("baseline_worst"))
+    before = baseline.filter("seq = 0").agg(F.coalesce(F.max("burden"), F.lit(0.0))).scalar()
+    return now.withColumn("baseline_worst", before).withColumn("regressed", F.col("current_worst") > F.col("baseline_worst"))
 
 
 def read_policy(spark: SparkSession, text: str) -> tuple[list[str], list[str]]:
