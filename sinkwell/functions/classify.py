@@ -166,3 +166,32 @@ def boundary_verdict(pass_through, depth, scalar, in_sources, callers, type_leak
 
 def type_leak(type_text: Column) -> Column:
     return F.coalesce(type_text.rlike(r"\b(any|unknown)\b") | (F.size(F.split(type_text, r"\|")) > 4), F.lit(False))
+
+
+#: Step kinds of a scalar helper, and names that mark a layout helper or a scalar read.  Fixed values.
+SCALAR_KINDS = ("call", "alias", "property-read", "operation", "literal", "conditional", "source", "parameter")
+LAYOUT = r"^(compute|build|create|derive)[A-Z].*(Layout|Geometry|Bounds|Scale|Chart)"
+LAYOUT_FIELD = r"(?i)^(inner|outer|width|height|left|right|top|bottom|x|y|scale|padding|domain|range)"
+SCALAR_NAME = r"(?i)^(has|show|is|axis|tick|title|label|inner|outer|start|end|x|y|width|height|left|right|top|bottom)"
+
+
+def background(steps: Column, metrics) -> Column:
+    """CLS-3: penalty of a background finding, else null.  ``steps`` is an array of (kind, label) in order; ``metrics`` names columns."""
+    clean = (metrics("impossible_defense_count") == 0) & (metrics("defensive_operation_count") == 0) & (metrics("unknown_edge_count") == 0)
+    helper = F.try_element_at(F.filter(steps, lambda s: (s["kind"] == "call") & s["label"].rlike(LAYOUT)), F.lit(1))
+    field = F.try_element_at(F.filter(steps, lambda s: s["kind"] == "property-read"), F.lit(-1))["label"]
+    healthy = clean & helper.isNotNull() & F.coalesce(field.rlike(LAYOUT_FIELD), F.lit(False))
+    text = F.array_join(F.transform(steps, lambda s: s["label"]), " ")
+    final = F.try_element_at(F.filter(steps, lambda s: s["kind"].isin("call", "alias", "property-read")), F.lit(-1))
+    name = F.regexp_replace(final["label"], r"\(\)$", "")
+    scalar = (
+        clean
+        & (metrics("maximum_path_depth") <= 7)
+        & (metrics("representation_churn") == 0)
+        & (metrics("pack_risk") == 0)
+        & (metrics("merge_width") <= 3)
+        & F.forall(steps, lambda s: s["kind"].isin(*SCALAR_KINDS))
+        & text.rlike(r"[-+*/%<>!]|\b(Math|max|min|round|floor|ceil)\b")
+        & F.coalesce(final["kind"].isin("call", "alias") & name.rlike(SCALAR_NAME), F.lit(False))
+    )
+    return F.when(healthy, 0.25).when(scalar, 0.35)
