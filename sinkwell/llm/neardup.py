@@ -185,7 +185,7 @@ def block_pairs(members: DataFrame) -> DataFrame:
     """Cut each leader's group into blocks of bounded size; a row goes to every pair of blocks that holds its own (``part``)."""
     sizes = members.groupBy("lead").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    large = sizes.select("lead", blocks.alias("blocks")).filter("blocks > 1")
+    large = stored(sizes.select("lead", blocks.alias("blocks")).filter("blocks > 1"), "large")
     rows = members.join(large, "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     rows = rows.withColumn("own", own)
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = sketched.filter(F.col("doc_id").isNotNull())
     found = components(links(docs.filter(F.col("doc_id").isNotNull()), named, k, percent))
     classes = named.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
-    labels = classes.join(found, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("label"))
+    labels = stored(classes.join(found, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("label")), "labels")
     out = sketched.select("doc_id", "n_shingles", "f1", "f2").join(labels, ["f1", "f2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
