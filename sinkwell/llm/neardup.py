@@ -4,14 +4,14 @@ A document's set is its distinct shingles of ``k`` words.  Equal sets form a cla
 has a signature of 40 MinHash values of 14 bits.  The distance of two signatures is the number of values that differ; it
 grows with 1 - similarity.  The signature is cut into 8 chunks of 5 values.  Two signatures at a distance of at most
 ``DISTANCE`` = 15 must have a chunk with at most one differing value (pigeonhole: 8 chunks with two each make 16), so a row is
-indexed under every chunk with every single value left out, 40 keys, and no pair under the threshold is lost.  A pair with a
-similarity of 0.85 shares none of these keys with a probability of 6e-7, one of 0.8 with 2e-5.
+indexed under every chunk with every single value left out, 40 keys.  A farther pair often shares a key too; whoever shares one
+is compared on the full sets, whatever the distance.  So a pair is missed only if it shares none of these keys: at a similarity
+of 0.85 with a probability of 6e-7, at 0.8 with 2e-5.
 
 Rows under a key are not paired with one another.  The least id of a key is its leader; the distinct (leader, id) rows say who
-meets whom.  A leader's group is cut into blocks of bounded size and every two blocks meet in one task, which compares all
-signatures in numpy and passes on the ids that have a partner within the threshold.  The full sets of these are then compared
-in the same blocks (shingles hashed to 64 bits), and only a spanning forest of the confirmed links is returned: a group of n
-near copies gives n rows, and no link between different texts is lost for the components.
+meets whom.  A leader's group is cut into blocks of bounded size and every two blocks meet in one task, which compares the full
+sets (shingles hashed to 64 bits).  Only a spanning forest of the confirmed links is returned: a group of n near copies gives n
+rows, and no link between different texts is lost for the components.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; rows with a null
 doc_id are linked with nothing and have a null component; rows sharing a doc_id are one document with several texts; extra
@@ -34,7 +34,7 @@ from .groups import ship, sorted_groups
 
 CHUNKS, WIDTH, BITS = 8, 5, 14
 VALUES = CHUNKS * WIDTH
-#: Two signatures this near always share a key.
+#: Two signatures this near always share a key; farther ones may.
 DISTANCE = 2 * CHUNKS - 1
 #: Rows and shingles of one block of a group.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
@@ -108,22 +108,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(ids, pa.int64())], ["key", "id"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block pair, the ids whose signature is near another one's."""
-    names = ["lead", "part", "id"]
-    for g in sorted_groups(batches, 2):
-        sig = _matrix(g.column("sig"))
-        n = len(sig)
-        hit = np.zeros(n, bool)
-        step = max(1, 4_000_000 // (n * VALUES))
-        for at in range(0, n, step):
-            far = (sig[at : at + step, None, :] != sig[None, :, :]).sum(axis=2, dtype=np.uint8)
-            far[np.arange(len(far)), np.arange(at, at + len(far))] = 255
-            hit[at : at + step] |= (far <= DISTANCE).any(axis=1)
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(g.column(c).to_numpy()[hit]) for c in names], names)
-
-
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted distinct arrays."""
     n = len(sets)
@@ -195,22 +179,21 @@ def block_pairs(members: DataFrame) -> DataFrame:
 
 
 def candidate_members(classes: DataFrame) -> DataFrame:
-    """lead, part and id of the ids that have another one within the signature threshold in their block pair."""
-    index = classes.select("id", "n_shingles", "sig")
+    """lead, part and id of all ids that share a key with another one; nothing is dropped before the full sets."""
     keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
     # stored, so that both sides of the join below are plain exchanges and a hot key can be split
     leaders = stored(keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
     # both sides grow with the corpus: the same shuffled join at every size
     members = stored(keys.join(leaders.hint("merge"), "key").select("lead", "id").distinct(), "members")
-    rows = block_pairs(members.join(index, "id"))
-    rows = rows.select("lead", "part", "id", "sig").repartition("lead", "part").sortWithinPartitions("lead", "part")
-    return rows.mapInArrow(_near, "lead long, part int, id long")
+    # a doc_id with several texts is one member
+    sizes = classes.groupBy("id").agg(F.sum("n_shingles").alias("n_shingles"))
+    return block_pairs(members.join(sizes, "id")).select("lead", "part", "id")
 
 
 def links(docs: DataFrame, sketched: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """(a, b): a spanning forest of the confirmed links between classes, named by their least doc_id."""
     classes = sketched.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    met = stored(candidate_members(stored(classes.drop("f1", "f2"), "classes")).distinct(), "met")
+    met = stored(candidate_members(stored(classes.drop("f1", "f2"), "classes")), "met")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
     rows = met.hint("merge").join(texts, "id").select("lead", "part", "id", "text").repartition("lead", "part").sortWithinPartitions("lead", "part")
     return rows.mapInArrow(_confirm(k, percent), "a long, b long")

@@ -237,6 +237,20 @@ def test_signatures_within_the_distance_always_share_a_key():
     assert ka.min() >= 0
 
 
+def test_near_duplicates_with_far_signatures_that_share_a_key(spark):
+    rng = random.Random(5)
+    rows, pairs = [], []
+    while len(pairs) < 4:
+        w = prose(rng, 50, 10**6).split()
+        v = [*w[:25], "edit", *w[26:]]  # 41 of 51 shingles in common
+        a, b = (neardup.signature(neardup.shingles(" ".join(t).encode(), 5)) for t in (w, v))
+        if (a != b).sum() > neardup.DISTANCE and (neardup.keys_of(a[None]) == neardup.keys_of(b[None])).any():
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    got = neardup.near_duplicates(docs_of(spark, rows), 5, 80).collect()
+    assert sorted((r.component_id, r.doc_id) for r in got if not r.kept) == pairs
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.near_duplicates(docs_of(spark, EMPTY)).collect() == []
 
