@@ -2,8 +2,10 @@
 
 A text becomes a vector of hashed character n-grams (1 to 3 letters, lower case, all else a space) with weights
 (1 + log tf) * idf, of length 1.  Each language has several centroids, found by spherical k-means over its own texts; a
-text gets the language of the nearest centroid by cosine.  It is rejected where its distance is beyond ``DISTANCE``, or, if the
-fitting texts of a similar length were so far themselves, under half their least cosine.
+text gets the language of the nearest centroid by cosine.  It is rejected where its cosine is under a floor: 0.4 times the 1 % quantile
+of the cosines of the fitting texts of a similar length, so single odd rows do not move it.  A length class with few fitting
+texts takes half the floor of the next longer one.  A language close to a fitted one, as Italian is to Spanish and French, is
+not told apart from odd texts of that language and passes; so may unknown texts of a few words.
 
 The classifier is fitted on at most about ``sample`` labelled rows (a documented bound), drawn by hash of the id; the counts
 of n-grams of these, not their texts, reach the driver.
@@ -31,8 +33,8 @@ SAMPLE = 3000
 CENTROIDS = 3
 #: Lengths in letters that part texts into classes for the rejection.
 LENGTHS = (20, 60, 200)
-#: Texts in other scripts, and strings of letters without a language, are farther than this from every centroid.
-DISTANCE = 0.94
+#: The floor of a length class is this quantile of its fitting texts' cosines times the margin; fewer than FEW do not tell.
+LOW, MARGIN, FEW = 0.01, 0.4, 20
 UNKNOWN = "und"
 
 
@@ -88,6 +90,21 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def floors(size: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The least cosine that is not rejected, by length class, from the classes and cosines of the fitting texts."""
+    n = len(LENGTHS) + 1
+    out = [MARGIN * float(np.quantile(cosine[size == c], LOW)) if (size == c).sum() >= FEW else None for c in range(n)]
+    if all(f is None for f in out):
+        out[-1] = MARGIN * float(np.quantile(cosine, LOW))
+    for c in range(n - 2, -1, -1):
+        if out[c + 1] is not None:  # a shorter text may be as far as any longer one
+            out[c] = out[c + 1] / 2 if out[c] is None else min(out[c], out[c + 1])
+    for c in range(1, n):
+        if out[c] is None:
+            out[c] = out[c - 1]
+    return np.array(out)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -121,7 +138,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     at = [np.frombuffer(r["at"], np.uint16).astype(np.int64) for r in got]
     df = np.bincount(np.concatenate(at), minlength=DIMENSIONS)
     idf = np.log((1 + len(got)) / (1 + df)) + 1
-    out, owner, low = [], [], np.ones(len(LENGTHS) + 1)
+    out, owner = [], []
+    sizes, cosines = np.searchsorted(LENGTHS, [r["letters"] for r in got], "right"), np.zeros(len(got))
     for n, lang in enumerate(langs):
         own = [i for i, r in enumerate(got) if r.lang == lang]
         if not own:
@@ -130,14 +148,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         for row, i in enumerate(own):
             x[row, at[i]] = _vector(at[i], np.frombuffer(got[i]["count"], np.uint32), idf)
         c = _cluster(x, centroids)
-        near = (x @ c.T).max(axis=1)
-        for i, cosine in zip(own, near, strict=True):
-            size = int(np.searchsorted(LENGTHS, got[i]["letters"], "right"))
-            low[size] = min(low[size], cosine)
+        cosines[own] = (x @ c.T).max(axis=1)
         out.append(c)
         owner += [n] * len(c)
-    low = np.minimum.accumulate(low[::-1])[::-1]  # a shorter text may be as far as any longer one
-    return Model(langs, np.array(owner), np.vstack(out), idf, np.minimum(1 - DISTANCE, low / 2))
+    return Model(langs, np.array(owner), np.vstack(out), idf, floors(sizes, cosines))
 
 
 class Nearest:

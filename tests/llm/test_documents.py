@@ -354,6 +354,30 @@ def test_language_id_messy_and_rejection(spark, small):
     assert {r.lang_pred for r in langid.predict(docs_of(spark, rows), None).collect()} == {"und"}
 
 
+def test_language_id_rejects_unknown_languages_and_random_letters(spark, small):
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    nearest = langid.Nearest(langid.fit(docs))
+    unknown = [
+        "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu. Kila mtu anastahili kuwa na haki zote na uhuru wote ambao umeelezwa katika taarifa hii bila ya ubaguzi.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin oikeuksiin.",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(200)),
+    ]
+    assert all(nearest(f"{t} {t}")[2] for t in unknown)
+    texts = [r.text for r in docs.filter("lang is not null and length(text) > 200").select("text").collect()]
+    for n in (12, 25, 50, 100):  # clean short texts
+        assert np.mean([nearest(t[:n])[2] for t in texts]) < 0.02
+
+
+def test_language_id_floor_is_not_moved_by_one_odd_row():
+    size, cosine = np.full(1000, 3), np.linspace(0.5, 0.9, 1000)
+    clean = langid.floors(size, cosine)
+    cosine[500] = 0.01
+    assert np.allclose(langid.floors(size, cosine), clean, atol=0.01) and clean[3] > 0.2 and (np.diff(clean) >= 0).all()
+    assert np.allclose(langid.floors(np.zeros(50, int), np.full(50, 0.4)), 0.16)  # longer texts than any that was fitted on
+
+
 # ---------------------------------------------------------------- toxicity
 
 
