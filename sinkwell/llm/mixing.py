@@ -5,6 +5,10 @@ up to ``max_repeat`` times.  Slot i of the schedule gets the golden-ratio point
 cumulative target shares, which names the slot's source, and the slot's rank among the slots of its source names the block of
 that source's stream.  Joining slots and blocks gives the words that the mix takes of each document.
 
+The block follows the whole corpus, so a source with a target of few blocks comes out by whole blocks, or with none.  With
+``settle`` a source whose target is below ``SMALL_BLOCKS`` blocks takes its target of words from the start of its stream instead,
+to the word.
+
 Sources are a configuration of bounded size (``MAX_SOURCES``, checked); sums per source are all that the driver sees.  Places
 in a stream and ranks of slots are two-level running totals, so no task needs a whole source.
 
@@ -26,6 +30,7 @@ MAX_BLOCK = 4096
 #: The schedule has at least so many slots where there are as many words, and at most 2**31.
 MIN_SLOTS = 65_536
 ROWS_PER_BUCKET = 1000
+SMALL_BLOCKS = 64
 
 
 def fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -90,8 +95,11 @@ def schedule(spark, plan: dict) -> DataFrame:
     return running_total(slots, "_s", "_chunk", ["id"], F.lit(1).cast("long"), "block").select(F.col("id").alias("slot"), "_s", "block")
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document."""
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: int = 17, settle: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document.
+
+    ``settle`` brings small sources to their targets by the word, not by blocks.
+    """
     spark = docs.sparkSession
     rows = stored(sized(docs, seed), "mixing")
     plan = source_plan(rows, cycle, float(max_repeat))
@@ -107,14 +115,19 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3
     words = F.least("_to", (F.col("block") + 1) * b) - F.greatest("_from", F.col("block") * b)
     taken = spans.join(schedule(spark, plan), ["_s", "block"]).groupBy("_id").agg(F.sum(words).alias("taken"))
     out = placed.join(taken, "_id", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_h")
+    words_taken = F.coalesce("taken", F.lit(0)).cast("long")
+    if settle:
+        quota = F.greatest(F.round("target"), F.lit(1)).cast("long")
+        turns = [F.least(F.greatest(quota - F.col("source_size") * t - F.col("_start"), F.lit(0)), F.col("size")) for t in range(max_repeat)]
+        words_taken = F.when(F.col("target") < SMALL_BLOCKS * b, sum(turns, F.lit(0)).cast("long")).otherwise(words_taken)
+    return out.select("doc_id", "source", "size", "source_size", "target", words_taken.alias("taken"), "_h")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs``, all columns, each as often as the mix takes it (a part counts as once); what it leaves out is gone."""
     seed = how.get("seed", 17)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    often = mix(docs, **how).filter("taken > 0").groupBy("_h").agg(F.sum(copies).cast("int").alias("_copies"))
+    often = mix(docs, **{"settle": True} | how).filter("taken > 0").groupBy("_h").agg(F.sum(copies).cast("int").alias("_copies"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), order_hash(seed).alias("_h"))
     rows = rows.join(often, "_h").dropDuplicates(["_h"])
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

@@ -171,6 +171,23 @@ def test_mixed_documents_repeat_and_leave_out(spark):
     assert mixing.mix(docs_of(spark, [(1, "", "en", "a"), (2, None, "en", None)])).select("taken").distinct().collect()[0].taken == 0
 
 
+def test_mixed_documents_keep_a_very_small_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MIN_SLOTS", 16)  # blocks as large as those of a large corpus
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 50), "en", "large") for i in range(400)]
+    small = {f"small{s:02}": 1 + 7 * s for s in range(20)}
+    rows += [(1000 + s, prose(rng, n), "en", name) for s, (name, n) in enumerate(small.items())]
+    docs = docs_of(spark, rows)
+    taken = Counter()
+    for r in mixing.mix(docs, settle=True).collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+    _, _, target, _ = brute_mix(rows)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in small)
+    n = Counter(r.source for r in mixing.mixed_documents(docs).collect())
+    assert all(n[s] >= 1 for s in small)
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
