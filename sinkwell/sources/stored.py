@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where a local session names none.
 
-    What is written there stays until the folder is cleared, as with any checkpoint.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where a local session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,10 +22,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The subfolder of this application; ``clear`` removes it."""
+    return f"{shared_dir(spark)}/sinkwell-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that a lost executor cannot undo."""
+    """Write ``df`` to the shared folder and read it back: a cut of the lineage that a lost executor cannot undo.
+
+    The table stays until it is released or the application's folder is cleared.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read any more; other DataFrames are left alone."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application stored; results that still read it must have been written before."""
+    _PATHS.clear()
+    _remove(spark, run_dir(spark))
