@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.stored import stored  # noqa: F401  (the operators take both from here)
+from ..sources.stored import release, stored  # noqa: F401  (the operators take these from here)
 from ..sources.tables import table  # noqa: F401
 
 #: The white space of the contracts: [\x20\x09-\x0D].
@@ -54,19 +54,24 @@ def search_by(n: int, reached) -> Column:
     )
 
 
+#: Buckets that one window task of a running total adds up.
+FANOUT = 1000
+
+
 def running_total(df: DataFrame, group: str, bucket: str, order: list, weight: Column, name: str) -> DataFrame:
-    """Add the sum of ``weight`` over the rows of the group that come before, in two levels.
+    """Add the sum of ``weight`` over the rows of the group that come before, in three levels.
 
-    ``bucket`` must rise with ``order`` within a group.  Sums per (group, bucket) are added up over the buckets, then rows
-    are added up within their bucket, so that no task needs a whole group.
+    ``bucket`` must rise with ``order`` within a group.  Sums per (group, bucket) are added up over bundles of ``FANOUT``
+    buckets, then over the buckets of a bundle, then rows within their bucket: a task holds a bucket, a bundle, or one row
+    for each bundle of a group.
     """
-    rows = df.withColumn("_w", weight)
-    sums = rows.groupBy(group, bucket).agg(F.sum("_w").alias("_sum"))
-    earlier = W.partitionBy(group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(group, bucket, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    within = W.partitionBy(group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        rows.join(offsets, [group, bucket])
-        .withColumn(name, F.col("_before") + F.coalesce(F.sum("_w").over(within), F.lit(0)))
-        .drop("_w", "_before")
-    )
+    before, total, bundle, own = (f"_{x}_of_{name}" for x in ("before", "total", "bundle", "weight"))
+    rows = df.withColumn(own, weight)
+    past = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(group, bucket).agg(F.sum(own).alias(total)).withColumn(bundle, F.floor(F.col(bucket) / FANOUT))
+    tops = sums.groupBy(group, bundle).agg(F.sum(total).alias(total))
+    tops = tops.select(group, bundle, F.coalesce(F.sum(total).over(past(W.partitionBy(group).orderBy(bundle))), F.lit(0)).alias(before))
+    inner = F.coalesce(F.sum(total).over(past(W.partitionBy(group, bundle).orderBy(bucket))), F.lit(0))
+    offsets = sums.join(tops, [group, bundle]).select(group, bucket, (F.col(before) + inner).alias(before))
+    within = F.coalesce(F.sum(own).over(past(W.partitionBy(group, bucket).orderBy(*order))), F.lit(0))
+    return rows.join(offsets, [group, bucket]).withColumn(name, F.col(before) + within).drop(own, before)

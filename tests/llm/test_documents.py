@@ -214,7 +214,7 @@ def brute_components(rows, k, percent):
             if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
-    return sorted([(i, len(s), None if i is None else find(i) if s else i) for (i, *_), s in zip(rows, sets, strict=True)], key=repr)
+    return sorted([(i, len(s), None if i is None else find(i)) for (i, *_), s in zip(rows, sets, strict=True)], key=repr)
 
 
 @pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 1024), (3, 85, 16), (5, 80, 16)])
@@ -242,6 +242,52 @@ def test_near_duplicates_brute_force(spark, monkeypatch, k, percent, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_shared_ids(spark):
+    a, b, c = (prose(random.Random(s), 60, 10**6) for s in (1, 2, 3))
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (9, ""), (9, c), (8, c), (None, c), (20, ""), (20, None)]
+    got = neardup.near_duplicates(docs_of(spark, rows), 3, 85).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == brute_components(rows, 3, 85)
+    assert {r.component_id for r in got if r.doc_id in (1, 5, 7)} == {1} and sum(r.kept for r in got) == 5
+    rows = [(1, a, "en", "x"), (5, a, "en", "x"), (5, b, "en", "x"), (5, b, "de", "x"), (5, b, "de", "x"), (None, c, "en", "y"), (4, "", "en", "x"), (4, "", "en", "x"), (6, None)]
+    kept = sorted([tuple(r)[:4] for r in neardup.keep_one(docs_of(spark, rows, extra=True)).collect()], key=repr)
+    assert [r for r in kept if r[1] not in (b,)] == sorted([rows[0], rows[5], rows[6], rows[7], (6, None, None, None)], key=repr)
+    assert len([r for r in kept if r[1] == b]) == 1  # and the same one each time
+    again = sorted([tuple(r)[:4] for r in neardup.keep_one(docs_of(spark, rows[::-1], extra=True)).collect()], key=repr)
+    assert again == kept
+
+
+@pytest.mark.parametrize("original", ["first", "middle"])
+def test_a_family_sends_about_one_row_per_copy(spark, monkeypatch, original):
+    """Copies of one text; with the original in the middle, no copy is near enough to the first one."""
+    sent = []
+    real = neardup.confirmed
+
+    def counting(rows, sets, percent):
+        sent.append((rows.count(), sets.count()))
+        return real(rows, sets, percent)
+
+    monkeypatch.setattr(neardup, "confirmed", counting)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 64)
+    rng = random.Random(4)
+    base = prose(rng, 300, 10**6).split()
+    shares = {}
+    for n in (400, 800):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            if original == "middle" and i != n // 2:
+                at = rng.randrange(13)
+                w[at::13] = [f"e{rng.randrange(10**9)}" for _ in w[at::13]]
+            elif i != n // 2:
+                w[rng.randrange(300)] = f"e{i}"
+            rows.append((i, " ".join(w)))
+        sent.clear()
+        got = neardup.near_duplicates(docs_of(spark, rows), 1, 80 if original == "first" else 85).collect()
+        assert {r.component_id for r in got} == {0}
+        shares[n] = (sum(r for r, _ in sent) / n, sent[0][1] / n)
+    assert all(r < 3 and t <= 1 for r, t in shares.values()), shares
+
+
 def test_signatures_within_the_distance_always_share_a_key():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**14, (300, neardup.VALUES), dtype=np.uint16)
