@@ -9,10 +9,11 @@ the list of attachments.  A conversation is then written with one template:
 Every control string begins with ``<`` or ``[``.  Inside roles and texts each ``<``, ``[`` and ``\`` is followed by an added
 ``\``, so no control string can come from a text, and the added characters can be taken out again from left to right.
 
-The loss mask covers the contents of assistant turns, as (start, length) in code points and in UTF-8 bytes.
+The loss mask covers the contents of assistant turns, as (start, length) in code points and in UTF-8 bytes.  ``expanded_tokens``
+counts what the placeholders stand for (patches, seconds, pages); texts are counted by a tokenizer, elsewhere.
 
-Defined cases: null roles and texts are empty; null conv_ids form one conversation; turns are ordered by turn (null first),
-role and text, so repeated rows are turns of their own; a null or empty array of parts is an empty content; extra columns of
+Defined cases: null roles and texts are empty; a row without a conv_id is a conversation of its own, so that such rows never
+meet; turns are ordered by turn (null first), role and text, so repeated rows are turns of their own; a null or empty array of parts is an empty content; extra columns of
 turns are dropped; an empty table gives no conversations.
 """
 
@@ -49,8 +50,7 @@ def _tokens(p: Column) -> Column:
         return F.greatest(F.ceil(F.coalesce(x, F.lit(0)) / PATCH), F.lit(1).cast("long"))
 
     return (
-        F.when(p["type"] == "text", F.regexp_count(F.coalesce(p["text"], F.lit("")), F.lit(r"\S+")).cast("long"))
-        .when(p["type"] == "image", patches(p["width"]) * patches(p["height"]))
+        F.when(p["type"] == "image", patches(p["width"]) * patches(p["height"]))
         .when(p["type"] == "audio", F.ceil(F.coalesce(p["seconds"], F.lit(0.0)) * PER_SECOND))
         .when(p["type"] == "document", F.coalesce(p["pages"], F.lit(1)).cast("long") * PER_PAGE)
         .otherwise(F.lit(0).cast("long"))
@@ -87,29 +87,30 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     flat = flat.withColumn("piece", F.concat("head", "content", F.lit(END)))
     order = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "content", F.to_json("attachments"))
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    flat = flat.withColumns(
-        {
-            "at": F.row_number().over(order),
-            "chars": F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)),
-            "bytes": F.coalesce(F.sum(F.octet_length("piece")).over(before), F.lit(0)),
-        }
+    chars, size = (F.coalesce(F.sum(n("piece")).over(before), F.lit(0)).cast("long") for n in (F.char_length, F.octet_length))
+    known = flat.filter(F.col("conv_id").isNotNull()).withColumns({"at": F.row_number().over(order), "chars": chars, "bytes": size})
+    together = known.groupBy("conv_id").agg(F.array_sort(F.collect_list(_turn())).alias("t"))
+    zero = F.lit(0).cast("long")
+    alone = flat.filter(F.col("conv_id").isNull()).withColumns({"at": F.lit(1), "chars": zero, "bytes": zero}).select("conv_id", F.array(_turn()).alias("t"))
+    return together.union(alone).select(
+        "conv_id",
+        F.size("t").cast("long").alias("n_turns"),
+        F.array_join("t.piece", "").alias("formatted"),
+        F.filter(F.col("t.span"), lambda s: s.isNotNull()).alias("loss"),
+        F.flatten("t.attachments").alias("attachments"),
+        F.aggregate("t.expanded_tokens", zero, lambda a, x: a + x).alias("expanded_tokens"),
     )
+
+
+def _turn() -> Column:
+    """What a conversation keeps of a turn; only assistant turns have a span."""
     span = F.struct(
         (F.col("chars") + F.char_length("head")).cast("long").alias("start"),
         F.char_length("content").cast("long").alias("length"),
         (F.col("bytes") + F.octet_length("head")).cast("long").alias("start_byte"),
         F.octet_length("content").cast("long").alias("n_bytes"),
     )
-    row = F.struct("at", "piece", F.when(F.col("role") == "assistant", span).alias("span"), "attachments", "expanded_tokens")
-    grouped = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
-    return grouped.select(
-        "conv_id",
-        F.size("t").cast("long").alias("n_turns"),
-        F.array_join("t.piece", "").alias("formatted"),
-        F.filter(F.col("t.span"), lambda s: s.isNotNull()).alias("loss"),
-        F.flatten("t.attachments").alias("attachments"),
-        F.aggregate("t.expanded_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("expanded_tokens"),
-    )
+    return F.struct("at", "piece", F.when(F.col("role") == "assistant", span).alias("span"), "attachments", "expanded_tokens")
 
 
 def read_turns(formatted: Column) -> Column:

@@ -2,10 +2,10 @@
 
 A text becomes a vector of hashed character n-grams (1 to 3 letters, lower case, all else a space) with weights
 (1 + log tf) * idf, of length 1.  Each language has several centroids, found by spherical k-means over its own texts; a
-text gets the language of the nearest centroid by cosine.  It is rejected where its cosine is under a floor: 0.4 times the 1 % quantile
-of the cosines of the fitting texts of a similar length, so single odd rows do not move it.  A length class with few fitting
-texts takes half the floor of the next longer one.  A language close to a fitted one, as Italian is to Spanish and French, is
-not told apart from odd texts of that language and passes; so may unknown texts of a few words.
+text gets the language of the nearest centroid by cosine.  It is rejected where its cosine is under the floor of its length class,
+which is learned: ``MARGIN`` times the 1 % quantile of the cosines of the fitting texts of that length, so single odd rows do
+not move it.  Where fewer than ``FEW`` fitting texts are of that length, pieces of that length, one of each longer
+fitting text, stand for them.  Texts of a few words lie near any centroid, so unknown ones pass more often the shorter they are.
 
 The classifier is fitted on at most about ``sample`` labelled rows (a documented bound), drawn by hash of the id; the counts
 of n-grams of these, not their texts, reach the driver.
@@ -17,6 +17,7 @@ everywhere; repeated rows are classified row by row; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,9 @@ DIMENSIONS = 1 << 14
 SAMPLE = 3000
 CENTROIDS = 3
 #: Lengths in letters that part texts into classes for the rejection.
-LENGTHS = (20, 60, 200)
+LENGTHS = (8, 16, 32, 64, 128, 256)
 #: The floor of a length class is this quantile of its fitting texts' cosines times the margin; fewer than FEW do not tell.
-LOW, MARGIN, FEW = 0.01, 0.4, 20
+LOW, MARGIN, FEW = 0.01, 0.6, 40
 UNKNOWN = "und"
 
 
@@ -90,10 +91,19 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def floors(size: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-    """The least cosine that is not rejected, by length class, from the classes and cosines of the fitting texts."""
-    n = len(LENGTHS) + 1
-    out = [MARGIN * float(np.quantile(cosine[size == c], LOW)) if (size == c).sum() >= FEW else None for c in range(n)]
+def length_class(letters: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, letters, "right")
+
+
+def floors(letters: np.ndarray, cosine: np.ndarray, piece: np.ndarray | None = None) -> np.ndarray:
+    """The least cosine that is not rejected, by length class, from lengths and cosines of fitting texts and of ``piece``s of them."""
+    n, size = len(LENGTHS) + 1, length_class(letters)
+    piece = np.zeros(len(size), bool) if piece is None else piece
+    out: list[float | None] = []
+    for c in range(n):
+        own = cosine[(size == c) & ~piece]
+        own = own if len(own) >= FEW else cosine[size == c]
+        out.append(MARGIN * float(np.quantile(own, LOW)) if len(own) >= FEW else None)
     if all(f is None for f in out):
         out[-1] = MARGIN * float(np.quantile(cosine, LOW))
     for c in range(n - 2, -1, -1):
@@ -105,6 +115,14 @@ def floors(size: np.ndarray, cosine: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def piece_of(text: str, length: int) -> str | None:
+    """A piece of ``length`` characters of a text of at least four times that length, from a place that the text gives."""
+    if len(text) < 4 * length:
+        return None
+    at = zlib.crc32(text[:256].encode("utf-8", "surrogatepass")) % (len(text) - length)
+    return text[at : at + length]
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -112,11 +130,21 @@ def held_out() -> Column:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = letter_table()
     for b in batches:
-        rows = [(lang, *grams(t, letters)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        rows = [r for r in rows if r[3]]
+        rows = []
+        for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows.append((lang, False, *grams(t, letters)))
+            # pieces that fall into each class: half as long again as its least length
+            rows += [(lang, True, *grams(p, letters)) for n in (2, *LENGTHS) if (p := piece_of(t, 3 * n // 2))]
+        rows = [r for r in rows if r[4]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.uint16).tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64())],
-            ["lang", "at", "count", "letters"],
+            [
+                pa.array([r[0] for r in rows], pa.string()),
+                pa.array([r[1] for r in rows], pa.bool_()),
+                pa.array([r[2].astype(np.uint16).tobytes() for r in rows], pa.binary()),
+                pa.array([r[3].astype(np.uint32).tobytes() for r in rows], pa.binary()),
+                pa.array([r[4] for r in rows], pa.int64()),
+            ],
+            ["lang", "piece", "at", "count", "letters"],
         )
 
 
@@ -131,27 +159,30 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     each = max(1, sample // len(langs))
     rate = F.create_map(*[F.lit(x) for k in langs for x in (k, each / counts[k])])
     chosen = rows.filter(unit(F.xxhash64("doc_id", F.lit(5))) < rate[F.col("lang")])
-    got = chosen.select("lang", "text").mapInArrow(_count, "lang string, at binary, count binary, letters long").collect()
-    got.sort(key=lambda r: (r.lang, r["letters"], r["at"], r["count"]))
-    if not got:
+    got = chosen.select("lang", "text").mapInArrow(_count, "lang string, piece boolean, at binary, count binary, letters long").collect()
+    got.sort(key=lambda r: (r.piece, r.lang, r["letters"], r["at"], r["count"]))
+    whole = sum(not r.piece for r in got)  # these come first
+    if not whole:
         return None
     at = [np.frombuffer(r["at"], np.uint16).astype(np.int64) for r in got]
-    df = np.bincount(np.concatenate(at), minlength=DIMENSIONS)
-    idf = np.log((1 + len(got)) / (1 + df)) + 1
+    df = np.bincount(np.concatenate(at[:whole]), minlength=DIMENSIONS)
+    idf = np.log((1 + whole) / (1 + df)) + 1
+    vectors = [_vector(a, np.frombuffer(r["count"], np.uint32), idf) for a, r in zip(at, got, strict=True)]
     out, owner = [], []
-    sizes, cosines = np.searchsorted(LENGTHS, [r["letters"] for r in got], "right"), np.zeros(len(got))
     for n, lang in enumerate(langs):
-        own = [i for i, r in enumerate(got) if r.lang == lang]
+        own = [i for i, r in enumerate(got[:whole]) if r.lang == lang]
         if not own:
             continue
         x = np.zeros((len(own), DIMENSIONS), np.float32)
         for row, i in enumerate(own):
-            x[row, at[i]] = _vector(at[i], np.frombuffer(got[i]["count"], np.uint32), idf)
+            x[row, at[i]] = vectors[i]
         c = _cluster(x, centroids)
-        cosines[own] = (x @ c.T).max(axis=1)
         out.append(c)
         owner += [n] * len(c)
-    return Model(langs, np.array(owner), np.vstack(out), idf, floors(sizes, cosines))
+    table = np.ascontiguousarray(np.vstack(out).T)
+    cosines = np.array([(v.astype(np.float32) @ table[a]).max() for a, v in zip(at, vectors, strict=True)])
+    low = floors(np.array([r["letters"] for r in got]), cosines, np.array([r.piece for r in got]))
+    return Model(langs, np.array(owner), table.T, idf, low)
 
 
 class Nearest:
@@ -169,7 +200,7 @@ class Nearest:
             return UNKNOWN, 0.0, True
         cosine = _vector(at, count, model.idf).astype(np.float32) @ self.table[at]
         best = int(np.argmax(cosine))
-        far = bool(cosine[best] < model.floor[np.searchsorted(LENGTHS, n, "right")])
+        far = bool(cosine[best] < model.floor[length_class(n)])
         return model.langs[model.owner[best]], float(min(1.0, max(0.0, cosine[best]))), far
 
 

@@ -3,12 +3,13 @@
 Every line of at least ``min_chars`` code points (after stripping and lower-casing A-Z) is reduced to 128 bits of hash.  The
 hashes are range-partitioned together with a block of the document id and sorted by document and position inside the
 partitions; a window streams over them and marks the first occurrence in each document.  Marks are summed per hash.  A hash
-found in at least ``min_docs`` documents loses its lines everywhere but in the largest document id.  The outcome is a keep
-bitmap per document: 64 lines a word, words without a dropped line left out.
+found in at least ``min_docs`` documents loses its lines everywhere but in the largest document id.  The outcome is a
+compressed keep bitmap per document, which ``dedup_lines`` returns: 64 lines a word, a set bit for each line that goes, words
+without one left out.  ``kept_text`` applies it.
 
-Defined cases: a null or empty text is one empty line; a null doc_id is one document below every other; rows that share a
-doc_id count as one document, and each text among them gets a bitmap of its own; an empty table gives no rows; extra columns
-are left out, whatever their names.
+Defined cases: a null or empty text is one empty line; a null doc_id is one document below every other (the same as the doc_id -2^63);
+rows that share a doc_id count as one document, and each text among them gets a bitmap of its own; an empty table gives
+no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import Window as W
 from .common import LONG_MIN, SPACE, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A hash's documents are dealt into so many blocks, so that one hot line does not sit in one range.
-BLOCKS = 64
+#: A hash's documents are dealt into blocks, so that one hot line does not sit in one range: at least so many, and one for so many lines.
+BLOCKS, LINES_PER_BLOCK = 64, 100_000
 
 
 def _lines(text: Column) -> Column:
@@ -47,7 +48,8 @@ def line_hashes(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 def repeated_lines(hashes: DataFrame, min_docs: int = 3) -> DataFrame:
     """h1, h2, n_docs and keep_doc (the largest document) of the hashes found in enough documents."""
-    spread = hashes.withColumn("block", F.pmod(F.xxhash64("_doc"), F.lit(BLOCKS)))
+    blocks = max(BLOCKS, hashes.count() // LINES_PER_BLOCK)
+    spread = hashes.withColumn("block", F.pmod(F.xxhash64("_doc"), F.lit(blocks)))
     ranged = spread.repartitionByRange("h1", "h2", "block")
     stream = W.partitionBy("h1", "h2", "block").orderBy(F.desc("_doc"), "_tid", "pos")
     before = F.lag("_doc").over(stream)
@@ -69,26 +71,32 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, words (the bitmap) and kept_text of every row."""
+def kept_text() -> Column:
+    """The lines of ``text`` that the bitmap in ``words`` leaves, joined."""
     kept = F.filter(
         _lines(F.col("text")),
         lambda line, i: F.coalesce(F.getbit(F.try_element_at("words", F.shiftright(i, 6)), i.bitwiseAND(63)), F.lit(0)) == 0,
     )
+    return F.when(F.col("words").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+
+
+def written_bitmap() -> Column:
+    """The bitmap in ``words`` as text: ``word:mask`` with signed 64-bit masks, ascending, apart by commas; empty if no line goes."""
+    words = F.array_sort(F.map_entries("words"))
+    return F.coalesce(F.array_join(F.transform(words, lambda w: F.concat_ws(":", w["key"].cast("string"), w["value"].cast("string"))), ","), F.lit(""))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """doc_id, text, n_lines, n_dropped and words (the bitmap: word number to mask; null if no line goes) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
         _document(docs.select("doc_id", "text"))
-        .join(bitmaps, ["_doc", "_tid"], "left")
-        .withColumns(
-            {
-                "n_lines": (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-                "n_dropped": F.coalesce("n_dropped", F.lit(0).cast("long")),
-                "kept_text": F.when(F.col("words").isNull(), text).otherwise(F.array_join(kept, "\n")),
-            }
+        .join(drop_bitmaps(docs, min_chars, min_docs), ["_doc", "_tid"], "left")
+        .select(
+            "doc_id",
+            "text",
+            (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+            F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
+            "words",
         )
-        .drop("_doc", "_tid", "text")
     )
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs))

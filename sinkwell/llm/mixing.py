@@ -9,8 +9,8 @@ The block follows the whole corpus, so a source with a target of few blocks come
 ``settle`` a source whose target is below ``SMALL_BLOCKS`` blocks takes its target of words from the start of its stream instead,
 to the word.
 
-Sources are a configuration of bounded size (``MAX_SOURCES``, checked); sums per source are all that the driver sees.  Places
-in a stream and ranks of slots are two-level running totals, so no task needs a whole source.
+Sources are a configuration of bounded size (``MAX_SOURCES``, checked: more are an error); sums per source are all that the driver
+sees.  Places in a stream and ranks of slots are three-level running totals, so no task needs a whole source.
 
 Defined cases: a null text has size 0; documents without words are never taken; the null source comes last; repeated rows are
 documents of their own; an empty table, or one without words, gives targets and taken of 0.
@@ -50,15 +50,26 @@ def fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     return out
 
 
-def order_hash(seed: int) -> Column:
-    """60 bits that put the documents of a source in their order; equal only for equal id and text."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+def _digest(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def identified(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, ``more`` and the names of each row.
+
+    _h: 60 bits that put the documents of a source in their order; _g: 60 further bits of the same digest of id and text, so that
+    (doc_id, source, _h, _g) names a document with 120 bits besides its id; _r: a hash of all other columns.
+    """
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "source")]
+    rows = docs.select("doc_id", "source", *more, F.xxhash64(F.lit(0), *others).alias("_r"), _digest(seed).alias("_md5"))
+    for name, at in (("_h", 1), ("_g", 16)):
+        rows = rows.withColumn(name, F.conv(F.substring("_md5", at, 15), 16, 10).cast("bigint"))
+    return rows.drop("_md5")
 
 
 def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", words.alias("size"), order_hash(seed).alias("_h"))
+    return identified(docs, seed, words.alias("size"))
 
 
 def source_plan(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> dict:
@@ -106,7 +117,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3
     buckets = max(1, -(-plan["n"] // ROWS_PER_BUCKET))
     known = rows.join(F.broadcast(_plan_rows(spark, plan)).withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     known = known.withColumn("_bucket", F.least(F.floor(F.col("_h") / F.lit(2.0**60) * buckets), F.lit(buckets - 1)))
-    placed = running_total(known, "_s", "_bucket", ["_h", "doc_id"], F.col("size"), "_start")
+    placed = running_total(known, "_s", "_bucket", ["_h", "doc_id", "_g", "_r"], F.col("size"), "_start")
     placed = placed.withColumn("_id", F.struct("_h", "doc_id", "_start"))
     b = plan["block"]
     spans = placed.filter("size > 0").select("_id", "_s", "size", "source_size", "_start", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("_turn"))
@@ -120,14 +131,21 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3
         quota = F.greatest(F.round("target"), F.lit(1)).cast("long")
         turns = [F.least(F.greatest(quota - F.col("source_size") * t - F.col("_start"), F.lit(0)), F.col("size")) for t in range(max_repeat)]
         words_taken = F.when(F.col("target") < SMALL_BLOCKS * b, sum(turns, F.lit(0)).cast("long")).otherwise(words_taken)
-    return out.select("doc_id", "source", "size", "source_size", "target", words_taken.alias("taken"), "_h")
+    return out.select("doc_id", "source", "size", "source_size", "target", words_taken.alias("taken"), "_h", "_g", "_r")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs``, all columns, each as often as the mix takes it (a part counts as once); what it leaves out is gone."""
+    """``docs``, all columns, each as often as the mix takes it (a part counts as once); what it leaves out is gone.
+
+    Rows that agree in all columns share their copies; rows that differ in any column are told apart.
+    """
     seed = how.get("seed", 17)
+    key = ["doc_id", "source", "_h", "_g", "_r"]
+    named = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_i0"), F.coalesce("source", F.lit("")).alias("_n"), F.col("source").isNull().alias("_n0"), "_h", "_g", "_r"]
+    keys = ["_i", "_i0", "_n", "_n0", "_h", "_g", "_r"]
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    often = mix(docs, **{"settle": True} | how).filter("taken > 0").groupBy("_h").agg(F.sum(copies).cast("int").alias("_copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), order_hash(seed).alias("_h"))
-    rows = rows.join(often, "_h").dropDuplicates(["_h"])
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+    often = mix(docs, **{"settle": True} | how).filter("taken > 0").withColumn("_copies", copies).select(*key, "_copies")
+    often = often.select(*named, "_copies").groupBy(*keys).agg(F.sum("_copies").cast("int").alias("_copies"))
+    rows = identified(docs, seed, F.struct(*docs.columns).alias("_row")).select(*named, "_row")
+    rows = rows.join(often, keys).groupBy(*keys).agg(F.first("_row").alias("_row"), F.first("_copies").alias("_copies"))
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -20,7 +20,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", linededup.written_bitmap().alias("drop_bitmap"), F.sha2(linededup.kept_text(), 256).alias("kept_sha256"))
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokencount.count_tokens(docs, tokencount.redactions(F.col("text")))
+    return tokencount.count_tokens(docs, redact=tokencount.PERSONAL)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +104,17 @@ ORACLES = {
             SELECT k, max(doc_id) AS keep_doc FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
         ), marked AS (
             SELECT l.*, (d.k IS NOT NULL AND l.doc_id <> d.keep_doc) AS lost FROM lines l LEFT JOIN dup d ON l.k = d.k
+        ), masks AS (
+            SELECT doc_id, (pos - 1) // 64 AS word, bit_or(CASE (pos - 1) % 64 WHEN 63 THEN -9223372036854775808 ELSE 1::BIGINT << ((pos - 1) % 64) END) AS mask
+            FROM marked WHERE lost GROUP BY ALL
+        ), bitmaps AS (
+            SELECT doc_id, string_agg(word || ':' || mask, ',' ORDER BY word) AS drop_bitmap FROM masks GROUP BY doc_id
+        ), texts AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+            FROM marked GROUP BY doc_id
         )
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
-        FROM marked GROUP BY doc_id""",
+        SELECT t.*, coalesce(drop_bitmap, '') AS drop_bitmap FROM texts t LEFT JOIN bitmaps USING (doc_id)""",
     "op4_topk_search": r"""
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -128,7 +135,7 @@ ORACLES = {
                coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(length('<|turn|>') + length('<|body|>') + length('<|end|>') + length(regexp_replace(role || text, '([\\<\[])', '\1x', 'g')))::BIGINT AS formatted_chars
-        FROM turns GROUP BY conv_id""",
+        FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM turns) GROUP BY conv_id, alone""",
     "op10_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

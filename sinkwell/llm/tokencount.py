@@ -3,7 +3,8 @@
 A byte-level tokenizer splits a text into pre-tokens by a pattern that reads from left to right, and encodes each by itself.  So
 a document's count is a sum over its pre-tokens, kept in a segment tree.  An edit (start, end, replacement) is counted by splitting anew
 from two pre-tokens before its start until a new boundary meets an old one after its end; only these pre-tokens are
-encoded, their sum goes to the first leaf of the region, and the sums above it are updated.
+encoded, their sum goes to the first leaf of the region, and the sums above it are updated.  Edits come with the rows, or are
+the matches of a pattern that is to be blotted out, found in one pass over the text.
 
 Counts of pre-tokens are remembered within a task, up to ``REMEMBERED`` of them.  The vocabulary is a public file of bounded size
 that is read by the driver and sent with the code.
@@ -32,8 +33,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public byte-level vocabularies split text.  A fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED = 400_000
-#: Personal data that the edits of ``redactions`` blot out.
-PERSONAL = r"[\w.+-]+@[\w-]+\.[\w.]+|\d{1,3}(\.\d{1,3}){3}|\d{7,}"
+#: Personal data: addresses of mail and machines, long numbers.  Possessive, so that a text is scanned in one pass.
+PERSONAL = r"(?<![\w.+-])[\w.+-]++@[\w-]++\.[\w.]++|\d{1,3}+(?:\.\d{1,3}+){3}|\d{7,}+"
+REDACTED = "[redacted]"
 EDITS = "array<struct<start:int,end:int,replacement:string>>"
 
 
@@ -140,15 +142,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
-def _run(ranks: dict[bytes, int]):
+def matches(text: str, pattern, replacement: str = REDACTED) -> list[tuple[int, int, str]]:
+    """Edits that blot out the matches of a pattern, from left to right."""
+    return [(*m.span(), replacement) for m in pattern.finditer(text)]
+
+
+def _run(ranks: dict[bytes, int], redact: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, pattern = Counter(ranks), regex.compile(PATTERN)
+        found = regex.compile(redact, regex.ASCII) if redact else None
         for b in batches:
             out = []
-            for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, given in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 doc = Document(text or "", counter, pattern)
                 before, pre = doc.total, len(doc.ends)
-                edits = [(e["start"], e["end"], e["replacement"] or "") for e in edits or ()]
+                edits = matches(doc.text, found) if found else [(e["start"], e["end"], e["replacement"] or "") for e in given or ()]
                 if edits:
                     doc.edit(edits)
                 out.append((before, pre, len(edits), doc.total, doc.encoded))
@@ -158,26 +166,18 @@ def _run(ranks: dict[bytes, int]):
     return run
 
 
-def redactions(text: Column, replacement: str = "[redacted]") -> Column:
-    """Edits that blot out personal data: the matches of ``PERSONAL``, from left to right."""
-    found = F.regexp_extract_all(text, F.lit(f"({PERSONAL})"), F.lit(1))
-    step = F.struct(F.lit(1).alias("at"), F.array().cast(EDITS).alias("edits"))
-
-    def add(acc: Column, hit: Column) -> Column:
-        start = F.call_function("locate", hit, text, acc["at"])
-        edit = F.struct((start - 1).alias("start"), (start - 1 + F.char_length(hit)).alias("end"), F.lit(replacement).alias("replacement"))
-        return F.struct((start + F.char_length(hit)).alias("at"), F.concat(acc["edits"], F.array(edit)).alias("edits"))
-
-    return F.aggregate(F.coalesce(found, F.array().cast("array<string>")), step, add, lambda acc: acc["edits"])
-
+def count_tokens(docs: DataFrame, edits: Column | None = None, redact: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited and n_reencoded (pre-tokens encoded for the edits).
 
-def count_tokens(docs: DataFrame, edits: Column | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited and n_reencoded (pre-tokens encoded for the edits)."""
+    The edits are ``edits`` (of type ``EDITS``) or blot out what matches ``redact``.
+    """
+    if edits is not None and redact:
+        raise ValueError("either edits or a pattern")
     small_batches(docs.sparkSession)
     given = edits if edits is not None else F.lit(None).cast(EDITS)
     rows = docs.select("doc_id", "text", given.alias("edits"))
     schema = "doc_id long, n_tokens long, n_pretokens long, n_edits long, n_tokens_edited long, n_reencoded long"
-    return rows.mapInArrow(_run(read_ranks(vocabulary)), schema)
+    return rows.mapInArrow(_run(read_ranks(vocabulary), redact), schema)
 
 
 ship(__name__)

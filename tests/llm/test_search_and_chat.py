@@ -95,6 +95,13 @@ def test_chat_round_trip_on_messy_turns(spark):
         assert r.formatted.count(chat.TURN) == len(turns) == r.formatted.count(chat.END)
 
 
+def test_rows_without_a_conversation_stay_alone(spark):
+    rows = [(None, t % 2, "assistant", "same") for t in range(40)] + [(1, 0, "user", "x")]
+    out = chat.format_conversations(turns_of(spark, rows)).collect()
+    assert len(out) == 41 and all(r.n_turns == 1 for r in out)
+    assert {r.formatted for r in out if r.conv_id is None} == {f"{chat.TURN}assistant{chat.BODY}same{chat.END}"}
+
+
 def chat_escape(s):
     return "".join(c + "\\" if c in "\\<[" else c for c in s)
 
@@ -106,7 +113,7 @@ def test_chat_typed_parts(spark):
     r = chat.format_conversations(df).first()
     assert r.formatted == "<|turn|>user<|body|>see <|image|><|audio|><|document|><|end|><|turn|>assistant<|body|>two words<|end|>" + "<|turn|>user<|body|><|end|>" * 2
     assert [tuple(a) for a in r.attachments] == [("image", "a.png", 4), ("audio", "b.wav", 63), ("document", "c.pdf", 768)]
-    assert r.expanded_tokens == 1 + 4 + 63 + 768 + 2
+    assert r.expanded_tokens == 4 + 63 + 768
 
 
 def test_chat_empty_and_query(spark, small):
