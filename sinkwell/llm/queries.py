@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, linededup, mixing, neardup, sharding, tokencount, topk, toxicity
-from .common import table
+from .common import LONG_MAX, LONG_MIN, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    out = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return out.withColumn("score", F.greatest(F.lit(LONG_MIN), F.least(F.lit(LONG_MAX), F.col("score"))).cast("long"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sinkwell.llm import chat, queries, topk
@@ -43,26 +44,79 @@ def test_top_k_few_candidates_and_empty(spark):
     assert [r.vec_id for r in topk.top_k(twice, F.col("vec_id") == 0).orderBy("rank").collect()] == [7, 7]
 
 
-def test_lists_stop_early():
+def answers(lists, own, queries, k):
+    return {i: (ids.tolist(), [int(s) for s in score], read) for i, ids, score, read in lists.best(own, queries, k)}
+
+
+def by_products(x, q, own, k):
+    """The plain way: all scores."""
+    out = {}
+    for i, row in enumerate(q):
+        s = [sum(int(a) * int(b) for a, b in zip(row, v, strict=True)) for v in x]
+        order = sorted((j for j in range(len(x)) if j != own[i]), key=lambda j: (-s[j], j))[:k]
+        out[i] = (order, [s[j] for j in order])
+    return out
+
+
+def test_lists_stop_early_on_skewed_data():
     rng = np.random.default_rng(0)
-    x = rng.integers(-20, 20, (2000, 8))
-    x[7] = 255
-    lists = topk.Lists(np.arange(2000), x.astype(np.int64))
-    found = list(lists.best(np.array([-1, 7]), np.full((2, 8), 100, np.int64), 1))
-    assert {i: s.tolist() for i, _, s in found}[0] == [255 * 800]
-    assert {i: ids.tolist() for i, ids, _ in found}[0] == [7] and {i: ids.tolist() for i, ids, _ in found}[1] != [7]
+    x = rng.integers(-20, 20, (2000, 8)).astype(float)
+    x[[7, 90, 400, 1500, 1999]] = 255
+    q = np.full((2, 8), 100.0)
+    got = answers(topk.Lists(np.arange(2000), x), np.array([-1, 7]), q, 1)
+    assert {i: r[:2] for i, r in got.items()} == by_products(x, q, [-1, 7], 1)
+    assert all(r[2] <= 2000 * 8 / 8 for r in got.values())  # at most an eighth of the entries
+    x = rng.normal(0, 100, (2000, 8)) * np.array([50.0, 1, 1, 1, 1, 1, 1, 1])  # one list tells
+    x = np.floor(x)
+    got = answers(topk.Lists(np.arange(2000), x), np.arange(6), x[:6], 5)
+    assert {i: r[:2] for i, r in got.items()} == by_products(x, x[:6], range(6), 5)
+    assert max(r[2] for r in got.values()) < 0.6 * 2000 * 8
+
+
+@pytest.mark.parametrize("dims", [8, 64])
+def test_lists_on_even_data(dims):
+    """Evenly spread vectors are read far, but the rule stops before the ends, and no answer is lost."""
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(0, 30, (1500, dims)))
+    x[100:110] = x[50]
+    q = x[:60]
+    got = answers(topk.Lists(np.arange(1500), x), np.arange(60), q, 5)
+    assert {i: r[:2] for i, r in got.items()} == by_products(x, q, range(60), 5)
+    assert max(r[2] for r in got.values()) <= 1500 * dims
+    assert np.mean([r[2] for r in got.values()]) < 0.97 * 1500 * dims
+
+
+def test_queries_without_components_read_nothing():
+    x = np.floor(np.random.default_rng(1).normal(0, 30, (300, 4)))
+    got = answers(topk.Lists(np.arange(300), x), np.array([5]), np.zeros((1, 4)), 3)
+    assert got[0] == ([0, 1, 2], [0, 0, 0], 0)
 
 
 def test_lists_are_exact_for_any_magnitude():
     rng = np.random.default_rng(2)
-    for scale in (3, 3000, 10**7, 10**8):
-        x = rng.integers(-scale, scale, (300, 6)).astype(np.int64)
-        q = rng.integers(-scale, scale, (9, 6)).astype(np.int64)
-        got = {i: (ids.tolist(), s.tolist()) for i, ids, s in topk.Lists(np.arange(300), x).best(np.arange(9), q, 5)}
-        for i in range(9):
-            s = x @ q[i]
-            order = [j for j in np.lexsort((np.arange(300), -s)) if j != i][:5]
-            assert got[i] == (order, s[order].tolist())
+    for scale in (3, 3000, 10**7, 10**8, 10**12):
+        x = rng.integers(-scale, scale, (120, 6)).astype(float)
+        q = rng.integers(-scale, scale, (9, 6)).astype(float)
+        got = answers(topk.Lists(np.arange(120), x), np.arange(9), q, 5)
+        assert {i: r[:2] for i, r in got.items()} == by_products(x, q, range(9), 5)
+
+
+def test_very_large_components(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(4)]) for i in range(60)]
+    rows += [(100, [1e18, 0.0, -1e18, 2.0]), (101, [-1e18, 1.0, 3e4, 0.5]), (110, [1e14] * 4), (120, [1e18, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], VECTORS)
+    got = sorted((r.query_id, r["rank"], r.vec_id, max(-topk.MOST, min(topk.MOST, int(r.score)))) for r in topk.top_k(df, F.col("vec_id") % 10 == 0).collect())
+    assert got == [(i, r, j, max(-topk.MOST, min(topk.MOST, s))) for i, r, j, s in brute_top(rows, 5, 10)]
+
+
+def test_reads_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 100)
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 0.3) for _ in range(12)], 0) for i in range(300)], VECTORS)
+    rows = topk.top_k(df, F.col("vec_id") % 50 == 0, reads=True).collect()
+    assert {r.entries for r in rows} == {300 * 12} and all(12 * 100 < r.entries_read <= r.entries for r in rows)
+    assert len({(r.query_id, r.entries_read) for r in rows}) == 6
 
 
 def turns_of(spark, rows, extra=False):
