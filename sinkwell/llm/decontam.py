@@ -5,8 +5,9 @@ It is split into k + 1 pieces; k edits leave one piece whole, so every match hol
 over all pieces finds the exact hits in a pass over each whole document; around each hit, Myers' bit-parallel distance verifies
 the item against the document.
 
-Test items are the stated query set: they are taken in blocks of at most ``BLOCK_CHARS`` code points (checked), one pass over
-the documents for each block, so that what a task holds is bounded whatever the size of the benchmark.
+Test items are the stated query set: they stream through the driver once and are cut into blocks that end with the item that
+brings them to ``BLOCK_CHARS`` code points, one pass over the documents for each block.  So a task holds one block, whatever the size
+of the benchmark; the plan holds all blocks, and its passes grow with the benchmark.
 
 Defined cases: null and blank items and texts match nothing; an item of fewer than ``min_chars`` code points counts only where it is the
 whole document; repeated documents and items are reported row by row; an empty table gives no rows; extra columns are ignored.
@@ -146,13 +147,16 @@ def _clean(items: list[tuple[int, str]], budget: float, min_chars: int, at: int)
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The test items in normal form, in blocks of bounded size."""
-    items = benchmark.select("item_id", "text").filter("text is not null")
-    total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        yield [(r.item_id, normal(r.text)) for r in rows]
+    """The test items in normal form, in blocks of less than ``BLOCK_CHARS`` code points and one item."""
+    held, size, none = [], 0, True
+    for r in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
+        held.append((r.item_id, normal(r.text)))
+        size += len(held[-1][1])
+        if size >= BLOCK_CHARS:
+            yield held
+            held, size, none = [], 0, False
+    if held or none:
+        yield held
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:

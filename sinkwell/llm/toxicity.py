@@ -6,7 +6,7 @@ gradient steps with an L1 penalty, so words that carry nothing get a weight of e
 severity, the sum of P(grade > j), with the most probable grade.
 
 The classifier is fitted on at most about ``sample`` labelled rows (a documented bound), drawn by hash of the id; only their
-feature codes and grades reach the driver.
+feature codes and grades reach the driver, where the fit takes a bounded number of rounds.
 
 Defined cases: a null or empty text has no features and gets the severity of the thresholds alone; labels with a null grade or id
 are not fitted on; several labels of one document are all fitted on; a table without labels gives severity 0; rows are scored one by one;
@@ -30,8 +30,8 @@ from .groups import ship
 
 BITS = 18
 SAMPLE = 8000
-PENALTY = 4e-4
-ROUNDS = 400
+PENALTY = 5e-5
+ROUNDS = 200
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -74,14 +74,17 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, pe
     momentum_w, momentum_t, a, last = w.copy(), t.copy(), 1.0, np.inf
     step = 1.0
 
-    def loss_of(w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * w[col], n) if len(codes) else np.zeros(n)
+    def scores(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, value * w[col], n) if len(codes) else np.zeros(n)
+
+    def loss_of(z: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         cum = np.concatenate([np.ones((n, 1)), _sigmoid(z[:, None] - t[None, :]), np.zeros((n, 1))], axis=1)
         p = np.maximum(cum[np.arange(n), grade] - cum[np.arange(n), grade + 1], 1e-12)
         return -np.log(p).mean(), cum, p
 
+    z = momentum_z = np.zeros(n)  # scores are linear in the weights, so those of the momentum need no pass of their own
     for _ in range(rounds if k else 0):
-        loss, cum, p = loss_of(momentum_w, momentum_t)
+        loss, cum, p = loss_of(momentum_z, momentum_t)
         slope = cum * (1 - cum)
         upper, lower = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
         dz = -(upper - lower) / p / n
@@ -91,9 +94,10 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, pe
             new_w = momentum_w - step * gw
             new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * penalty, 0)
             new_t = np.maximum.accumulate(momentum_t - step * gt)
+            new_z = scores(new_w)
             d = ((new_w - momentum_w) ** 2).sum() + ((new_t - momentum_t) ** 2).sum()
             bound = loss + (gw * (new_w - momentum_w)).sum() + (gt * (new_t - momentum_t)).sum() + d / (2 * step)
-            now = loss_of(new_w, new_t)[0]
+            now = loss_of(new_z, new_t)[0]
             if now <= bound + 1e-12 or step < 1e-6:
                 break
             step /= 2
@@ -101,7 +105,8 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, pe
         next_a = 1.0 if total > last else (1 + np.sqrt(1 + 4 * a * a)) / 2
         pull = 0.0 if total > last else (a - 1) / next_a
         momentum_w, momentum_t = new_w + pull * (new_w - w), np.maximum.accumulate(new_t + pull * (new_t - t))
-        w, t, a = new_w, new_t, next_a
+        momentum_z = new_z + pull * (new_z - z)
+        w, t, z, a = new_w, new_t, new_z, next_a
         if abs(last - total) < 1e-9:
             break
         last, step = total, step * 1.1

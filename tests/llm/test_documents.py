@@ -399,13 +399,16 @@ def test_near_duplicates_empty(spark):
 
 
 def substring_distance(p, t):
-    row = [0] * (len(t) + 1)
-    for i, c in enumerate(p, 1):
-        new = [i]
-        for j, d in enumerate(t, 1):
-            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
+    """Least edit distance of p to a substring of t: the whole table, a row for each character of p."""
+    c = np.array([ord(x) for x in t], np.int64)
+    place = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for i, x in enumerate(p, 1):
+        new = np.empty(len(t) + 1, np.int64)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (c != ord(x)), row[1:] + 1)
+        row = np.minimum.accumulate(new - place) + place
+    return int(row.min())
 
 
 def test_decontamination_brute_force(spark):
@@ -424,6 +427,9 @@ def test_decontamination_brute_force(spark):
         text[at:at] = [" ", "\n".join("".join(edited).split(" ")), " "] if i % 4 else []
         rows.append((i, "".join(text)))
     rows += [(95, "Short \n one"), (96, "a short one here")]
+    for i, n in ((97, 30_000), (98, 60_000)):  # very long texts, with an edited item far inside and another at the end
+        far = items[1][1][:20] + "zz" + items[1][1][21:]
+        rows.append((i, prose(rng, n // 10) + " " + far + " " + prose(rng, n // 5) + " " + items[2][1][1:]))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     got = {(r.doc_id, r.item_id): r.distance for r in decontam.leaks(docs_of(spark, rows, extra=True), bench).collect()}
     want = {}
@@ -436,7 +442,7 @@ def test_decontamination_brute_force(spark):
             if len(p) < decontam.MIN_CHARS:
                 if p == t:
                     want[d, i] = 0
-            elif len(t) < 3000 and (best := substring_distance(p, t)) <= int(len(p) * decontam.BUDGET):
+            elif (best := substring_distance(p, t)) <= int(len(p) * decontam.BUDGET):
                 want[d, i] = best
     assert got == want and 10 < len(want)
     left = {r.doc_id for r in decontam.clean(docs_of(spark, rows), bench).collect()}
@@ -450,6 +456,9 @@ def test_decontamination_blocks_and_empty(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.leaks(docs_of(spark, [(i, "x " + t + " y") for i, t in items]), bench).collect()
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(i, i, 0) for i in range(6)]
+    blocks = list(decontam.item_blocks(bench))
+    longest = max(len(t) for _, t in items)
+    assert len(blocks) == 3 and all(sum(len(t) for _, t in b) < 100 + longest for b in blocks) and sum(map(len, blocks)) == 6
     assert decontam.leaks(docs_of(spark, EMPTY), bench).collect() == []
     assert decontam.leaks(docs_of(spark, [(1, "abc")]), bench.limit(0)).collect() == []
 
@@ -604,6 +613,55 @@ def test_toxicity_grades_and_messy_rows(spark):
     assert toxicity.score(docs_of(spark, EMPTY), model).collect() == []
 
 
+def likelihood(rows, grade, weight, thresholds):
+    """Mean negative log-likelihood of the cumulative-link model, with plain floats."""
+    total = 0.0
+    for (at, x), g in zip(rows, grade, strict=True):
+        z = sum(weight.get(int(a), 0.0) * float(v) for a, v in zip(at, x, strict=True))
+        above = [1.0, *(1 / (1 + math.exp(t - z)) for t in thresholds), 0.0]
+        total -= math.log(above[g] - above[g + 1])
+    return total / len(rows)
+
+
+def test_ordinal_fit_is_a_minimum_of_the_penalised_likelihood():
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(rng.randrange(1, 8))) for _ in range(400)]
+    grade = np.array([min(2, max(0, t.count("alpha") - t.count("beta") + rng.randrange(-1, 2))) for t in texts])
+    rows = [toxicity.features(t) for t in texts]
+    penalty = 2e-3
+    model = toxicity.fit_ordinal(rows, grade, penalty, 3000)
+    weight = dict(zip(model.at.tolist(), model.weight.tolist(), strict=True))
+
+    def cost(w, t):
+        return likelihood(rows, grade, w, t) + penalty * sum(map(abs, w.values()))
+
+    best = cost(weight, model.thresholds)
+    for code in {int(a) for at, _ in rows for a in at}:
+        for step in (-1e-2, 1e-2):
+            assert cost(weight | {code: weight.get(code, 0.0) + step}, model.thresholds) >= best - 1e-7
+    for j in range(2):
+        for step in (-1e-2, 1e-2):
+            t = model.thresholds.copy()
+            t[j] += step
+            assert cost(weight, t) >= best - 1e-7
+    # predictions are those of the same model, taken apart
+    for t in texts[:40]:
+        at, x = toxicity.features(t)
+        z = sum(weight.get(int(a), 0.0) * float(v) for a, v in zip(at, x, strict=True))
+        assert np.allclose(model.exceed(t), [1 / (1 + math.exp(b - z)) for b in model.thresholds])
+    assert list(model.thresholds) == sorted(model.thresholds) and len({np.round(w, 6) for w in weight.values()}) > 1
+
+
+def test_toxicity_on_held_out_labels(spark, small):
+    big = small.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    fitted = labels.filter("doc_id % 3 <> 0")
+    model = toxicity.fit(docs, fitted, F.col("toxic"))
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs.filter("doc_id % 3 = 0"), model).collect()}
+    held = [(r.toxic, got[r.doc_id]) for r in labels.filter("doc_id % 3 = 0").collect()]
+    assert np.mean([g for t, g in held if t]) > 0.7 and np.mean([g for t, g in held if not t]) < 0.01
+
+
 # ---------------------------------------------------------------- token counts
 
 
