@@ -35,7 +35,7 @@ CENTROIDS = 3
 #: Lengths in letters that part texts into classes for the rejection.
 LENGTHS = (8, 16, 32, 64, 128, 256)
 #: The floor of a length class is this quantile of its fitting texts' cosines times the margin; fewer than FEW do not tell.
-LOW, MARGIN, FEW = 0.01, 0.6, 40
+LOW, MARGIN, FEW = 0.01, 0.5, 40
 UNKNOWN = "und"
 
 
