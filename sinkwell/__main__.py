@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from .operators.metrics import Report
 from .plans.views import VIEWS, write_views
 from .sources.files import read_baseline, regressed
+from .sources.stored import clear
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -31,6 +32,14 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> int:
     a = arguments(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.getOrCreate()
+    try:
+        return report(spark, a)
+    finally:
+        spark.catalog.clearCache()
+        clear(spark)
+
+
+def report(spark: SparkSession, a: argparse.Namespace) -> int:
     names = list(VIEWS) if a.view == "all" else [a.view]
     if a.out:
         write_views(spark, a.data, a.out, names)

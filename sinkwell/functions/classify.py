@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scores import normalized  # noqa: F401  (re-exported for callers that classify and score)
-
 #: Attribute names by family.  Fixed values.
-SVG_SHELL = ("width", "height", "viewBox", "preserveAspectRatio")
+SVG_SHELL = ("width", "height", "viewBox", "viewbox")
 GEOMETRY = ("transform", "x", "y", "cx", "cy", "d", "points", "r", "dx", "dy", "x1", "y1", "x2", "y2", "rx", "ry")
 STYLE = ("class", "className", "style")
 CONTROL_FLOW = ("when", "each", "fallback")
 IDENTITY = ("id", "href", "xlink:href", "for", "name", "headers")
 PACK_RISK = {"relay-bag": 12, "overpacked-bag": 9, "mirror-object": 7, "cohesive-render-model": 0, "normalization-boundary": 0}
 FIRST_CUT = {
+    "svg-shell": "keep shell sizing inline",
+    "local-scalar-geometry": "name repeated local scalars",
+    "geometry-chain": "extract render item geometry",
+    "collection-render-model": "extract rendered items",
     "control-flow-gate": "name the predicate",
     "presentation-pack": "split the class/style object",
     "domain-normalization": "normalize at the boundary",
@@ -86,17 +88,34 @@ def family(attr: Column, category: Column) -> Column:
     )
 
 
-def shapes(attr: Column, category: Column, prop_roots: Column, all_relay: Column) -> Column:
-    """Shape tags in priority order, from the metric columns and facts about the roots."""
+#: Attributes of local scalar geometry, and what rules it out.  Fixed values.
+SCALAR_GEOMETRY = ("cx", "cy", "r", "stroke-dasharray", "strokeDasharray", "stroke-dashoffset", "strokeDashoffset")
+SCALAR_MATH = r"[-+*/%]|(?i)\b(?:Math\.|PI|circumference|radius|center|dash|size|strokeWidth|stroke-width)\b"
+NOT_SCALAR = r"\b(?:map|filter|flatMap|reduce|For|each|index\s*\(|value\s*=>)\b"
+
+
+def shapes(attr: Column, category: Column, prop_roots: Column, all_relay: Column, step_text: Column | None = None, path_text: Column | None = None, has_template: Column | None = None, origins: Column | None = None, cohesive: Column | None = None) -> Column:
+    """Shape tags in priority order, from the metric columns and facts about the roots.
+
+    ``step_text`` holds the labels of the steps, ``path_text`` the sink's own label and expression besides, ``origins`` those of the
+    guards; ``cohesive`` tells of a cohesive render model among the packs.  What is not given is absent.
+    """
+    no, text = F.lit(False), F.lit("") if step_text is None else F.coalesce(step_text, F.lit(""))
+    path = text if path_text is None else F.coalesce(path_text, F.lit(""))
+    template = no if has_template is None else has_template
+    defaults = no if origins is None else F.exists(origins, lambda o: o.rlike("(?i)solid prop default"))
+    scalar = attr.isin(*SCALAR_GEOMETRY) & ~(no if cohesive is None else cohesive) & ~path.rlike(NOT_SCALAR) & (F.col("pack_risk") <= 0) & path.rlike(SCALAR_MATH)
     control, guards = F.col("control_dependency_count"), F.col("defensive_operation_count")
     return F.array_compact(
         F.array(
             F.when(attr.isin(*SVG_SHELL), "svg-shell"),
-            F.when(attr.isin(*GEOMETRY), "geometry-chain"),
-            F.when((category == "render-control") & (attr == "each"), "collection-render-model"),
+            F.when(scalar, "local-scalar-geometry"),
+            F.when(attr.isin(*GEOMETRY) | (template & (control > 0)), "geometry-chain"),
+            F.when(((category == "render-control") & (attr == "each")) | text.rlike(r"\.(map|filter|sort|flatMap|reduce|slice)\("), "collection-render-model"),
             F.when(attr.isin("when", "fallback") | ((control > 0) & (guards > 0) & (category == "render-control")), "control-flow-gate"),
             F.when((category == "style") | ((F.col("representation_churn") > 0) & attr.isin(*STYLE)), "presentation-pack"),
             F.when((guards > 0) | ((control > 0) & prop_roots), "domain-normalization"),
+            F.when(defaults, "solid-prop-default-boundary"),
             F.when((F.col("merge_width") > 1) & (F.col("helper_hops") == 0) & all_relay, "cross-component-relay"),
         )
     )
@@ -107,6 +126,7 @@ def primary_shape(tags: Column, fam: Column, category: Column) -> Column:
         F.when((fam == "svg-shell") & F.array_contains(tags, "svg-shell"), "svg-shell")
         .when((category == "style") & F.array_contains(tags, "presentation-pack"), "presentation-pack")
         .when((category == "render-control") & F.array_contains(tags, "control-flow-gate"), "control-flow-gate")
+        .when(F.array_contains(tags, "solid-prop-default-boundary") & ((F.try_element_at(tags, F.lit(1)) == "domain-normalization") | (F.size(tags) == 1)), "solid-prop-default-boundary")
         .otherwise(F.coalesce(F.try_element_at(tags, F.lit(1)), F.lit("uncategorized")))
     )
 

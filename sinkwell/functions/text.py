@@ -120,3 +120,9 @@ def delta_label(before: Column, after: Column) -> Column:
 
 def shell_quote(s: Column) -> Column:
     return F.when(s.rlike(r"^[A-Za-z0-9_./:=@-]+$"), s).otherwise(F.concat(F.lit("'"), F.regexp_replace(s, "'", r"'\\''"), F.lit("'")))
+
+
+def positive_limit(value: Column, fallback: int | float) -> Column:
+    """FN-30: a limit of at least 1, rounded down; the fallback for null, non-finite and smaller values."""
+    usable = value.isNotNull() & ~F.isnan(value.cast("double")) & (F.abs(value.cast("double")) < float("inf")) & (value >= 1)
+    return F.when(usable, F.floor(value)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(fallback)))).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -18,34 +19,44 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full_outer").na.fill(0)
 
 
-def levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+#: Hops of a path, after which it is given as truncated.  The bound of the reported contract.
+MOST_HOPS = 120
+
+
+def levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """GRF-1/GRF-10: breadth-first distance of every vertex reached from ``seeds`` (id); one join per level, no path is kept.
 
-    Edges and every level are written once, so a level never runs the ones before it again; the search ends with an empty level.
+    Edges and every level are written once, so a level never runs the ones before it again.  The search ends with an empty level, or
+    after ``depth`` levels where one is given.
     """
     hops = stored(edges.select("src", "dst").distinct(), "hops")
-    seen = seeds.select("id").distinct().withColumn("distance", F.lit(0))
-    front = seen
-    for d in range(1, depth + 1):
+    seen = front = seeds.select("id").distinct().withColumn("distance", F.lit(0))
+    for d in count(1):
+        if depth is not None and d > depth:
+            return seen
         new = front.join(hops, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         front = stored(new.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(d)), "level")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.union(front)
-    return seen
 
 
-def simple_paths(edges: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
-    """GRF-6: all simple paths that lead to ``ends`` (id), backwards, as arrays in forward order, to the sources."""
-    into = edges.select("src", "dst").distinct()
+def simple_paths(edges: DataFrame, ends: DataFrame, depth: int = MOST_HOPS) -> DataFrame:
+    """GRF-6: all simple paths that lead to ``ends`` (id), backwards, as arrays in forward order, to the sources.
+
+    Edges and every level are written once.  ``truncated`` marks paths that were still open after ``depth`` hops.
+    """
+    into = stored(edges.select("src", "dst").distinct(), "into")
     open_, done = ends.select(F.array("id").alias("path")), []
     for _ in range(depth):
         head = F.element_at("path", 1)
         step = open_.join(into, head == F.col("dst"), "left").filter(F.col("src").isNull() | ~F.array_contains("path", F.col("src")))
-        done.append(step.filter("src is null").select("path"))
+        step = stored(step.select("path", "src"), "paths")
+        done.append(step.filter("src is null").select("path", F.lit(False).alias("truncated")))
         open_ = step.filter("src is not null").select(F.concat(F.array("src"), "path").alias("path"))
-    done.append(open_)
-    return reduce(DataFrame.union, done)
+        if open_.isEmpty():
+            return reduce(DataFrame.union, done)
+    return reduce(DataFrame.union, [*done, open_.withColumn("truncated", F.lit(True))])
 
 
 def merged_steps(paths: DataFrame) -> DataFrame:
@@ -56,25 +67,48 @@ def merged_steps(paths: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count("*").alias("paths"), F.min("depth").alias("min_depth"))
 
 
-def stitched(producers: DataFrame, consumers: DataFrame) -> DataFrame:
-    """JOIN-12/GRF-7: join paths at a label that belongs to exactly one producer component."""
-    sole = producers.groupBy("label").agg(F.count_distinct("component").alias("n")).filter("n = 1").select("label")
-    left = producers.join(sole, "label").select("label", F.col("path").alias("before"))
-    return left.join(consumers.select("label", F.col("path").alias("after")), "label").select("label", F.concat("before", "after").alias("path"))
+def stitched(segments: DataFrame, depth: int = MOST_HOPS) -> DataFrame:
+    """JOIN-12/GRF-7: whole paths from segments that components hand to one another.
 
-
-def contract(edges: DataFrame, hidden: DataFrame, depth: int) -> DataFrame:
-    """GRF-18: drop the hidden vertices and connect what they linked."""
-    gone = hidden.select(F.col("id").alias("_h")).distinct()
-    rows = edges.select("src", "dst").distinct()
-    out = []
-    visible_src = rows.join(gone, F.col("src") == F.col("_h"), "left_anti")
-    for _ in range(depth):
-        out.append(visible_src.join(gone, F.col("dst") == F.col("_h"), "left_anti"))
-        stuck = visible_src.join(gone, F.col("dst") == F.col("_h"), "left_semi").select("src", F.col("dst").alias("_via"))
-        nxt = rows.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
-        visible_src = stuck.join(nxt, F.col("_via") == F.col("_from")).select("src", F.col("_to").alias("dst")).distinct()
-    return reduce(DataFrame.union, out).filter("src <> dst").distinct()
+    A segment has a ``path``, the label that it ``feeds`` (null: it ends in a sink), the label it is ``fed_by`` (null: it begins at a
+    source) and its ``component``.  A segment is joined upstream only at a label with exactly one producing component, and at no label
+    twice.  Levels are written until no path grows.  Returns label (the first hand-off met, seen from the sink), path, hops and
+    ``truncated``; segments without a hand-off are no stitched paths.
+    """
+    known = segments.select("feeds", "fed_by", "component", "path")
+    sole = known.filter("feeds is not null").groupBy("feeds").agg(F.count_distinct("component").alias("n")).filter("n = 1").select("feeds")
+    made = stored(known.join(sole, "feeds").select(F.col("feeds").alias("_at"), F.col("fed_by").alias("_next"), F.col("path").alias("_before")), "producers")
+    empty = F.array().cast("array<string>")
+    open_ = known.filter("feeds is null and fed_by is not null").select(F.col("fed_by").alias("label"), "fed_by", "path", empty.alias("seen"))
+    done = []
+    for hops in range(depth):
+        step = open_.join(made, (F.col("fed_by") == F.col("_at")) & ~F.array_contains("seen", F.col("fed_by")), "left")
+        step = stored(step, "stitches")
+        ends = step.filter("_before is null").filter(F.lit(hops > 0))  # no producer, or a label met before
+        done.append(ends.select("label", "path", F.lit(hops).alias("hops"), F.lit(False).alias("truncated")))
+        grown = step.filter("_before is not null").select("label", F.col("_next").alias("fed_by"), F.concat("_before", "path").alias("path"), F.array_append("seen", F.col("fed_by")).alias("seen"))
+        done.append(grown.filter("fed_by is null").select("label", "path", F.lit(hops + 1).alias("hops"), F.lit(False).alias("truncated")))
+        open_ = grown.filter("fed_by is not null")
+        if open_.isEmpty():
+            return reduce(DataFrame.union, done)
+    return reduce(DataFrame.union, [*done, open_.select("label", "path", F.lit(depth).alias("hops"), F.lit(True).alias("truncated"))])
+
+
+def contract(edges: DataFrame, hidden: DataFrame) -> DataFrame:
+    """GRF-18: drop the hidden vertices and connect what they linked, through chains of any length."""
+    gone = stored(hidden.select(F.col("id").alias("_h")).distinct(), "hidden")
+    rows = stored(edges.select("src", "dst").distinct(), "rows")
+    nxt = rows.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
+    front = rows.join(gone, F.col("src") == F.col("_h"), "left_anti")
+    out, seen = [], None
+    while True:
+        out.append(front.join(gone, F.col("dst") == F.col("_h"), "left_anti"))
+        stuck = front.join(gone, F.col("dst") == F.col("_h"), "left_semi").select("src", F.col("dst").alias("_via"))
+        stuck = stored(stuck if seen is None else stuck.join(seen, ["src", "_via"], "left_anti"), "stuck")
+        if stuck.isEmpty():
+            return reduce(DataFrame.union, out).filter("src <> dst").distinct()
+        seen = stuck if seen is None else seen.union(stuck)
+        front = stored(stuck.join(nxt, F.col("_via") == F.col("_from")).select("src", F.col("_to").alias("dst")).distinct(), "front")
 
 
 def unique_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,28 +133,38 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.join(nodes.select("id"), "id", "left_anti").groupBy("id", "end").agg(F.count("*").alias("n"))
 
 
+def checked_gaps(gaps: DataFrame, elements: DataFrame) -> DataFrame:
+    """VAL-6: ``gaps`` (id, src, dst), unchanged; an end that is not null and no element fails the job when the gaps are read."""
+    known = elements.select("id").distinct()
+    out = gaps
+    for end in ("src", "dst"):
+        out = out.join(known.select(F.col("id").alias(f"_{end}")), F.col(end) == F.col(f"_{end}"), "left")
+        bad = F.col(end).isNotNull() & F.col(f"_{end}").isNull()
+        text = F.concat(F.lit("gap "), F.col("id").cast("string"), F.lit(f" has an unknown {end} "), F.col(end).cast("string"))
+        out = out.withColumn(end, F.when(bad, F.raise_error(text).cast(gaps.schema[end].dataType)).otherwise(F.col(end))).drop(f"_{end}")
+    return out
+
+
 def repeated_ids(nodes: DataFrame) -> DataFrame:
     """VAL-1: ids that occur more than once."""
     return nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def best_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def best_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """GRF-12: per vertex the shortest path from a seed, ties to the least path; partial if any step is.
 
-    ``edges`` has src, dst and status.  Only the best path of each vertex goes on to the next level.
+    ``edges`` has src, dst and status.  Only the best path of each vertex goes on to the next level, until a level is empty.
     """
     hops = stored(edges.select("src", "dst", "status").distinct(), "hops")
-    front = seeds.select("id", F.array("id").alias("path"), F.lit(False).alias("partial"))
-    seen = front
-    for _ in range(depth):
+    seen = front = seeds.select("id", F.array("id").alias("path"), F.lit(False).alias("partial"))
+    while True:
         step = front.join(hops, F.col("id") == F.col("src"))
         step = step.select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"), (F.col("partial") | (F.col("status") == "partial")).alias("partial"))
         best = step.groupBy("id").agg(F.min(F.struct("path", "partial")).alias("b")).select("id", "b.*")
         front = stored(best.join(seen.select("id"), "id", "left_anti"), "level")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.union(front)
-    return seen
 
 
 def unique_paths(paths: DataFrame) -> DataFrame:

@@ -2,39 +2,51 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, scores
 from ..sources import star
-from ..sources.stored import stored
 
 
-def sink_metrics(sinks: DataFrame, items: DataFrame, defenses: DataFrame) -> DataFrame:
-    """AGG-1: counts per sink from step kinds and distinct sites; sinks without steps get zeros."""
+def sink_metrics(facts: DataFrame) -> DataFrame:
+    """AGG-1: counts per sink from step kinds and distinct sites, row by row over ``steps``; sinks without steps get zeros."""
+    steps = F.col("steps")
+
+    def size(x: Column) -> Column:
+        return F.size(x).cast("long")
+
     def kind(k: str) -> Column:
-        return F.count_if(F.col("kind") == k)
-
-    steps = items.groupBy("sink_id").agg(
-        F.count("*").alias("n"),
-        kind("call").alias("helper_hops"),
-        kind("conditional").alias("control_dependency_count"),
-        kind("unknown").alias("unknown_edge_count"),
-        F.size(F.collect_set(F.when(F.col("kind") == "object-pack", F.col("part")))).cast("long").alias("representation_churn"),
-        F.size(F.collect_set("part")).cast("long").alias("parts"),
-        F.size(F.collect_set("supplier")).cast("long").alias("suppliers"),
-        F.max((F.col("part") % 2 == 0).cast("int")).alias("any_prop"),
-        F.min((F.col("part") % 2 == 0).cast("int")).alias("all_prop"),
-    )
-    guards = defenses.groupBy("sink_id").agg(
-        F.count("*").alias("defensive_operation_count"),
-        F.count_if(F.col("origin").rlike(classify.CERTAINTY)).alias("certainty_boundary_defense_count"),
-        F.count_if(F.col("verdict") == "impossible").alias("impossible_defense_count"),
-        F.count_if(F.col("verdict") == "unknown").alias("unknown_verdicts"),
+        return size(F.filter(steps, lambda s: s["kind"] == k))
+
+    def sites(test) -> Column:
+        return size(F.filter(F.col("sites"), test))
+
+    def even(s: Column) -> Column:
+        return s["part"] % 2 == 0
+
+    out = facts.withColumn("sites", star.sites_of(steps)).withColumns(
+        {
+            "n": size(steps),
+            "helper_hops": kind("call"),
+            "control_dependency_count": kind("conditional"),
+            "unknown_edge_count": kind("unknown"),
+            "representation_churn": size(F.array_distinct(F.transform(F.filter(steps, lambda s: s["kind"] == "object-pack"), lambda s: s["part"]))),
+            "parts": size(F.array_distinct("steps.part")),
+            "suppliers": size(F.array_distinct("steps.supplier")),
+            "any_prop": F.exists(steps, even).cast("int"),
+            "all_prop": (F.forall(steps, even) & (F.size(steps) > 0)).cast("int"),
+            "defensive_operation_count": size(F.col("sites")),
+            "certainty_boundary_defense_count": sites(lambda d: d["origin"].rlike(classify.CERTAINTY)),
+            "impossible_defense_count": sites(lambda d: d["verdict"] == "impossible"),
+            "unknown_verdicts": sites(lambda d: d["verdict"] == "unknown"),
+        }
     )
-    out = sinks.join(steps, "sink_id", "left").join(guards, "sink_id", "left").na.fill(0)
     literal = F.col("has_literal").cast("int")
-    return out.withColumns(
+    return out.drop("steps", "sites").withColumns(
         {
             "maximum_path_depth": F.col("n"),
             "slice_size": F.col("n") * 2,
@@ -159,39 +171,47 @@ def with_scores(metrics: DataFrame) -> DataFrame:
 
 
 class Report:
-    """The tables of one report, each built on demand.
+    """The tables of one report.  Nothing runs before a result is asked for.
 
-    Many views read the scored sinks, some of them twice, so these are written once per report and read from there.
+    Sinks with their steps, and their metrics, are persisted: the branches of one plan, and later reports over the same tables in
+    this session, read them from there.  ``spark.catalog.clearCache()`` gives them up.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, sinks: DataFrame | None = None):
         self.spark, self.sf_dir = spark, sf_dir
         self.sinks = star.sinks(spark, sf_dir) if sinks is None else sinks
         self.items = star.items(spark, sf_dir)
-        self.defenses = star.defenses(spark, sf_dir)
-        self.roots = star.roots(spark, sf_dir)
-        self.packs = star.packs(spark, sf_dir)
-        self._grounded: DataFrame | None = None
-        self._scored: DataFrame | None = None
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return star.facts(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def roots(self) -> DataFrame:
+        return star.roots_of(self.facts)
+
+    @cached_property
+    def defenses(self) -> DataFrame:
+        return star.defenses_of(self.facts)
+
+    @cached_property
+    def packs(self) -> DataFrame:
+        return star.packs_of(self.facts)
+
+    @cached_property
+    def _grounded(self) -> DataFrame:
+        out = sink_metrics(self.facts).join(sink_reach(self.roots), "sink_id", "left")
+        return out.withColumn("reachable_sinks", F.coalesce("reachable_sinks", F.lit(1).cast("long"))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def grounded(self) -> DataFrame:
-        if self._grounded is not None:
-            return self._grounded
-        reach = sink_reach(self.roots)
-        out = sink_metrics(self.sinks, self.items, self.defenses).join(reach, "sink_id", "left")
-        return out.withColumn("reachable_sinks", F.coalesce("reachable_sinks", F.lit(1).cast("long")))
+        return self._grounded
 
     def pack_groups(self) -> DataFrame:
         return pack_groups(self.grounded(), self.packs, self.roots)
 
     def scored(self) -> DataFrame:
         """All sinks with metrics and scores."""
-        if self._scored is None:
-            self._grounded = stored(self.grounded(), "grounded")
-            packs = stored(self.packs, "packs")
-            groups = pack_groups(self._grounded, packs, self.roots)
-            self._scored = stored(with_scores(with_packs(self._grounded, packs, groups)), "scored")
-        return self._scored
+        return with_scores(with_packs(self.grounded(), self.packs, self.pack_groups()))
 
     def ranked(self) -> DataFrame:
         """FLT-4 and FLT-3: what the rankings hold."""

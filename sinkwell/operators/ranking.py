@@ -8,6 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+#: Input positions that are numbered together where scores are equal.
+CHUNK = 65_536
+#: Areas and trajectories that a map shows.  A fixed value.
+CHOSEN = 400
 
 
 def burden_order() -> list[Column]:
@@ -18,16 +22,19 @@ def burden_order() -> list[Column]:
 def global_rank(rows: DataFrame, score: str, name: str = "rank") -> DataFrame:
     """WIN-1: the place of every row by ``score`` (0 to 1) descending, then seq, without one task for all rows.
 
-    Rows are counted by score bucket, the counts are added up over the few buckets, and rows are numbered within
-    their bucket.
+    Rows are counted by score bucket and, inside it, by score and chunk of seq, so that equal scores are split too.  Counts are added up
+    over the few buckets, then within a bucket; rows are numbered within their score and chunk.
     """
-    rounded = F.round(F.col(score), 9)
-    rows = rows.withColumn("_bucket", F.floor((1 - rounded) * BUCKETS).cast("int"))
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_bucket").orderBy(F.desc(rounded), "seq")
-    return rows.join(offsets, "_bucket").withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_bucket", "_before")
+    past = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_s", F.round(F.col(score), 9)).withColumn("_chunk", F.floor(F.col("seq") / CHUNK))
+    rows = rows.withColumn("_bucket", F.floor((1 - F.col("_s")) * BUCKETS).cast("int"))
+    fine = rows.groupBy("_bucket", "_s", "_chunk").agg(F.count("*").alias("_n"))
+    tops = fine.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    tops = tops.select("_bucket", F.coalesce(F.sum("_n").over(past(W.orderBy("_bucket"))), F.lit(0)).alias("_above"))
+    inner = F.coalesce(F.sum("_n").over(past(W.partitionBy("_bucket").orderBy(F.desc("_s"), "_chunk"))), F.lit(0))
+    offsets = fine.withColumn("_inner", inner).join(tops, "_bucket").select("_s", "_chunk", (F.col("_above") + F.col("_inner")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_s", "_chunk").orderBy("seq"))
+    return rows.join(offsets, ["_s", "_chunk"]).withColumn(name, F.col("_before") + place).drop("_bucket", "_before", "_s", "_chunk")
 
 
 def head(rows: DataFrame, n: int) -> DataFrame:
@@ -54,11 +61,20 @@ def spread(rows: DataFrame, n: int, per_file: int = 2, per_feature: int = 4) ->
     return kept.orderBy(*burden_order()).limit(n).drop("_f", "_g")
 
 
+def firsts_first(rows: DataFrame, n: int) -> DataFrame:
+    """WIN-14: n rows, the worst of every file first (tier 0), then the worst of the rest (tier 1).
+
+    The worst of a file comes from an aggregate, not from a window over all its rows.
+    """
+    worst = rows.groupBy("file").agg(F.max(F.struct(F.round("burden", 9).alias("b"), (-F.col("seq")).alias("s"))).alias("w")).select((-F.col("w.s")).alias("seq"))
+    first = rows.join(worst, "seq", "left_semi").withColumn("tier", F.lit(0)).orderBy(*burden_order()).limit(n)
+    rest = rows.join(worst, "seq", "left_anti").withColumn("tier", F.lit(1)).orderBy(*burden_order()).limit(n)
+    return first.union(rest).orderBy("tier", *burden_order()).limit(n)
+
+
 def coverage(rows: DataFrame, n: int) -> DataFrame:
     """WIN-5: the worst of every file first, then the rest."""
-    first = F.row_number().over(W.partitionBy("file").orderBy(*burden_order())) == 1
-    tiered = rows.withColumn("_tier", F.when(first, 0).otherwise(1))
-    return tiered.orderBy("_tier", *burden_order()).limit(n).drop("_tier")
+    return firsts_first(rows, n).drop("tier")
 
 
 def diverse(rows: DataFrame, n: int, weight: float) -> DataFrame:

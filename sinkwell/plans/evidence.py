@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graphs as G
 from ..operators import metrics as M
+from ..operators.ranking import CHOSEN
 from ..sources import markup, star
 from ..sources.tables import table
 from .markup import NESTED, TAGS
@@ -93,7 +94,7 @@ def join24(spark, sf):
 @query("grf10_import_closure", GRAPH + ", e AS (SELECT * FROM edges WHERE src NOT LIKE 'p:%' AND dst NOT LIKE 'o:%'), walk(id, d) AS (SELECT DISTINCT src, 0 FROM e WHERE src LIKE 'r:%' UNION SELECT e.dst, d + 1 FROM walk JOIN e ON e.src = id WHERE d < 5) SELECT id, min(d)::INTEGER AS distance FROM walk GROUP BY id")
 def grf10(spark, sf):
     e = star_edges(spark, sf).filter("src not like 'p:%' and dst not like 'o:%'")
-    return G.levels(e, table(spark, sf, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id")), 5)
+    return G.levels(e, table(spark, sf, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id")))
 
 
 @query("grf21_ancestry", TAGS + f""", e AS (SELECT *, (SELECT max(p.pos) FROM tags p WHERE NOT p.closing AND p.page_id = t.page_id AND p.pos < t.pos AND p.level = t.level - 1 AND p.tag IN {NESTED}) AS parent FROM tags t WHERE NOT closing AND tag IN ('li', 'ul', 'nav', 'body', 'html'))
@@ -224,14 +225,14 @@ def win20(spark, sf):
 
 
 @query("win15_area_selection", ALL + """, a AS (SELECT file, sum(reach)::BIGINT AS volume, count(*) AS n FROM ranked GROUP BY file), s AS (SELECT *, row_number() OVER (ORDER BY volume DESC, file) AS by_volume, row_number() OVER (ORDER BY n DESC, file) AS by_count FROM a)
-    SELECT file, least(2 * by_volume - 1, 2 * by_count)::BIGINT AS turn FROM s ORDER BY turn LIMIT 10""")
+    SELECT file, least(2 * by_volume - 1, 2 * by_count)::BIGINT AS turn FROM s ORDER BY turn LIMIT 400""")
 def win15(spark, sf):
     """Two rankings are read in turns: the first takes odd turns, the second even ones.  Areas are files: few rows."""
     a = M.Report(spark, sf).ranked().groupBy("file").agg(F.sum("reachable_sinks").alias("volume"), F.count("*").alias("n"))
-    by_volume = a.orderBy(F.desc("volume"), "file").limit(10).withColumn("turn", 2 * F.row_number().over(W.orderBy(F.desc("volume"), "file")) - 1)
-    by_count = a.orderBy(F.desc("n"), "file").limit(10).withColumn("turn", 2 * F.row_number().over(W.orderBy(F.desc("n"), "file")))
+    by_volume = a.orderBy(F.desc("volume"), "file").limit(CHOSEN).withColumn("turn", 2 * F.row_number().over(W.orderBy(F.desc("volume"), "file")) - 1)
+    by_count = a.orderBy(F.desc("n"), "file").limit(CHOSEN).withColumn("turn", 2 * F.row_number().over(W.orderBy(F.desc("n"), "file")))
     rows = by_volume.select("file", "turn").union(by_count.select("file", "turn")).groupBy("file").agg(F.min("turn").cast("long").alias("turn"))
-    return rows.orderBy("turn").limit(10)
+    return rows.orderBy("turn").limit(CHOSEN)
 
 
 @query("set1_first_seen_unique", BASE + " SELECT label, min(sink_id) AS first_seen FROM owned GROUP BY label")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..operators import graphs as G
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..sources import markup, star
+from ..sources.stored import stored
 from ..sources.tables import table
 from .markup import NESTED, TAGS
 from .ranked import fan_out, r9
@@ -146,23 +149,26 @@ def grf8(spark, sf):
     up2 AS (SELECT u.page_id, u.pos, u.tag, CASE WHEN p.tag IN ('ul', 'li') THEN p.parent ELSE u.parent END AS parent FROM up1 u LEFT JOIN e p ON p.page_id = u.page_id AND p.pos = u.parent)
     SELECT page_id, pos, tag, parent FROM up2 WHERE tag NOT IN ('ul', 'li')""")
 def grf27(spark, sf):
-    return condensed(markup.elements(table(spark, sf, "pages")), ("ul", "li"), 2)
+    return condensed(markup.elements(table(spark, sf, "pages")), ("ul", "li"))
 
 
-def condensed(elements: DataFrame, wrappers: tuple[str, ...], depth: int) -> DataFrame:
-    """GRF-19/GRF-27: elements without wrappers, each under its nearest visible ancestor, through at most ``depth`` wrappers."""
-    up = elements.filter(F.col("tag").isin(*wrappers)).select("page_id", F.col("pos").alias("parent"), F.col("parent").alias("_above"), F.lit(True).alias("_through"))
-    rows = elements.filter(~F.col("tag").isin(*wrappers)).select("page_id", "pos", "tag", "parent")
-    for _ in range(depth):
-        rows = rows.join(up, ["page_id", "parent"], "left").select("page_id", "pos", "tag", F.when(F.col("_through"), F.col("_above")).otherwise(F.col("parent")).alias("parent"))
-    return rows
+def condensed(elements: DataFrame, wrappers: tuple[str, ...]) -> DataFrame:
+    """GRF-19/GRF-27: elements without wrappers, each under its nearest visible ancestor, through any number of wrappers."""
+    elements = stored(elements, "elements")
+    up = elements.filter(F.col("tag").isin(*wrappers)).select("page_id", F.col("pos").alias("parent"), F.col("parent").alias("_above"))
+    open_, done = elements.filter(~F.col("tag").isin(*wrappers)).select("page_id", "pos", "tag", "parent"), []
+    while True:
+        done.append(open_.join(up, ["page_id", "parent"], "left_anti").select("page_id", "pos", "tag", "parent"))
+        open_ = stored(open_.join(up, ["page_id", "parent"]).select("page_id", "pos", "tag", F.col("_above").alias("parent")), "open")
+        if open_.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
-@query("grf23_relation_files", BASE + " SELECT 'part.' || part AS element, count(DISTINCT s.file) AS files FROM items i JOIN sinks s USING (sink_id) WHERE part < 200 GROUP BY part")
+@query("grf23_relation_files", BASE + " SELECT 'part.' || part AS element, count(DISTINCT s.file) AS files FROM items i JOIN sinks s USING (sink_id) GROUP BY part")
 def grf23(spark, sf):
-    """GRF-23: which files can emit relations of an element; the element filter reaches the scan."""
+    """GRF-23: which files can emit relations of each element."""
     r = M.Report(spark, sf)
-    rows = r.items.filter("part < 200").join(r.sinks.select("sink_id", "file"), "sink_id")
+    rows = r.items.join(r.sinks.select("sink_id", "file"), "sink_id")
     return rows.groupBy(F.concat(F.lit("part."), "part").alias("element")).agg(F.count_distinct("file").alias("files"))
 
 

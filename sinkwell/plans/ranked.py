@@ -39,7 +39,7 @@ PIVOTS = "pivots AS (SELECT sink_id, min(label) AS pivot FROM owned GROUP BY sin
 )
 def agg1(spark: SparkSession, sf: str) -> DataFrame:
     r = M.Report(spark, sf)
-    return M.sink_metrics(r.sinks, r.items, r.defenses).select(
+    return M.sink_metrics(r.facts).select(
         "sink_id", "maximum_path_depth", "slice_size", "helper_hops", "representation_churn", "defensive_operation_count", "actionable_defensive_operation_count",
         "certainty_boundary_defense_count", "impossible_defense_count", "control_dependency_count", "merge_width", "repeated_normalization", "unknown_edge_count",
     )
@@ -430,7 +430,7 @@ def cls2(spark, sf):
 @query(
     "cls10_families_and_shapes",
     ALL
-    + """ SELECT sink_id, family, shape, ownership, CASE shape WHEN 'control-flow-gate' THEN 'name the predicate' WHEN 'presentation-pack' THEN 'split the class/style object' WHEN 'domain-normalization' THEN 'normalize at the boundary'
+    + """ SELECT sink_id, family, shape, ownership, CASE shape WHEN 'svg-shell' THEN 'keep shell sizing inline' WHEN 'geometry-chain' THEN 'extract render item geometry' WHEN 'collection-render-model' THEN 'extract rendered items' WHEN 'control-flow-gate' THEN 'name the predicate' WHEN 'presentation-pack' THEN 'split the class/style object' WHEN 'domain-normalization' THEN 'normalize at the boundary'
     WHEN 'cross-component-relay' THEN 'move state behind context' ELSE 'local boundary cleanup' END AS first_cut FROM scored""",
 )
 def cls10(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from ..sources.tables import table
 from .registry import query
 from .star_sql import ALL, BASE
 
+#: Sinks that a list of reached or affected sinks shows.  A fixed value.
+REACHED = 50
+
 # ---------------------------------------------------------------- joins over facts
 
 
@@ -21,11 +26,11 @@ from .star_sql import ALL, BASE
     "join1_reached_via",
     BASE
     + """, fed AS (SELECT label, count(*) AS n FROM owned GROUP BY label), nth AS (SELECT label, sink_id, row_number() OVER (PARTITION BY label ORDER BY sink_id) AS k FROM owned),
-    firsts AS (SELECT o.sink_id, o.label, n.sink_id AS other, row_number() OVER (PARTITION BY o.sink_id, o.label ORDER BY n.sink_id) AS j FROM owned o JOIN nth n ON n.label = o.label AND n.k <= 6 AND n.sink_id <> o.sink_id)
-    SELECT f.sink_id, f.label, any_value(fed.n) - 1 AS total, string_agg(other, ',' ORDER BY other) AS sinks FROM firsts f JOIN fed USING (label) WHERE j <= 5 GROUP BY f.sink_id, f.label""",
+    firsts AS (SELECT o.sink_id, o.label, n.sink_id AS other, row_number() OVER (PARTITION BY o.sink_id, o.label ORDER BY n.sink_id) AS j FROM owned o JOIN nth n ON n.label = o.label AND n.k <= 51 AND n.sink_id <> o.sink_id)
+    SELECT f.sink_id, f.label, any_value(fed.n) - 1 AS total, string_agg(other, ',' ORDER BY other) AS sinks FROM firsts f JOIN fed USING (label) WHERE j <= 50 GROUP BY f.sink_id, f.label""",
 )
 def join1(spark, sf):
-    return reached_via(M.actionable(M.Report(spark, sf).roots), cap=5)
+    return reached_via(M.actionable(M.Report(spark, sf).roots), REACHED)
 
 
 def reached_via(owned: DataFrame, cap: int) -> DataFrame:
@@ -59,15 +64,36 @@ def join2(spark, sf):
 @query(
     "join3_unknown_affected_sinks",
     BASE
-    + """, u AS (SELECT DISTINCT s.file, 'part.' || i.part AS label FROM items i JOIN sinks s USING (sink_id) WHERE i.kind = 'unknown'),
-    hit AS (SELECT DISTINCT u.file, u.label, o.sink_id FROM u JOIN owned o ON o.label = u.label JOIN sinks s ON s.sink_id = o.sink_id AND s.file = u.file)
-    SELECT file, label, count(*) AS affected, min(sink_id) AS first_sink FROM hit GROUP BY file, label""",
+    + """, u AS (SELECT DISTINCT s.file, 'part.' || i.part AS label, 'unknown' AS kind FROM items i JOIN sinks s USING (sink_id) WHERE i.kind = 'unknown'
+                 UNION SELECT s.file, 'supplier.' || i.supplier, 'parameter' FROM items i JOIN sinks s USING (sink_id) WHERE i.kind = 'unknown'),
+    by_root AS (SELECT label, kind, sink_id FROM (SELECT *, row_number() OVER (PARTITION BY label, kind ORDER BY sink_id) AS k FROM roots) WHERE k <= 50),
+    hit AS (SELECT u.file, u.label, u.kind, r.sink_id FROM u JOIN by_root r ON r.label = u.label AND r.kind = u.kind
+            UNION SELECT u.file, u.label, u.kind, s.sink_id FROM u JOIN items i ON 'part.' || i.part = u.label AND i.kind = u.kind JOIN sinks s ON s.sink_id = i.sink_id AND s.file = u.file),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY file, label, kind ORDER BY sink_id) AS k FROM hit)
+    SELECT file, label, kind, string_agg(sink_id::VARCHAR, ',' ORDER BY sink_id) AS sinks FROM nth WHERE k <= 50 GROUP BY file, label, kind""",
 )
 def join3(spark, sf):
     r = M.Report(spark, sf)
-    edges = unknown_items(r).select("file", "label").distinct()
-    hits = r.roots.join(r.sinks.select("sink_id", "file"), "sink_id").select("file", "label", "sink_id")
-    return edges.join(hits, ["file", "label"]).distinct().groupBy("file", "label").agg(F.count("*").alias("affected"), F.min("sink_id").alias("first_sink"))
+    at = r.sinks.select("sink_id", "file")
+    unknown = r.items.filter("kind = 'unknown'").join(at, "sink_id")
+    part = F.concat(F.lit("part."), "part").alias("label")
+    edges = unknown.select("file", part, "kind").union(unknown.select("file", F.concat(F.lit("supplier."), "supplier"), F.lit("parameter"))).distinct()
+    return affected_sinks(edges, r.roots, r.items.join(at, "sink_id").select("sink_id", "file", part, "kind"), REACHED)
+
+
+def affected_sinks(edges: DataFrame, roots: DataFrame, steps: DataFrame, cap: int) -> DataFrame:
+    """JOIN-3: the first ``cap`` sinks that an edge (file, label, kind) affects: through a root of its label and kind anywhere, or such a step of its file.
+
+    Both sides are cut to their first sinks before they meet the edges.
+    """
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy("sink_id"))).filter(F.col("_k") <= cap).drop("_k")
+
+    by_root = edges.join(first(roots.select("sink_id", "label", "kind").distinct(), "label", "kind"), ["label", "kind"]).select("file", "label", "kind", "sink_id")
+    by_step = edges.join(first(steps.select("sink_id", "file", "label", "kind").distinct(), "file", "label", "kind"), ["file", "label", "kind"]).select("file", "label", "kind", "sink_id")
+    hits = first(by_root.union(by_step).distinct(), "file", "label", "kind")
+    return hits.groupBy("file", "label", "kind").agg(F.array_join(F.array_sort(F.collect_list("sink_id")).cast("array<string>"), ",").alias("sinks"))
 
 
 @query(
@@ -277,13 +303,14 @@ def join14(spark, sf):
 
 @query(
     "join19_route_membership",
-    BASE + " SELECT s.file, count(*) AS members FROM sinks s WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_size > 48 AND EXISTS (SELECT 1 FROM items i WHERE i.part = p.p_partkey AND i.sink_id = s.sink_id)) GROUP BY s.file",
+    BASE + " SELECT p.p_size AS route, s.file, count(DISTINCT s.sink_id) AS members FROM sinks s JOIN items i USING (sink_id) JOIN part p ON p.p_partkey = i.part GROUP BY 1, 2",
 )
 def join19(spark, sf):
+    """A route is a part size; a sink belongs to it once, however many of its steps do."""
     r = M.Report(spark, sf)
-    large = table(spark, sf, "part").filter("p_size > 48").select(F.col("p_partkey").alias("part"))
-    hits = r.items.join(large, "part", "left_semi").select("sink_id")
-    return r.sinks.join(hits, "sink_id", "left_semi").groupBy("file").agg(F.count("*").alias("members"))
+    route = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("route"))
+    member = r.items.select("sink_id", "part").join(route, "part").select("sink_id", "route").distinct()
+    return member.join(r.sinks.select("sink_id", "file"), "sink_id").groupBy("route", "file").agg(F.count("*").alias("members"))
 
 
 @query(
@@ -355,7 +382,7 @@ def star_edges(spark: SparkSession, sf: str) -> DataFrame:
     GRAPH + ", walk(id, d) AS (SELECT 'r:1', 0 UNION SELECT dst, d + 1 FROM walk JOIN edges ON src = id WHERE d < 6) SELECT id, min(d)::INTEGER AS distance FROM walk GROUP BY id",
 )
 def grf1(spark, sf):
-    return G.levels(star_edges(spark, sf), spark.range(1).select(F.lit("r:1").alias("id")), 4)
+    return G.levels(star_edges(spark, sf), spark.range(1).select(F.lit("r:1").alias("id")))
 
 
 @query("agg27_degrees", GRAPH + ", o AS (SELECT src AS id, count(DISTINCT dst) AS n_out FROM edges GROUP BY 1), i AS (SELECT dst AS id, count(DISTINCT src) AS n_in FROM edges GROUP BY 1) SELECT id, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM o FULL JOIN i USING (id)")
@@ -363,28 +390,27 @@ def agg27(spark, sf):
     return G.degrees(star_edges(spark, sf))
 
 
-ENDS = "(SELECT 'o:' || o_orderkey AS id FROM orders WHERE o_totalprice > 495000)"
-
-
-def large_orders(spark, sf):
-    return table(spark, sf, "orders").filter("o_totalprice > 495000").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"))
+def order_paths(spark, sf):
+    """All simple paths to every order."""
+    ends = table(spark, sf, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"))
+    return G.simple_paths(star_edges(spark, sf), ends)
 
 
 PATHS = (
     GRAPH
-    + f""", walk(path, head, d) AS (SELECT [id], id, 0 FROM {ENDS} UNION ALL SELECT list_prepend(src, path), src, d + 1 FROM walk JOIN edges ON dst = head WHERE d < 6 AND NOT list_contains(path, src)),
+    + """, walk(path, head, d) AS (SELECT [id], id, 0 FROM (SELECT 'o:' || o_orderkey AS id FROM orders) UNION ALL SELECT list_prepend(src, path), src, d + 1 FROM walk JOIN edges ON dst = head WHERE d < 6 AND NOT list_contains(path, src)),
     done AS (SELECT path FROM walk WHERE NOT EXISTS (SELECT 1 FROM edges WHERE dst = head))"""
 )
 
 
 @query("grf6_simple_paths", PATHS + " SELECT array_to_string(path, '>') AS path, len(path)::INTEGER AS length FROM done")
 def grf6(spark, sf):
-    return G.simple_paths(star_edges(spark, sf), large_orders(spark, sf), 4).select(F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
+    return order_paths(spark, sf).select(F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
 
 
 @query("agg29_merged_steps", PATHS + ", s AS (SELECT path, unnest(range(1, len(path))) AS i FROM done) SELECT path[i] AS src, path[i + 1] AS dst, count(*) AS paths, min(len(path) - i)::INTEGER AS min_depth FROM s GROUP BY 1, 2")
 def agg29(spark, sf):
-    return G.merged_steps(G.simple_paths(star_edges(spark, sf), large_orders(spark, sf), 4))
+    return G.merged_steps(order_paths(spark, sf))
 
 
 @query(
@@ -394,21 +420,44 @@ def agg29(spark, sf):
 def grf18(spark, sf):
     e = star_edges(spark, sf).filter("src not like 'p:%' and src not like 's:%' and dst not like 's:%'")
     hidden = e.select(F.explode(F.array("src", "dst")).alias("id")).filter("id like 'n:%' or id like 'c:%'")
-    return G.contract(e, hidden, 4)
+    return G.contract(e, hidden)
 
 
 @query(
     "join12_stitched_paths",
-    """WITH prod AS (SELECT DISTINCT 'part.' || l_partkey AS label, s_nationkey AS component, 's:' || l_suppkey AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49),
-    sole AS (SELECT label FROM prod GROUP BY label HAVING count(DISTINCT component) = 1), cons AS (SELECT DISTINCT 'part.' || l_partkey AS label, 'o:' || l_orderkey AS c FROM lineitem WHERE l_quantity <= 2)
-    SELECT label, p || '>' || c AS path FROM prod JOIN sole USING (label) JOIN cons USING (label)""",
+    """WITH made AS (SELECT DISTINCT l_partkey AS part, s_nationkey AS component, l_suppkey AS supplier FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    sole AS (SELECT part FROM made GROUP BY part HAVING count(DISTINCT component) = 1), used AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supplier, l_orderkey AS o FROM lineitem)
+    SELECT 'c:' || o_custkey AS label, concat_ws('>', 'r:' || n_regionkey, 'n:' || n_nationkey, 'c:' || c_custkey, 'o:' || o_orderkey) AS path, 2 AS hops
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 's:' || supplier, concat_ws('>', 'r:' || n_regionkey, 'n:' || n_nationkey, 's:' || supplier, 'o:' || o), 2
+    FROM (SELECT DISTINCT supplier, o FROM used) JOIN supplier ON s_suppkey = supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT 'p:' || m.part, concat_ws('>', 'r:' || n_regionkey, 'n:' || n_nationkey, 's:' || m.supplier, 'p:' || m.part, 'o:' || u.o), 3
+    FROM made m JOIN sole USING (part) JOIN (SELECT DISTINCT part, o FROM used) u ON u.part = m.part JOIN supplier ON s_suppkey = m.supplier JOIN nation ON s_nationkey = n_nationkey""",
 )
 def join12(spark, sf):
-    li = table(spark, sf, "lineitem")
-    prod = li.filter("l_quantity >= 49").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    prod = prod.select(F.concat(F.lit("part."), "l_partkey").alias("label"), F.col("s_nationkey").alias("component"), F.array(F.concat(F.lit("s:"), "l_suppkey")).alias("path")).distinct()
-    cons = li.filter("l_quantity <= 2").select(F.concat(F.lit("part."), "l_partkey").alias("label"), F.array(F.concat(F.lit("o:"), "l_orderkey")).alias("path")).distinct()
-    return G.stitched(prod, cons).select("label", F.array_join("path", ">").alias("path"))
+    """Regions hand to nations, nations to customers and suppliers, suppliers to parts (only where all are of one nation), these to orders."""
+
+    def name(kind: str, column: str):
+        return F.concat(F.lit(f"{kind}:"), column)
+
+    def segment(rows: DataFrame, feeds, fed_by, component, path):
+        text = F.lit(None).cast("string")
+        return rows.select((text if feeds is None else feeds).alias("feeds"), (text if fed_by is None else fed_by).alias("fed_by"), component.cast("string").alias("component"), F.array(path).alias("path")).distinct()
+
+    nation, customer, supplier = (table(spark, sf, t) for t in ("nation", "customer", "supplier"))
+    li, none = table(spark, sf, "lineitem"), F.lit(None)
+    by_nation = li.select("l_partkey", "l_suppkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    n, c, s, p, o = name("n", "n_nationkey"), name("c", "c_custkey"), name("s", "s_suppkey"), name("p", "l_partkey"), name("o", "l_orderkey")
+    rows = [
+        segment(nation, n, None, F.col("n_regionkey"), name("r", "n_regionkey")),
+        segment(customer, c, name("n", "c_nationkey"), F.col("c_nationkey"), name("n", "c_nationkey")),
+        segment(supplier, s, name("n", "s_nationkey"), F.col("s_nationkey"), name("n", "s_nationkey")),
+        segment(by_nation, p, s, F.col("s_nationkey"), s),
+        segment(table(spark, sf, "orders"), None, name("c", "o_custkey"), none, F.concat_ws(">", name("c", "o_custkey"), name("o", "o_orderkey"))),
+        segment(li, None, name("s", "l_suppkey"), none, F.concat_ws(">", name("s", "l_suppkey"), o)),
+        segment(li, None, p, none, F.concat_ws(">", p, o)),
+    ]
+    return G.stitched(reduce(DataFrame.union, rows)).select("label", F.array_join("path", ">").alias("path"), "hops")
 
 
 @query("join21_dangling_edges", GRAPH + " SELECT dst AS id, 'dst' AS end, count(*) AS n FROM edges WHERE dst LIKE 'o:%' AND dst NOT IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY dst")

@@ -12,11 +12,12 @@ from ..functions import text as T
 from ..operators import graphs as G
 from ..operators import metrics as M
 from ..operators import ranking as R
+from ..operators.ranking import CHOSEN
 from ..sources import markup, star
 from ..sources.tables import table
 from .ranked import agg4, agg15, agg21, fan_out
 from .registry import query
-from .related import GRAPH, PATHS, agg18, large_orders, star_edges
+from .related import GRAPH, PATHS, agg18, order_paths, star_edges
 from .star_sql import ALL, BASE
 
 
@@ -97,12 +98,12 @@ def statused(spark, sf):
     SELECT id, array_to_string(path, '>') AS path, len(list_filter(path, lambda x: x LIKE 's:%')) > 0 AND id LIKE 'o:%' AS partial FROM best WHERE k = 1""",
 )
 def grf12(spark, sf):
-    return G.best_paths(statused(spark, sf), spark.range(1).select(F.lit("r:1").alias("id")), 4).select("id", F.array_join("path", ">").alias("path"), "partial")
+    return G.best_paths(statused(spark, sf), spark.range(1).select(F.lit("r:1").alias("id"))).select("id", F.array_join("path", ">").alias("path"), "partial")
 
 
 @query("grf13_unique_paths", PATHS + " SELECT path[len(path)] AS id, any_value(array_to_string(path, '>')) AS path FROM done WHERE path[1] LIKE 'r:%' GROUP BY 1 HAVING count(*) = 1")
 def grf13(spark, sf):
-    paths = G.simple_paths(star_edges(spark, sf), large_orders(spark, sf), 4).filter(F.element_at("path", 1).startswith("r:"))
+    paths = order_paths(spark, sf).filter(F.element_at("path", 1).startswith("r:"))
     return G.unique_paths(paths).select("id", F.array_join("path", ">").alias("path"))
 
 
@@ -144,16 +145,14 @@ def grf20(spark, sf):
     return rows.groupBy("tag").agg(F.count("*").alias("elements"), F.count_if(F.col("open") > 0).alias("nested"))
 
 
-@query("agg31_chosen_sub_graph", PATHS + ", c AS (SELECT path FROM done ORDER BY len(path) DESC, path LIMIT 50), s AS (SELECT path, unnest(range(1, len(path))) AS i FROM c) SELECT path[i] AS src, path[i + 1] AS dst, count(*) AS paths, min(len(path) - i)::INTEGER AS min_depth FROM s GROUP BY 1, 2")
+@query("agg31_chosen_sub_graph", PATHS + ", c AS (SELECT path FROM done ORDER BY len(path) DESC, path LIMIT 400), s AS (SELECT path, unnest(range(1, len(path))) AS i FROM c) SELECT path[i] AS src, path[i + 1] AS dst, count(*) AS paths, min(len(path) - i)::INTEGER AS min_depth FROM s GROUP BY 1, 2")
 def agg31(spark, sf):
-    paths = G.simple_paths(star_edges(spark, sf), large_orders(spark, sf), 4)
-    return G.merged_steps(paths.orderBy(F.desc(F.size("path")), "path").limit(50))
+    return G.merged_steps(order_paths(spark, sf).orderBy(F.desc(F.size("path")), "path").limit(CHOSEN))
 
 
-@query("win18_complex_trajectories", PATHS + " SELECT array_to_string(path, '>') AS path, len(path)::INTEGER AS length FROM done ORDER BY len(path) DESC, path LIMIT 40")
+@query("win18_complex_trajectories", PATHS + " SELECT array_to_string(path, '>') AS path, len(path)::INTEGER AS length FROM done ORDER BY len(path) DESC, path LIMIT 400")
 def win18(spark, sf):
-    paths = G.simple_paths(star_edges(spark, sf), large_orders(spark, sf), 4)
-    return paths.orderBy(F.desc(F.size("path")), "path").limit(40).select(F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
+    return order_paths(spark, sf).orderBy(F.desc(F.size("path")), "path").limit(CHOSEN).select(F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
 
 
 # ---------------------------------------------------------------- ranks and choices
@@ -161,12 +160,10 @@ def win18(spark, sf):
 
 @query(
     "win14_representatives_per_area",
-    ALL + ", r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rank) AS k FROM ordered) SELECT file, sink_id, CASE WHEN k = 1 THEN 0 ELSE 1 END AS tier FROM r ORDER BY tier, rank LIMIT 60",
+    ALL + ", r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rank) AS k FROM ordered) SELECT file, sink_id, CASE WHEN k = 1 THEN 0 ELSE 1 END AS tier FROM r ORDER BY tier, rank LIMIT 400",
 )
 def win14(spark, sf):
-    k = F.row_number().over(W.partitionBy("file").orderBy(*R.burden_order()))
-    rows = M.Report(spark, sf).ranked().withColumn("tier", F.when(k == 1, 0).otherwise(1))
-    return rows.orderBy("tier", *R.burden_order()).limit(60).select("file", "sink_id", "tier")
+    return R.firsts_first(M.Report(spark, sf).ranked(), CHOSEN).select("file", "sink_id", "tier")
 
 
 @query("win17_route_terminals", ALL + " SELECT component, sink_id, place FROM (SELECT component, sink_id, row_number() OVER (PARTITION BY component ORDER BY merge_width DESC, n DESC, seq) AS place FROM ranked) WHERE place <= 4")
@@ -244,13 +241,13 @@ def flt7(spark, sf):
     return table(spark, sf, "customer").filter(~name.rlike("5$") & first.isNotNull()).select("c_custkey")
 
 
-@query("flt16_folder_map", BASE + """, e AS (SELECT DISTINCT a.n_name AS x, b.n_name AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE l_quantity >= 50 AND l_tax > 0.07),
+@query("flt16_folder_map", BASE + """, e AS (SELECT DISTINCT a.n_name AS x, b.n_name AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON c_nationkey = b.n_nationkey),
     own AS (SELECT n_name FROM nation WHERE n_regionkey = 2) SELECT n_name AS area, true AS inside FROM own UNION SELECT y, false FROM e WHERE x IN (SELECT n_name FROM own) AND y NOT IN (SELECT n_name FROM own)""")
 def flt16(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     src = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("x"), F.col("n_regionkey").alias("rx"))
     dst = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("y"), F.col("n_regionkey").alias("ry"))
-    li = table(spark, sf, "lineitem").filter("l_quantity >= 50 and l_tax > 0.07").select("l_orderkey", "l_suppkey")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     e = li.join(src.filter("rx = 2"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(dst.filter("ry <> 2"), F.col("o_custkey") == F.col("c_custkey"))
     return n.filter("n_regionkey = 2").select(F.col("n_name").alias("area"), F.lit(True).alias("inside")).union(e.select("y", F.lit(False)).distinct())
 

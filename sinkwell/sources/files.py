@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a source file may end with, and folders that hold no sources.  Fixed values.
-EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts")
-IGNORED = ("node_modules", "dist", "build", "coverage", ".git", ".output", ".vinxi")
+EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".js", ".cjs")
+IGNORED = ("node_modules", "dist", "build", ".solid", ".vinxi", ".output", "coverage", "styled-system")
 
 BASELINE = """analysisVersion int, generatedAt string, view string,
     sinks array<struct<id:string,file:string,line:int,label:string,signature:string,scores:struct<burden:double>>>"""
@@ -16,9 +16,12 @@ POLICY = "version int, exclude array<string>, include array<string>"
 
 def is_source(path: Column, tests: bool = False) -> Column:
     """SRC-2: right extension, no declaration file, outside ignored folders, no test unless asked for."""
-    keep = path.rlike(rf"\.({'|'.join(EXTENSIONS)})$") & ~path.rlike(r"\.d\.ts$")
-    keep = keep & ~path.rlike("(^|/)(" + "|".join(d.replace(".", r"\.") for d in IGNORED) + ")/")
-    return keep if tests else keep & ~path.rlike(r"\.(test|spec)\.[a-z]+$|(^|/)(tests?|__tests__)/")
+    def one_of(names: tuple[str, ...]) -> str:
+        return "(" + "|".join(n.replace(".", r"\.") for n in dict.fromkeys(names)) + ")"
+
+    keep = path.rlike(one_of(EXTENSIONS) + "$") & ~path.rlike(r"\.d\.ts$")
+    keep = keep & ~path.rlike("(^|/)" + one_of(IGNORED) + "(/|$)")
+    return keep if tests else keep & ~path.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$")
 
 
 def read_sources(spark: SparkSession, root: str, tests: bool = False) -> DataFrame:

@@ -27,10 +27,13 @@ def tags(pages: DataFrame) -> DataFrame:
 def elements(pages: DataFrame) -> DataFrame:
     """EXT-1/EXT-36: opened elements with their level and the position of the element that holds them."""
     rows = tags(pages).filter("not closing")
-    # an element's parent is the last nested element before it that is one level up
-    opened = F.collect_list(F.when(F.col("tag").isin(*NESTED), F.struct("pos", "level"))).over(W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    up = F.filter(opened, lambda e: e["level"] == F.col("level") - 1)
-    return rows.withColumn("parent", F.array_max(F.transform(up, lambda e: e["pos"]))).drop("closing")
+    # the parent is the last nested element before, one level up: each level of a page is one window over the openers that
+    # lead to it and the elements on it, which keeps one position in memory
+    openers = rows.filter(F.col("tag").isin(*NESTED)).select("page_id", "pos", "tag", "level", (F.col("level") + 1).alias("_on"), F.col("pos").alias("_opener"))
+    held = rows.select("page_id", "pos", "tag", "level", F.col("level").alias("_on"), F.lit(None).cast("int").alias("_opener"))
+    before = W.partitionBy("page_id", "_on").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    both = held.withColumn("_own", F.lit(True)).union(openers.withColumn("_own", F.lit(False)))
+    return both.withColumn("parent", F.last("_opener", ignorenulls=True).over(before)).filter("_own").drop("_on", "_opener", "_own")
 
 
 def attributes(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ items      one row per line item: step kind, roots (part and supplier), pack (pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,3 +95,41 @@ def defenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("sink_id", F.concat(F.lit("pack."), "part").alias("pack_key")).distinct()
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sinks with their steps in order, as an array; one pass over the line items."""
+    names = ("item", "kind", "part", "supplier", "guarded", "guard_key", "expression", "verdict", "origin", "price")
+    steps = items(spark, sf_dir).groupBy("sink_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("steps"))
+    out = sinks(spark, sf_dir).join(steps, "sink_id", "left")
+    return out.withColumn("steps", F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)))
+
+
+def roots_of(rows: DataFrame) -> DataFrame:
+    """``roots`` from facts: nothing is shuffled."""
+
+    def named(values: Column, kind) -> Column:
+        return F.transform(F.array_distinct(values), kind)
+
+    parts = named(F.col("steps.part"), lambda p: F.struct(F.concat(F.lit("part."), p).alias("label"), F.when(p % 2 == 0, "prop-read").otherwise("source").alias("kind")))
+    suppliers = named(F.col("steps.supplier"), lambda s: F.struct(F.concat(F.lit("supplier."), s).alias("label"), F.lit("parameter").alias("kind")))
+    literal = F.array(F.struct(F.lit("literal.P").alias("label"), F.lit("literal").alias("kind")))
+    all_ = F.concat(parts, suppliers, F.when(F.col("has_literal"), literal).otherwise(F.slice(literal, 1, 0)))
+    return rows.select("sink_id", F.explode(all_).alias("r")).select("sink_id", "r.*")
+
+
+def sites_of(steps: Column) -> Column:
+    """The guards among the steps, the first of each site."""
+    guarded = F.filter(steps, lambda s: s["guarded"])
+    keys = F.array_distinct(F.transform(guarded, lambda s: s["guard_key"]))
+    return F.transform(keys, lambda k: F.element_at(F.filter(guarded, lambda s: s["guard_key"] == k), 1))
+
+
+def defenses_of(rows: DataFrame) -> DataFrame:
+    """``defenses`` from facts: nothing is shuffled."""
+    return rows.select("sink_id", F.explode(sites_of(F.col("steps"))).alias("d")).select("sink_id", "d.guard_key", "d.expression", "d.verdict", "d.origin", "d.price")
+
+
+def packs_of(rows: DataFrame) -> DataFrame:
+    """``packs`` from facts: nothing is shuffled."""
+    return rows.select("sink_id", F.explode(F.transform(F.array_distinct("steps.part"), lambda p: F.concat(F.lit("pack."), p))).alias("pack_key"))

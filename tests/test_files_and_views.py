@@ -13,12 +13,12 @@ from sinkwell.streaming.windows import Generations
 
 
 def test_source_files_are_filtered(spark, tmp_path):
-    for name in ("src/a.tsx", "src/b.d.ts", "src/c.test.ts", "node_modules/x/d.ts", "src/deep/e.js", "README.md"):
+    for name in ("src/a.tsx", "src/b.d.ts", "src/c.test.ts", "node_modules/x/d.ts", "src/deep/e.js", "src/f.cjs", "styled-system/g.ts", "lib/.solid/h.ts", "tests/i.ts", "j.mts", "README.md"):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(f"line one of {name}\nline two\n")
     rows = {r.path: r.text for r in files.read_sources(spark, str(tmp_path)).collect()}
-    assert sorted(rows) == ["src/a.tsx", "src/deep/e.js"] and rows["src/a.tsx"].count("\n") == 2
+    assert sorted(rows) == ["src/a.tsx", "src/deep/e.js", "src/f.cjs", "tests/i.ts"] and rows["src/a.tsx"].count("\n") == 2
     assert "src/c.test.ts" in {r.path for r in files.read_sources(spark, str(tmp_path), tests=True).collect()}
 
 

@@ -87,6 +87,14 @@ def test_selections_equal_the_loops(spark, seed):
     packs = {i: {f"k{rng.randrange(40)}" for _ in range(rng.randrange(3))} for i in range(150)}
     table = spark.createDataFrame([(i, k) for i, v in packs.items() for k in v], "sink_id long, pack_key string")
     assert sorted((r.seq, r.sinks) for r in R.work_units(df, table).collect()) == loop_units(rows, packs)
+    tiers = {r.seq: r.tier for r in R.firsts_first(df, 40).collect()}
+    assert {s for s, t in tiers.items() if t == 0} == set(first.values())
+    flat = df.withColumn("burden", F.lit(0.0))
+    R.CHUNK, before = 7, R.CHUNK
+    try:
+        assert {r.seq: r.rank for r in R.global_rank(flat, "burden").collect()} == {i: i + 1 for i in range(150)}
+    finally:
+        R.CHUNK = before
     ranks = {r.seq: r.rank for r in R.global_rank(df, "burden").collect()}
     assert ranks == {r[0]: i for i, r in enumerate(by_burden(rows), 1)}
 
