@@ -173,7 +173,7 @@ def with_scores(metrics: DataFrame) -> DataFrame:
 class Report:
     """The tables of one report.  Nothing runs before a result is asked for.
 
-    Sinks with their steps, and their metrics, are persisted: the branches of one plan, and later reports over the same tables in
+    Sinks with their steps, their metrics and their scores are persisted: the branches of one plan, and later reports over the same tables in
     this session, read them from there.  ``spark.catalog.clearCache()`` gives them up.
     """
 
@@ -209,9 +209,13 @@ class Report:
     def pack_groups(self) -> DataFrame:
         return pack_groups(self.grounded(), self.packs, self.roots)
 
+    @cached_property
+    def _scored(self) -> DataFrame:
+        return with_scores(with_packs(self.grounded(), self.packs, self.pack_groups())).persist(StorageLevel.MEMORY_AND_DISK)
+
     def scored(self) -> DataFrame:
         """All sinks with metrics and scores."""
-        return with_scores(with_packs(self.grounded(), self.packs, self.pack_groups()))
+        return self._scored
 
     def ranked(self) -> DataFrame:
         """FLT-4 and FLT-3: what the rankings hold."""

@@ -100,7 +100,7 @@ def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sinks with their steps in order, as an array; one pass over the line items."""
     names = ("item", "kind", "part", "supplier", "guarded", "guard_key", "expression", "verdict", "origin", "price")
-    steps = items(spark, sf_dir).groupBy("sink_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("steps"))
+    steps = items(spark, sf_dir).groupBy("sink_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("steps"))
     out = sinks(spark, sf_dir).join(steps, "sink_id", "left")
     return out.withColumn("steps", F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)))
 
