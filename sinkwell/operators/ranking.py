@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 #: Input positions that are numbered together where scores are equal.
 CHUNK = 65_536
+#: Positions of a file whose sites are compared in one task.
+SITE_BIN = 65_536
 #: Areas and trajectories that a map shows.  A fixed value.
 CHOSEN = 400
 
@@ -80,15 +82,20 @@ def coverage(rows: DataFrame, n: int) -> DataFrame:
 def diverse(rows: DataFrame, n: int, weight: float) -> DataFrame:
     """WIN-6: greedy choice of n rows by burden less a penalty for files, shapes and pivots chosen before.
 
-    Rows that agree in file, shape and pivot have equal penalties, so only the n worst of each combination can be chosen.  Fewer
-    than n pivots are ever penalised, so of each file and shape only the n pivots with the worst rows can matter.  Windows
-    prune to these n * n rows per file and shape, exactly; the greedy loop over the rest is one small pandas group.
+    Fewer than n rows are chosen before any choice, so a row is out of the question while enough better ones of its shape are
+    left that cannot all be penalised more: n that agree in file and pivot, in file with n pivots, or in pivot with n files.  After
+    these cuts a file and a pivot occur n times at most within a shape, so among n * (2n - 1) better combinations there are
+    2n - 1 with different files and different pivots, of which one has neither been chosen.  Windows make these cuts exactly;
+    n * n * (2n - 1) rows of a shape are left at most, however many files there are, and the greedy loop over them is one pandas group.
     """
-    alike = F.row_number().over(W.partitionBy("file", "shape", "pivot").orderBy(*burden_order()))
+    order = burden_order()
+    alike = F.row_number().over(W.partitionBy("file", "shape", "pivot").orderBy(*order))
     pool = rows.select("seq", "file", "shape", "pivot", "burden").withColumn("_k", alike).filter(F.col("_k") <= n)
-    best = F.row_number().over(W.partitionBy("file", "shape").orderBy(*burden_order()))
-    pivots = pool.filter(F.col("_k") == 1).withColumn("_b", best).filter(F.col("_b") <= n).select("file", "shape", F.col("pivot").alias("_p"))
-    pool = pool.join(pivots.withColumnsRenamed({"file": "_file", "shape": "_shape"}), (F.col("file") == F.col("_file")) & (F.col("shape") == F.col("_shape")) & F.col("pivot").eqNullSafe(F.col("_p")))
+    best = pool.filter(F.col("_k") == 1)
+    for group, most in ((("file", "shape"), n), (("shape", "pivot"), n), (("shape",), n * (2 * n - 1))):
+        best = best.withColumn("_b", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_b") <= most)
+    best = best.select(F.col("file").alias("_file"), F.col("shape").alias("_shape"), F.col("pivot").alias("_pivot"))
+    pool = pool.join(best, F.col("file").eqNullSafe(F.col("_file")) & F.col("shape").eqNullSafe(F.col("_shape")) & F.col("pivot").eqNullSafe(F.col("_pivot")))
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.assign(burden=pool["burden"].round(9)).sort_values(["burden", "seq"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -162,11 +169,31 @@ def work_units(rows: DataFrame, packs: DataFrame) -> DataFrame:
     return data.groupBy("file").applyInPandas(group, "file string, seq long, burden double, sinks long, shape string")
 
 
+def _top_before(sites: DataFrame, value: Column, inner: W, name: str) -> DataFrame:
+    """Add the greatest ``value`` of the file's earlier bins and, by the window ``inner``, of the own one; no task needs a whole file."""
+    tops = sites.groupBy("file", "_bin").agg(F.max(value).alias("_top"))
+    earlier = W.partitionBy("file").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.select(F.col("file").alias("_file"), F.col("_bin").alias("_at"), F.max("_top").over(earlier).alias("_top"))
+    same = F.col("file").eqNullSafe(F.col("_file")) & (F.col("_bin") == F.col("_at"))
+    return sites.withColumn("_own", F.max(value).over(inner)).join(tops, same).withColumn(name, F.greatest("_own", "_top")).drop("_file", "_at", "_own", "_top")
+
+
 def nested_removed(sites: DataFrame) -> DataFrame:
-    """WIN-12: per file drop a site whose start lies inside an earlier kept site (file, start, end)."""
+    """WIN-12: per file drop a site whose start lies inside an earlier kept site (file, start, end).
+
+    A site that starts beyond the ends of all before it is kept in any case and opens a part of its own; what starts inside of an
+    opener is dropped in any case.  Only the rest of a part, sites that overlap in chains, goes through the ordered loop.
+    """
+    bins = W.partitionBy("file", "_bin")
+    rows = sites.withColumn("_bin", F.floor(F.col("start") / SITE_BIN))
+    rows = _top_before(rows, F.col("end"), bins.orderBy(F.asc("start"), F.desc("end")).rowsBetween(W.unboundedPreceding, -1), "_reach")
+    rows = rows.withColumn("_opens", F.col("start") > F.greatest(F.lit(-1), "_reach"))
+    opener = F.when(F.col("_opens"), F.struct("start", "end"))
+    rows = _top_before(rows, opener, bins.orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow), "_part")
+    rows = rows.filter(F.col("_opens") | (F.col("start") > F.col("_part.end"))).select(*sites.columns, F.col("_part.start").alias("_part"))
 
     def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start", "end"], ascending=[True, False], kind="stable")
+        g = g.drop(columns="_part").sort_values(["start", "end"], ascending=[True, False], kind="stable")
         kept, reach = [], -1
         for r in g.itertuples(index=False):
             if r.start > reach:
@@ -174,4 +201,4 @@ def nested_removed(sites: DataFrame) -> DataFrame:
                 reach = r.end
         return pd.DataFrame(kept, columns=g.columns)
 
-    return sites.groupBy("file").applyInPandas(keep, sites.schema)
+    return rows.groupBy("file", "_part").applyInPandas(keep, sites.schema)

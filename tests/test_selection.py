@@ -110,3 +110,30 @@ def test_actionable_pool_keeps_background_only_when_alone(spark):
 def test_nested_sites(spark):
     sites = spark.createDataFrame([("f", 1, 10), ("f", 2, 5), ("f", 11, 12), ("f", 12, 20), ("g", 3, 4)], "file string, start long, end long")
     assert sorted(map(tuple, R.nested_removed(sites).collect())) == [("f", 1, 10), ("f", 11, 12), ("g", 3, 4)]
+
+
+def loop_nested(sites):
+    kept, reach = [], {}
+    for f, a, b in sorted(sites, key=lambda s: (s[0] or "", s[1], -s[2])):
+        if a > reach.get(f, -1):
+            kept.append((f, a, b))
+            reach[f] = b
+    return kept
+
+
+def test_nested_sites_over_many_bins(spark, monkeypatch):
+    monkeypatch.setattr(R, "SITE_BIN", 7)
+    rng = random.Random(4)
+    sites = [(rng.choice([None, "f", "g"]), a, a + rng.choice([0, 2, 5, 30])) for a in (rng.randrange(300) for _ in range(200))]
+    sites += [("whole", 0, 10_000)] + [("whole", a, a + 3) for a in range(1, 100, 5)]
+    got = R.nested_removed(spark.createDataFrame(sites, "file string, start long, end long")).collect()
+    order = lambda s: (s[0] or "", s[1], s[2])
+    assert sorted(map(tuple, got), key=order) == sorted(loop_nested(sites), key=order)
+    assert not R.nested_removed(spark.createDataFrame([], "file string, start long, end long")).collect()
+
+
+def test_diverse_with_many_files_and_pivots(spark):
+    rng = random.Random(8)
+    rows = [(i, i, f"f{rng.randrange(60)}", "x", f"s{rng.randrange(2)}", rng.choice([None] + [f"p{j}" for j in range(40)]), rng.randrange(25) / 25, "q", False) for i in range(900)]
+    got = R.diverse(spark.createDataFrame(rows, SCHEMA), 5, 0.7).orderBy("place").collect()
+    assert [r.seq for r in got] == loop_diverse(rows, 5, 0.7)
