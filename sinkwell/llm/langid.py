@@ -3,8 +3,8 @@
 A text becomes a vector of hashed character n-grams (1 to 3 letters, lower case, all else a space) with weights
 (1 + log tf) * idf, of length 1.  Each language has several centroids, found by spherical k-means over its own texts; a
 text gets the language of the nearest centroid by cosine.  It is rejected where its cosine is under the floor of its length class,
-which is learned: ``MARGIN`` times the 1 % quantile of the cosines of the fitting texts of that length, so single odd rows do
-not move it.  Where fewer than ``FEW`` fitting texts are of that length, pieces of that length, one of each longer
+which is learned: ``MARGIN`` times the 1 % quantile of the cosines of the fitting texts of that length, or a higher one
+with ``BELOW`` texts below it where they are few, so single odd rows do not move it.  Where fewer than ``FEW`` fitting texts are of that length, pieces of that length, one of each longer
 fitting text, stand for them.  Texts of a few words lie near any centroid, so unknown ones pass more often the shorter they are.
 
 The classifier is fitted on at most about ``sample`` labelled rows (a documented bound), drawn by hash of the id; the counts
@@ -34,8 +34,9 @@ SAMPLE = 3000
 CENTROIDS = 3
 #: Lengths in letters that part texts into classes for the rejection.
 LENGTHS = (8, 16, 32, 64, 128, 256)
-#: The floor of a length class is this quantile of its fitting texts' cosines times the margin; fewer than FEW do not tell.
-LOW, MARGIN, FEW = 0.01, 0.5, 40
+#: The floor of a length class is this quantile of its fitting texts' cosines, or that with BELOW of them below it if higher, times
+#: the margin; fewer than FEW do not tell.
+LOW, BELOW, MARGIN, FEW = 0.01, 5, 0.5, 40
 UNKNOWN = "und"
 
 
@@ -95,6 +96,10 @@ def length_class(letters: np.ndarray) -> np.ndarray:
     return np.searchsorted(LENGTHS, letters, "right")
 
 
+def _low(cosine: np.ndarray) -> float:
+    return MARGIN * float(np.quantile(cosine, max(LOW, min(0.5, BELOW / len(cosine)))))
+
+
 def floors(letters: np.ndarray, cosine: np.ndarray, piece: np.ndarray | None = None) -> np.ndarray:
     """The least cosine that is not rejected, by length class, from lengths and cosines of fitting texts and of ``piece``s of them."""
     n, size = len(LENGTHS) + 1, length_class(letters)
@@ -103,9 +108,9 @@ def floors(letters: np.ndarray, cosine: np.ndarray, piece: np.ndarray | None = N
     for c in range(n):
         own = cosine[(size == c) & ~piece]
         own = own if len(own) >= FEW else cosine[size == c]
-        out.append(MARGIN * float(np.quantile(own, LOW)) if len(own) >= FEW else None)
+        out.append(_low(own) if len(own) >= FEW else None)
     if all(f is None for f in out):
-        out[-1] = MARGIN * float(np.quantile(cosine, LOW))
+        out[-1] = _low(cosine)
     for c in range(n - 2, -1, -1):
         if out[c + 1] is not None:  # a shorter text may be as far as any longer one
             out[c] = out[c + 1] / 2 if out[c] is None else min(out[c], out[c + 1])

@@ -529,6 +529,14 @@ def test_language_id_rejects_unknown_languages_code_and_random_letters(spark, sm
         assert np.mean([nearest(t[:n])[2] for t in texts]) < 0.02, n
 
 
+def test_language_id_floor_of_few_texts_is_not_moved_by_one_odd_row():
+    size, cosine = np.full(100, 300), np.linspace(0.5, 0.9, 100)
+    clean = langid.floors(size, cosine)
+    cosine[50] = 0.01
+    assert np.abs(langid.floors(size, cosine) - clean).max() < 0.01
+    assert langid.floors(np.full(3, 300), np.array([0.5, 0.6, 0.7]))[-1] == pytest.approx(0.3)
+
+
 def test_language_id_floor_is_not_moved_by_one_odd_row():
     size, cosine = np.full(1000, 300), np.linspace(0.5, 0.9, 1000)
     clean = langid.floors(size, cosine)
