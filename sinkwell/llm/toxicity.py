@@ -5,12 +5,13 @@ by all thresholds, over sparse text features (hashed words that occur, with log
 gradient steps with an L1 penalty, so words that carry nothing get a weight of exactly 0.  The result is the expected
 severity, the sum of P(grade > j), with the most probable grade.
 
-The classifier is fitted on at most about ``sample`` labelled rows (a documented bound), drawn by hash of the id; only their
-feature codes and grades reach the driver, where the fit takes a bounded number of rounds.
+The classifier is fitted on about ``sample`` labels at most (a documented bound), drawn by hash of the id from the distinct (id, grade)
+rows, each with one text; so the broadcast ids and what reaches the driver, feature codes and grades, are bounded however labels or
+documents crowd on an id.  The fit takes a bounded number of rounds.
 
 Defined cases: a null or empty text has no features and gets the severity of the thresholds alone; labels with a null grade or id
-are not fitted on; several labels of one document are all fitted on; a table without labels gives severity 0; rows are scored one by one;
-extra columns are ignored.
+are not fitted on; different grades of one document are all fitted on, equal ones once; of rows that share a doc_id the least text is
+fitted on; a table without labels gives severity 0; rows are scored one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,10 +124,10 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
     """Learn from the documents that ``labels`` (doc_id and what ``grade`` reads) covers."""
     small_batches(docs.sparkSession)
-    known = labels.select("doc_id", grade.cast("long").alias("grade")).filter("doc_id is not null and grade is not null")
+    known = labels.select("doc_id", grade.cast("long").alias("grade")).filter("doc_id is not null and grade is not null").distinct()
     n = known.count()
     chosen = known.filter(unit(F.xxhash64("doc_id", F.lit(8))) < sample / max(n, 1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
     got = sorted(rows.mapInArrow(_code, "grade long, at binary, x binary").collect(), key=lambda r: (r["grade"], r["at"], r["x"]))
     data = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(np.float64)) for r in got]
     return fit_ordinal(data, np.array([r["grade"] for r in got], np.int64), penalty)

@@ -616,6 +616,10 @@ def test_toxicity_grades_and_messy_rows(spark):
     assert np.mean([got[i].toxic == (g > 0) for i, g in labels]) > 0.99
     odd = toxicity.score(docs_of(spark, messy(rng), extra=True), model).collect()
     assert len(odd) == len(messy(rng)) and all(0 <= r.severity <= 2 for r in odd)
+    crowded = table.filter("doc_id < 9")
+    crowded = table.union(crowded.crossJoin(spark.range(50)).drop("id"))
+    again = toxicity.fit(docs_of(spark, [*rows, *rows[:9]]), crowded, F.col("g"))  # repeated labels and rows count once
+    assert (again.at == model.at).all() and np.allclose(again.weight, model.weight) and np.allclose(again.thresholds, model.thresholds)
     none = toxicity.fit(docs_of(spark, rows), table.limit(0), F.col("g"))
     assert {r.severity for r in toxicity.score(docs_of(spark, rows[:5]), none).collect()} == {0.0}
     assert toxicity.score(docs_of(spark, EMPTY), model).collect() == []
