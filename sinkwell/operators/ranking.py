@@ -63,6 +63,27 @@ def spread(rows: DataFrame, n: int, per_file: int = 2, per_feature: int = 4) ->
     return kept.orderBy(*burden_order()).limit(n).drop("_f", "_g")
 
 
+def staged_choice(rows: DataFrame, last: DataFrame, route: str, stage: str, identity: str, order: list[Column], caps: dict[int, int], total: int) -> DataFrame:
+    """WIN-16: the candidates of every route, stage by stage, with their ``place``.
+
+    In a stage, candidates go by ``order``; of equal ``identity`` the first counts, and ``caps`` says how many a stage may give (stages
+    without a cap give none).  Stages fill up to ``total`` rows.  ``last`` holds at most one row a route, of columns of ``rows``: it comes
+    last, and takes the place of the tail row where the choice is full.  Every window ends in a constant limit, so only few rows of a
+    route are shuffled on.
+    """
+    allowed = F.create_map(*[F.lit(x) for k, n in caps.items() for x in (k, n)])[F.col(stage)]
+    first = F.row_number().over(W.partitionBy(route, stage, identity).orderBy(*order))
+    once = rows.withColumn("_k", first).filter("_k = 1")
+    within = once.withColumn("_k", F.row_number().over(W.partitionBy(route, stage).orderBy(*order))).filter(F.col("_k") <= max(caps.values()))
+    filled = within.filter(F.col("_k") <= allowed).withColumn("_place", F.row_number().over(W.partitionBy(route).orderBy(stage, "_k"))).filter(F.col("_place") <= total)
+    filled = filled.drop("_k").withColumn("_last", F.lit(False))
+    both = filled.unionByName(last.withColumn("_last", F.lit(True)), allowMissingColumns=True)
+    has_last = F.max("_last").over(W.partitionBy(route))
+    kept = both.withColumn("_end", has_last).filter(F.col("_last") | (F.col("_place") < total) | ~F.col("_end"))
+    place = F.row_number().over(W.partitionBy(route).orderBy("_last", "_place"))
+    return kept.withColumn("place", place).drop("_place", "_last", "_end")
+
+
 def firsts_first(rows: DataFrame, n: int) -> DataFrame:
     """WIN-14: n rows, the worst of every file first (tier 0), then the worst of the rest (tier 1).
 

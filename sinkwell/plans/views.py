@@ -157,6 +157,10 @@ def win18(spark, sf):
 
 # ---------------------------------------------------------------- ranks and choices
 
+#: How many a stage of WIN-16 may give, and all stages together.
+STAGE_CAPS = {1: 4, 2: 1, 3: 1, 4: 1, 5: 3, 6: 2, 7: 1}
+STAGE_TOTAL = 8
+
 
 @query(
     "win14_representatives_per_area",
@@ -166,6 +170,28 @@ def win14(spark, sf):
     return R.firsts_first(M.Report(spark, sf).ranked(), CHOSEN).select("file", "sink_id", "tier")
 
 
+@query(
+    "win16_staged_choice",
+    """WITH c AS (SELECT o_custkey AS route, l_linenumber AS stage, l_suppkey AS identity, l_quantity, CASE l_returnflag WHEN 'N' THEN 2 WHEN 'R' THEN 1 ELSE 0 END AS confidence, l_orderkey AS item
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    d AS (SELECT DISTINCT ON (route, stage, identity) * FROM c ORDER BY route, stage, identity, l_quantity DESC, confidence DESC, item),
+    s AS (SELECT *, row_number() OVER (PARTITION BY route, stage ORDER BY l_quantity DESC, confidence DESC, item) AS k FROM d),
+    n AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY stage, k) AS place FROM s WHERE k <= CASE stage WHEN 1 THEN 4 WHEN 5 THEN 3 WHEN 6 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 7 THEN 1 ELSE 0 END),
+    e AS (SELECT o_custkey AS route, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS item FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    SELECT n.route, n.place::INTEGER AS place, n.stage, n.item FROM n LEFT JOIN e ON e.route = n.route WHERE n.place <= CASE WHEN e.route IS NULL THEN 8 ELSE 7 END
+    UNION ALL SELECT e.route, (SELECT least(8, count(*) + 1) FROM n WHERE n.route = e.route)::INTEGER, NULL, e.item FROM e""",
+)
+def win16(spark, sf):
+    """Routes are customers, stages line numbers, sources suppliers; a customer's greatest finished order comes last."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("route"), "o_orderstatus", "o_totalprice")
+    rows = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    confidence = F.when(F.col("l_returnflag") == "N", 2).when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    rows = rows.select("route", F.col("l_linenumber").alias("stage"), F.col("l_suppkey").alias("identity"), "l_quantity", confidence.alias("confidence"), F.col("l_orderkey").alias("item"))
+    last = orders.filter("o_orderstatus = 'F'").groupBy("route").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("item"))
+    order = [F.desc("l_quantity"), F.desc("confidence"), F.asc("item")]
+    return R.staged_choice(rows, last, "route", "stage", "identity", order, STAGE_CAPS, STAGE_TOTAL).select("route", "place", "stage", "item")
+
+
 @query("win17_route_terminals", ALL + " SELECT component, sink_id, place FROM (SELECT component, sink_id, row_number() OVER (PARTITION BY component ORDER BY merge_width DESC, n DESC, seq) AS place FROM ranked) WHERE place <= 4")
 def win17(spark, sf):
     place = F.row_number().over(W.partitionBy("component").orderBy(F.desc("merge_width"), F.desc("maximum_path_depth"), "seq"))

@@ -137,3 +137,35 @@ def test_diverse_with_many_files_and_pivots(spark):
     rows = [(i, i, f"f{rng.randrange(60)}", "x", f"s{rng.randrange(2)}", rng.choice([None] + [f"p{j}" for j in range(40)]), rng.randrange(25) / 25, "q", False) for i in range(900)]
     got = R.diverse(spark.createDataFrame(rows, SCHEMA), 5, 0.7).orderBy("place").collect()
     assert [r.seq for r in got] == loop_diverse(rows, 5, 0.7)
+
+
+def loop_staged(rows, last, caps, total):
+    out = []
+    for route in sorted({r[0] for r in rows} | set(last), key=str):
+        chosen, seen = [], set()
+        for stage in sorted(caps):
+            for r in sorted((r for r in rows if r[0] == route and r[1] == stage), key=lambda r: (-r[3], r[4])):
+                if len(chosen) >= total or sum(c[1] == stage for c in chosen) >= caps[stage]:
+                    break
+                if (stage, r[2]) not in seen:
+                    seen.add((stage, r[2]))
+                    chosen.append(r)
+        items = [(r[1], r[4]) for r in chosen]
+        if route in last:
+            items = items[: total - 1] + [(None, last[route])]
+        out += [(route, i, *x) for i, x in enumerate(items, 1)]
+    return out
+
+
+def test_staged_choice(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, 1, 2, 3, 9]), rng.choice([None, "x", "y", "z"]), rng.randrange(3), i) for i in range(150)]
+    last, caps = {"a": 900, "d": 901}, {1: 2, 2: 0, 3: 3}
+    schema = "route string, stage int, identity string, score int, item int"
+    ends = spark.createDataFrame(list(last.items()), "route string, item int")
+    pick = lambda r, total: R.staged_choice(r, ends, "route", "stage", "identity", [F.desc("score"), F.asc("item")], caps, total)
+    table = spark.createDataFrame(rows, schema)
+    for total in (1, 4, 5, 8):
+        got = [tuple(r) for r in pick(table, total).select("route", "place", "stage", "item").collect()]
+        assert sorted(got, key=str) == sorted(loop_staged(rows, last, caps, total), key=str)
+    assert {tuple(r) for r in pick(table.limit(0), 4).select("route", "place", "item").collect()} == {("a", 1, 900), ("d", 1, 901)}
