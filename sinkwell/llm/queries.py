@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, mixing, neardup, sharding, tokencount, topk, toxicity
+from . import chat, decontam, filteraudit, langid, linededup, mixing, neardup, sharding, tokencount, topk, toxicity
 from .common import LONG_MAX, LONG_MIN, table
 
 
@@ -77,6 +77,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filteraudit.audit_filters(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +95,7 @@ QUERIES = {
         op8_toxicity,
         op9_minhash_near_dedup,
         op10_mixing,
+        op13_filter_audit,
     )
 }
 
@@ -169,6 +175,44 @@ ORACLES = {
                 + greatest(0, least(source_size + start + size, coalesce(n, 0) * block) - source_size - start)
                 + greatest(0, least(2 * source_size + start + size, coalesce(n, 0) * block) - 2 * source_size - start))::BIGINT AS taken
         FROM placed p JOIN k ON p.source IS NOT DISTINCT FROM k.source LEFT JOIN slots ON slots.i = k.i""",
+    "op13_filter_audit": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS upper
+            FROM documents
+        ), marks AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), f AS (
+            SELECT t.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * upper > 3 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+            FROM t LEFT JOIN marks ON marks.doc_id = t.doc_id
+        ), c AS (
+            SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (
+            SELECT filter_order, unnest(range(1, 6)) AS step FROM orders
+        ), met AS (  -- one row per step and class of documents: is it there still, and does it fail here
+            SELECT part, filter_order, step, good, toxic, n, filter_order[step] AS x,
+                   len(list_intersect(string_split(fails, ''), string_split(filter_order[1:step - 1], ''))) = 0 OR fails = '' OR step = 1 AS there,
+                   contains(fails, filter_order[step]) AS here, fails = filter_order[step] AS only_here
+            FROM c, steps
+        ), s AS (
+            SELECT part, filter_order, step, x,
+                   coalesce(sum(n) FILTER (WHERE there AND NOT here), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE there AND here), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (WHERE NOT there AND here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE only_here), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n) FILTER (WHERE there AND here AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE there AND here AND toxic), 0)::BIGINT AS toxic_lost
+            FROM met GROUP BY ALL
+        )
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+        FROM s""",
     "op9_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
