@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, filteraudit, langid, linededup, mixing, neardup, sharding, tokencount, topk, toxicity
+from . import chat, decontam, filteraudit, hardneg, langid, linededup, mixing, neardup, pieces, sharding, tokencount, topk, toxicity
 from .common import LONG_MAX, LONG_MIN, table
 
 
@@ -77,6 +77,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return filteraudit.audit_filters(docs, table(spark, sf_dir, "labels"))
@@ -95,6 +106,8 @@ QUERIES = {
         op8_toxicity,
         op9_minhash_near_dedup,
         op10_mixing,
+        op11_sentencepiece,
+        op12_hard_negatives,
         op13_filter_audit,
     )
 }
@@ -175,6 +188,21 @@ ORACLES = {
                 + greatest(0, least(source_size + start + size, coalesce(n, 0) * block) - source_size - start)
                 + greatest(0, least(2 * source_size + start + size, coalesce(n, 0) * block) - 2 * source_size - start))::BIGINT AS taken
         FROM placed p JOIN k ON p.source IS NOT DISTINCT FROM k.source LEFT JOIN slots ON slots.i = k.i""",
+    "op12_hard_negatives": r"""
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), p AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
     "op13_filter_audit": r"""
         WITH t AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,

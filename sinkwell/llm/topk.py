@@ -44,17 +44,17 @@ WIDE = 2.0**20
 MOST = 10**38 - 1
 
 
-def quantized(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
-    """vec_id and the vector of integers (as doubles) of the rows that take part."""
+def quantized(vectors: DataFrame, scale: float = SCALE, *more: str) -> DataFrame:
+    """vec_id, the columns ``more`` and the vector of integers (as doubles) of the rows that take part."""
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
+    rows = vectors.select("vec_id", *more, "embedding").filter(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
 
     def whole(v: Column) -> Column:
         y = v.cast("double") * scale
         return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # larger doubles are integers
 
-    return rows.select("vec_id", F.transform(x, whole).alias("v"))
+    return rows.select("vec_id", *more, F.transform(x, whole).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
