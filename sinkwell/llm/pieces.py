@@ -9,9 +9,9 @@ leftmost of equal ones.  Until a merge crosses the border, each side runs throug
 pair is tested by walking the two histories (`History`) side by side and asking whether the pair at the border ever comes first.
 A token that does not come out of merging its own text never is a last token.  Characters outside of the vocabulary stand alone and become byte tokens.
 
-No piece of the vocabulary holds a space after another character, nor a character that only occurs alone together with others (both are read off the
-vocabulary, and where they fail the whole text is one segment), so no merge crosses such a border and a text is a chain of independent segments.  The
-ids of short segments are remembered within a task, up to ``REMEMBERED`` of them, and so are the answers for pairs.
+No merge crosses a border between two characters that no piece holds side by side, which is read off the vocabulary: a space after another
+character, a letter before a comma.  So a text is a chain of independent parts, each with a table of its own; coarser segments, at spaces and between
+letters and other characters, are cut first, by a pattern.  The ids of short segments and parts are remembered within a task, up to twice ``REMEMBERED`` that were used lately, and so are answers for pairs.
 
 The model file is public and of bounded size; the driver reads it and sends it with the code.  It must be a BPE model without a character map, user
 symbols, or removal of spaces (else an error).
@@ -145,6 +145,28 @@ class History:
         self.whole = len(symbols) == 1
 
 
+class Memory:
+    """Results for short texts: ``REMEMBERED`` new ones and as many older ones, of which those that are asked for become new."""
+
+    def __init__(self):
+        self.new: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def get(self, text: str) -> list[int] | None:
+        found = self.new.get(text)
+        if found is None:
+            found = self.old.get(text)
+            if found is not None:
+                self.put(text, found)
+        return found
+
+    def put(self, text: str, ids: list[int]) -> None:
+        if len(text) <= LONGEST:
+            if len(self.new) >= REMEMBERED:
+                self.new, self.old = {}, self.new
+            self.new[text] = ids
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = v = vocabulary
@@ -154,14 +176,22 @@ class Encoder:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.histories: dict[str, History] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        joining = {c for p in v.ids if len(p) > 1 for c in p} - {SPACE}
-        if any(a != SPACE and b == SPACE for p in v.ids for a, b in zip(p, p[1:])):
-            self.segments = re.compile(r"(?s:.+)")
-        else:
-            inside = "".join(map(re.escape, sorted(joining))) or SPACE
-            self.segments = re.compile(f"{SPACE}+[{inside}]*|[{inside}]+|[^{inside}{SPACE}]")
+        self.follow: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+        self.words, self.parts = Memory(), Memory()
+        self.joined = {p[i : i + 2] for p in v.ids for i in range(len(p) - 1)}
+        self.segments = self.pattern()
+
+    def pattern(self) -> re.Pattern:
+        """Segments of a text: runs of letters or of other characters, with the spaces before them, as far as no piece goes across."""
+        if any(two[1] == SPACE and two[0] != SPACE for two in self.joined):
+            return re.compile(r"(?s:.+)")
+        inside = sorted(set().union(*self.joined) - {SPACE})
+        apart = all(two[0].isalpha() == two[1].isalpha() for two in self.joined if SPACE not in two)
+        runs = [[c for c in inside if c.isalpha()], [c for c in inside if not c.isalpha()]] if apart else [inside]
+        runs = ["[" + "".join(map(re.escape, r)) + "]" for r in runs if r]
+        after = "|".join(f"{r}+" for r in runs) or "(?!)"
+        return re.compile(f"{SPACE}+(?:{after})?|{after}|(?s:.)")
 
     def history(self, token: str) -> History:
         h = self.histories.get(token)
@@ -169,11 +199,20 @@ class Encoder:
             h = self.histories[token] = History(token, self.score)
         return h
 
+    def following(self, token: str) -> dict[str, bool]:
+        """The answers of ``compatible`` so far for what may follow a token; an empty one is the beginning."""
+        known = self.follow.get(token)
+        if known is None:
+            known = self.follow[token] = {}
+        return known
+
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging the joined text ends in these two tokens, or in the right one where the left one is empty."""
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        fits = self.pairs[left, right] = self.stand_together(self.history(left), self.history(right)) if left else self.history(right).whole
+        if self.pairs >= PAIRS:
+            self.follow, self.pairs = {}, 0
+        self.pairs += 1
+        fits = self.stand_together(self.history(left), self.history(right)) if left else self.history(right).whole
+        self.following(left)[right] = fits
         return fits
 
     def stand_together(self, a: History, b: History) -> bool:
@@ -196,18 +235,23 @@ class Encoder:
     def table(self, text: str) -> list[str | None]:
         """The last token of every prefix of a segment; None stands for a character outside of the vocabulary."""
         last: list[str | None] = [None] * (len(text) + 1)
-        known = self.pairs
+        after: list[dict[str, bool] | None] = [self.following(""), *last[1:]]
         for at, piece in self.automaton.iter(text):
             end = at + 1
             if last[end] is None:
                 start = end - len(piece)
-                before = (last[start] or text[start - 1]) if start else ""
-                fits = known.get((before, piece))
-                if self.compatible(before, piece) if fits is None else fits:
+                known = after[start]
+                if known is None:
+                    known = after[start] = self.following(last[start] or text[start - 1])
+                fits = known.get(piece)
+                if fits is None:
+                    fits = self.compatible((last[start] or text[start - 1]) if start else "", piece)
+                if fits:
                     last[end] = piece
         return last
 
-    def segment(self, text: str) -> list[int]:
+    def part(self, text: str) -> list[int]:
+        """The ids of an independent part, from its table backwards."""
         last, at, out = self.table(text), len(text), []
         v = self.vocabulary
         while at:
@@ -221,19 +265,32 @@ class Encoder:
         out.reverse()
         return out
 
+    def segment(self, text: str) -> list[int]:
+        """The ids of a segment: of its parts between characters that no piece holds side by side."""
+        joined, start, out = self.joined, 0, []
+        for end in range(1, len(text) + 1):
+            if text[end - 1 : end + 1] not in joined:
+                part = text[start:end]
+                ids = self.parts.get(part)
+                if ids is None:
+                    ids = self.part(part)
+                    self.parts.put(part, ids)
+                out += ids
+                start = end
+        return out
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         whole = (SPACE if self.vocabulary.prefix else "") + text.replace(" ", SPACE)
-        known, out = self.known, []
+        words, out = self.words, []
         for s in self.segments.findall(whole) if len(whole) < LONG_TEXT else map(re.Match.group, self.segments.finditer(whole)):
-            ids = known.get(s)
+            ids = words.new.get(s)
             if ids is None:
-                ids = self.segment(s)
-                if len(s) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[s] = ids
+                ids = words.get(s)
+                if ids is None:
+                    ids = self.segment(s)
+                    words.put(s, ids)
             out += ids
         return out
 
@@ -248,6 +305,9 @@ class Decoder:
         surface = {NORMAL: lambda p: p.replace(SPACE, " "), CONTROL: lambda p: "", UNKNOWN: lambda p: UNKNOWN_SURFACE, BYTE: lambda p: None}
         self.surface = [surface[k](p) for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.byte = {i: b for b, i in v.bytes.items()}
+        for i, b in self.byte.items():
+            if b < 128:  # never part of a longer character
+                self.surface[i] = chr(b)
         self.opens = [k == NORMAL and p.startswith(SPACE) for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.silent = [k == CONTROL for k in v.kinds]
 
@@ -258,10 +318,8 @@ class Decoder:
         parts = [surface[i] for i in ids]
         if None in parts:
             parts = []
-            for single, run in groupby(ids, self.byte.get):
-                run = list(run)
-                parts += [bytes([single]) * len(run)] if single is not None else [surface[i] for i in run]
-            parts = [p for is_byte, run in groupby(parts, lambda p: isinstance(p, bytes)) for p in ([text_of(b"".join(run))] if is_byte else run)]
+            for raw, run in groupby(ids, lambda i: surface[i] is None):
+                parts += [text_of(bytes(self.byte[i] for i in run))] if raw else [surface[i] for i in run]
         text = "".join(parts)
         first = next((i for i in ids if not self.silent[i]), None)
         return text[1:] if self.prefix and first is not None and self.opens[first] else text
@@ -290,9 +348,13 @@ def _decode(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(vocabulary)
         for b in batches:
-            if b.column(1).flatten().null_count:
+            flat, at, texts = b.column(1).flatten(), 0, []
+            if flat.null_count:
                 raise ValueError("a null among the ids")
-            texts = [decoder.decode(ids or []) for ids in b.column(1).to_pylist()]
+            flat = flat.to_numpy().tolist()
+            for n in b.column(1).value_lengths().fill_null(0).to_pylist():
+                texts.append(decoder.decode(flat[at : at + n]))
+                at += n
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return run
