@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
+from .layout import Layout
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -26,15 +27,15 @@ MOST_HOPS = 120
 def levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """GRF-1/GRF-10: breadth-first distance of every vertex reached from ``seeds`` (id); one join per level, no path is kept.
 
-    Edges and every level are written once, so a level never runs the ones before it again.  The search ends with an empty level, or
+    Edges are laid out once and every level is written, so a level never runs the ones before it again.  The search ends with an empty level, or
     after ``depth`` levels where one is given.
     """
-    hops = stored(edges.select("src", "dst").distinct(), "hops")
+    hops = Layout(edges.select("src", "dst").distinct())
     seen = front = seeds.select("id").distinct().withColumn("distance", F.lit(0))
     for d in count(1):
         if depth is not None and d > depth:
             return seen
-        new = front.join(hops, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        new = hops.step(front, "id").select(F.col("dst").alias("id")).distinct()
         front = stored(new.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(d)), "level")
         if front.isEmpty():
             return seen
@@ -44,16 +45,15 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Data
 def simple_paths(edges: DataFrame, ends: DataFrame, depth: int = MOST_HOPS) -> DataFrame:
     """GRF-6: all simple paths that lead to ``ends`` (id), backwards, as arrays in forward order, to the sources.
 
-    Edges and every level are written once.  ``truncated`` marks paths that were still open after ``depth`` hops.
+    Edges are laid out once and every level is written.  ``truncated`` marks paths that were still open after ``depth`` hops.
     """
-    into = stored(edges.select("src", "dst").distinct(), "into")
+    into = Layout(edges.select(F.col("dst").alias("src"), F.col("src").alias("before")).distinct())
     open_, done = ends.select(F.array("id").alias("path")), []
     for _ in range(depth):
-        head = F.element_at("path", 1)
-        step = open_.join(into, head == F.col("dst"), "left").filter(F.col("src").isNull() | ~F.array_contains("path", F.col("src")))
-        step = stored(step.select("path", "src"), "paths")
-        done.append(step.filter("src is null").select("path", F.lit(False).alias("truncated")))
-        open_ = step.filter("src is not null").select(F.concat(F.array("src"), "path").alias("path"))
+        step = into.step(open_.withColumn("_head", F.element_at("path", 1)), "_head", "left")
+        step = stored(step.filter(F.col("before").isNull() | ~F.array_contains("path", F.col("before"))).select("path", "before"), "paths")
+        done.append(step.filter("before is null").select("path", F.lit(False).alias("truncated")))
+        open_ = step.filter("before is not null").select(F.concat(F.array("before"), "path").alias("path"))
         if open_.isEmpty():
             return reduce(DataFrame.union, done)
     return reduce(DataFrame.union, [*done, open_.withColumn("truncated", F.lit(True))])
@@ -155,10 +155,10 @@ def best_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     ``edges`` has src, dst and status.  Only the best path of each vertex goes on to the next level, until a level is empty.
     """
-    hops = stored(edges.select("src", "dst", "status").distinct(), "hops")
+    hops = Layout(edges.select("src", "dst", "status").distinct())
     seen = front = seeds.select("id", F.array("id").alias("path"), F.lit(False).alias("partial"))
     while True:
-        step = front.join(hops, F.col("id") == F.col("src"))
+        step = hops.step(front, "id")
         step = step.select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"), (F.col("partial") | (F.col("status") == "partial")).alias("partial"))
         best = step.groupBy("id").agg(F.min(F.struct("path", "partial")).alias("b")).select("id", "b.*")
         front = stored(best.join(seen.select("id"), "id", "left_anti"), "level")
@@ -167,35 +167,6 @@ def best_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         seen = seen.union(front)
 
 
-def unique_paths(paths: DataFrame) -> DataFrame:
-    """GRF-13: ends that exactly one path leads to."""
-    end = F.element_at("path", -1)
-    return paths.groupBy(end.alias("id")).agg(F.count("*").alias("n"), F.first("path").alias("path")).filter("n = 1").drop("n")
-
-
-def bounded_slices(edges: DataFrame, seeds: DataFrame, priority, limit: int, depth: int) -> DataFrame:
-    """GRF-2: for every seed, a slice of at most ``limit`` vertices, nearest level first, within a level by priority and id.
-
-    All seeds advance together.  The budget of a seed is what its earlier levels have left; ``truncated`` tells that some
-    vertex did not fit.  Where the budget does not bind this is the set of all vertices within ``depth``.
-    """
-    hops = stored(edges.select("src", "dst").distinct(), "hops")
-    seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance"), F.lit(False).alias("truncated"))
-    front = seen
-    for d in range(1, depth + 1):
-        used = seen.groupBy("seed").agg(F.count("*").alias("used"))
-        new = front.join(hops, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
-        new = new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").join(used, "seed")
-        own = W.partitionBy("seed")
-        new = new.withColumn("k", F.row_number().over(own.orderBy(F.desc(priority), "id"))).withColumn("all", F.count("*").over(own))
-        kept = new.filter(F.col("k") + F.col("used") <= limit)
-        front = stored(kept.select("seed", "id", F.lit(d).alias("distance"), (F.col("all") + F.col("used") > limit).alias("truncated")), "level")
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen
-
-
 def field_transitions(states: DataFrame, relations: DataFrame) -> DataFrame:
     """GRF-15: one step of a field along relations: preserve, extend by a segment, drop a segment, or stop with a reason.
 

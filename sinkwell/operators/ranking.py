@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stored import release, stored
+
 BUCKETS = 4096
 #: Input positions that are numbered together where scores are equal.
 CHUNK = 65_536
@@ -158,36 +160,49 @@ def actionable_pool(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("background") | (F.coalesce(any_real, F.lit(0)) == 0))
 
 
+#: Width of a bin of burdens, within which one task looks for a key's earlier rows.
+BURDEN_BIN = 1 / 256
+
+
 def work_units(rows: DataFrame, packs: DataFrame) -> DataFrame:
     """WIN-9 and WIN-10: within a file, in burden order, a row joins the first unit that shares a pack or agrees in pivot and shape.
 
-    The groups depend on order, so each file is one pandas group; a file's rows are few numbers, not texts.
+    A unit is named by its head, the row that opened it, and units stand in the order of their heads.  So a row's unit is the least of the units of
+    earlier rows that share a pack, and of the earlier heads with its pivot and shape; a row without either is a head.  This depends on earlier rows only, so
+    it has one solution, and a round that computes it for all rows from the last round's answers settles the first rows first and changes
+    nothing once all are settled.  A round is a prefix minimum over the rows of each key, in two levels of burden bins, and a minimum over the keys of
+    each row: no task holds a file or a hot pack, and a pack passes a unit on to all its rows in one round.
     """
-    keys = packs.groupBy("sink_id").agg(F.collect_list("pack_key").alias("keys"))
-    data = rows.join(keys, "sink_id", "left").select("file", "seq", "pivot", "shape", F.round("burden", 9).alias("burden"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
-
-    def group(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["burden", "seq"], ascending=[False, True], kind="stable")
-        by_pack: dict[str, int] = {}
-        by_pivot: dict[tuple, int] = {}
-        heads, counts = [], []
-        for r in g.itertuples(index=False):
-            options = [by_pack[k] for k in r.keys if k in by_pack]
-            if r.pivot is not None and (r.pivot, r.shape) in by_pivot:
-                options.append(by_pivot[(r.pivot, r.shape)])
-            unit = min(options) if options else len(heads)
-            if unit == len(heads):
-                heads.append(r)
-                counts.append(0)
-                if r.pivot is not None:
-                    by_pivot.setdefault((r.pivot, r.shape), unit)
-            counts[unit] += 1
-            for k in r.keys:
-                if by_pack.get(k, unit) >= unit:
-                    by_pack[k] = unit
-        return pd.DataFrame([(h.file, h.seq, h.burden, c, h.shape) for h, c in zip(heads, counts, strict=True)], columns=["file", "seq", "burden", "sinks", "shape"])
-
-    return data.groupBy("file").applyInPandas(group, "file string, seq long, burden double, sinks long, shape string")
+    none = F.lit(None).cast("string")
+
+    def key(kind: str, x, y):
+        return F.to_json(F.struct(F.col("file"), F.lit(kind).alias("kind"), x.alias("x"), y.alias("y")))
+
+    data = rows.select("file", "sink_id", "pivot", "shape", F.struct((-F.round("burden", 9)).alias("less"), F.col("seq").alias("seq")).alias("at"))
+    shared = data.join(packs.select("sink_id", "pack_key").distinct(), "sink_id").select("file", "at", key("pack", F.col("pack_key"), none).alias("key"), F.lit(False).alias("heads"))
+    pivots = data.filter("pivot is not null").select("file", "at", key("pivot", F.col("pivot"), F.col("shape")).alias("key"), F.lit(True).alias("heads"))
+    own = data.select("file", "at", none.alias("key"), F.lit(False).alias("heads"))
+    now = last = stored(shared.union(pivots).union(own).withColumn("unit", F.col("at")), "units")
+    bins = F.floor(F.col("at.less") / BURDEN_BIN)
+    while True:
+        keyed = now.filter("key is not null").withColumn("_bin", bins)
+        given = F.when(~F.col("heads") | (F.col("unit") == F.col("at")), F.col("unit"))
+        within = F.min(given).over(W.partitionBy("key", "_bin").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+        lows = keyed.groupBy("key", "_bin").agg(F.min(given).alias("_low"))
+        lows = lows.select(F.col("key").alias("_key"), F.col("_bin").alias("_at"), F.min("_low").over(W.partitionBy("key").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)).alias("_low"))
+        met = keyed.withColumn("_within", within).join(lows, (F.col("key") == F.col("_key")) & (F.col("_bin") == F.col("_at")))
+        option = met.select("file", "at", "key", "heads", "unit", F.least("_within", "_low").alias("option"))
+        alone = now.filter("key is null").select("file", "at", "key", "heads", "unit", F.lit(None).cast(now.schema["unit"].dataType).alias("option"))
+        best = option.union(alone).groupBy("file", "at").agg(F.coalesce(F.min("option"), F.col("at")).alias("new"), F.min("unit").alias("old"), F.collect_list(F.struct("key", "heads")).alias("keys"))
+        nxt = stored(best.select("file", "at", F.col("new").alias("unit"), (F.col("new") != F.col("old")).alias("moved"), F.explode("keys").alias("k")).select("file", "at", "k.key", "k.heads", "unit", "moved"), "units")
+        release(last)
+        now, last = nxt.drop("moved"), nxt
+        if nxt.filter("moved").isEmpty():
+            break
+    units = now.filter("key is null").groupBy("file", "unit").agg(F.count("*").alias("sinks"))
+    heads = data.select(F.col("file").alias("_file"), F.col("at").alias("_at"), "shape")
+    out = units.join(heads, F.col("file").eqNullSafe(F.col("_file")) & (F.col("unit") == F.col("_at")))
+    return out.select("file", "unit.seq", (-F.col("unit.less")).alias("burden"), "sinks", "shape")
 
 
 def _top_before(sites: DataFrame, value: Column, inner: W, name: str) -> DataFrame:

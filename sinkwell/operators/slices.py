@@ -2,9 +2,10 @@
 
 The order in which a slice takes its elements depends on all it has taken before, so it is a loop; but a slice is bounded, and so is what its
 loop reads.  All seeds advance together in rounds.  A round runs every loop over the neighbours that are loaded; a loop that takes an
-element whose neighbours are not loaded stops and names all unloaded elements of its queue, a join loads them for all
-seeds, and the loop starts again.  An element that is named in a round was found after those of the round before, so there are at most as many rounds
-as hops.  A loop inspects no more relations than its work budget, so of an element's neighbours, in their order, no more are ever kept or sent.
+element whose neighbours are not loaded stops and names the unloaded elements of its queue, and of those that its loaded elements lead to as many as it
+may still take; a join loads them for all seeds, and the loop starts again.  Every round takes a loop one element further at least, so there are no more
+rounds than elements in a slice; where the budgets do not bind, there are as many as hops.  A loop inspects no more relations than its work budget, so
+of an element's neighbours, in their order, no more are ever kept or sent.
 
 Neighbours are laid out once by element.  A round joins the distinct elements with them, then the seeds with what was found, so an element that every
 seed asks for is read once, and adaptive execution can split or broadcast the second join.
@@ -138,7 +139,7 @@ class Loop:
         while self.queue:
             name = self.queue[0][2]
             if name not in self.loaded and self.work < self.limits.visits:
-                self.wanted = [q[2] for q in self.queue if q[2] not in self.loaded]
+                self.wanted = self.ahead()
                 return
             heapq.heappop(self.queue)
             if not self.expand(name):
@@ -146,6 +147,18 @@ class Loop:
         if "work" in self.truncated and self.queue:
             self.gap(min(self.queue, key=lambda q: q[1])[2], None, "budget-exhausted", "work left")
 
+    def ahead(self) -> list[str]:
+        """What the loop may ask for next: the unloaded elements of the queue, then targets of the loaded ones."""
+        names = [q[2] for q in sorted(self.queue)]
+        wanted = dict.fromkeys(n for n in names if n not in self.loaded)
+        for n in names:
+            for move in self.loaded.get(n, ()):
+                if len(wanted) >= self.limits.elements:
+                    return list(wanted)
+                if not move["refused"] and move["target"]["id"] not in self.loaded:
+                    wanted[move["target"]["id"]] = None
+        return list(wanted)
+
     def expand(self, name: str) -> bool:
         """Follow the relations of an element; False if the work budget is used up."""
         if self.work >= self.limits.visits:
@@ -214,26 +227,23 @@ def slices(elements: DataFrame, relations: DataFrame, seeds: DataFrame, directio
     start = seeds.filter("id is not null").select(F.col("id").alias("seed")).distinct().join(known.select(entry.alias("entry")), F.col("seed") == F.col("entry.id"), "left")
     start = stored(start, "seeds")
 
+    n = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that rounds of small rows are not put into one task
     schema = f"seed string, wanted array<string>, left int, {SLICE}"
     arrow = _arrow_schema(start.sparkSession, schema)
-    asked = start.filter("entry is not null").select("seed", F.col("seed").alias("at"), F.lit(limits.visits + 1).alias("left"))
-    open_, loaded, done = start, [], []
-    if asked.isEmpty():
-        open_ = start.withColumn("known", F.lit(None).cast(f"array<struct<at:string,moves:array<{MOVE}>>>"))
-        done.append(stored(open_.mapInArrow(_round(limits, arrow), schema), "slices"))
+    asked = start.select("seed", F.col("seed").alias("at"), F.lit(limits.visits + 1).alias("left"), "entry")
+    loaded, done, open_ = [], [], None
     while not done or not asked.isEmpty():
-        found = stored(asked.select("at").distinct().join(around.select(F.col("at").alias("_at"), "moves"), F.col("at") == F.col("_at"), "left").drop("_at"), "found")
-        met = asked.join(found.withColumnRenamed("at", "_at"), F.col("at") == F.col("_at"), "left")
-        loaded.append(stored(met.select("seed", "at", F.slice("moves", F.lit(1), F.col("left")).alias("moves")), "loaded"))
-        every = reduce(DataFrame.union, loaded).groupBy(F.col("seed").alias("_seed")).agg(F.collect_list(F.struct("at", "moves")).alias("known"))
-        rows = open_.join(every, F.col("seed") == F.col("_seed"), "left").select("seed", "entry", "known")
+        found = asked.select(F.col("at").alias("_at")).distinct().join(around.withColumnRenamed("at", "_there"), F.col("_at") == F.col("_there")).drop("_there")
+        met = asked.join(found, F.col("at") == F.col("_at"), "left")
+        loaded.append(stored(met.select("seed", "at", F.slice("moves", F.lit(1), F.col("left")).alias("moves"), "entry"), "loaded"))
+        here = loaded if open_ is None else [x.join(open_, F.col("seed") == F.col("_seed"), "left_semi") for x in loaded]
+        rows = reduce(DataFrame.union, here).repartition(n, "seed").groupBy("seed")
+        rows = rows.agg(F.first("entry", ignorenulls=True).alias("entry"), F.collect_list(F.struct("at", "moves")).alias("known"))
         ran = stored(rows.mapInArrow(_round(limits, arrow), schema), "slices")
         done.append(ran.filter(F.size("wanted") == 0))
         going = ran.filter(F.size("wanted") > 0)
-        asked = going.select("seed", F.explode("wanted").alias("at"), "left")
-        open_ = start.join(going.select(F.col("seed").alias("_seed")), F.col("seed") == F.col("_seed"), "left_semi")
-        loaded = [x.join(going.select(F.col("seed").alias("_seed")), F.col("seed") == F.col("_seed"), "left_semi") for x in loaded]
-        release(found)
+        asked = going.select("seed", F.explode("wanted").alias("at"), "left", F.lit(None).cast(ELEMENT).alias("entry"))
+        open_ = going.select(F.col("seed").alias("_seed"))
     release(around)
     out = reduce(DataFrame.union, done).drop("wanted", "left")
     return out if gaps is None else _with_gaps(out, gaps, limits)

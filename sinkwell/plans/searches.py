@@ -7,9 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import lineage, slices
+from ..operators.unfold import unfold
+from ..operators.unique import unique_search
+from ..sources import markup
 from ..sources.tables import table
+from .markup import NESTED, TAGS
 from .registry import query
-from .related import star_edges
+from .related import PATHS, star_edges
 
 # ---------------------------------------------------------------- field lineage
 
@@ -123,3 +127,80 @@ def grf4(spark, sf):
     out = slices.slices(elements, rel, seeds, "backward")
     ids = F.array_join(F.array_sort("elements.id"), ",")
     return out.select("seed", F.size("elements").alias("elements"), ids.alias("ids"), F.size("relations").alias("relations"), "work", F.size("gaps").alias("gaps"), F.size("terminals").alias("terminals"), F.array_join("truncated", ",").alias("truncated"))
+
+
+# ---------------------------------------------------------------- unique paths
+
+
+@query(
+    "grf14_selected_connectors",
+    PATHS
+    + """ SELECT path[len(path)] AS origin, path[1] AS end, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'several' END AS result, CASE WHEN count(*) = 1 THEN any_value(array_to_string(list_reverse(path), '>')) END AS path
+    FROM done WHERE path[1] LIKE 'r:%' GROUP BY 1, 2""",
+)
+def grf14(spark, sf):
+    """Backward from every order to the regions, with the bounds of the contract: 128 states, 24 hops."""
+    back = star_edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    orders = table(spark, sf, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"))
+    regions = table(spark, sf, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"))
+    out = unique_search(back, orders, regions, most_states=128)
+    return out.select("origin", "end", "result", F.array_join("path", ">").alias("path"))
+
+
+# ---------------------------------------------------------------- trees of pages
+
+#: Opened elements with the element that holds them.
+ELEMENTS = TAGS + f""", e AS (SELECT *, (SELECT max(p.pos) FROM tags p WHERE NOT p.closing AND p.page_id = t.page_id AND p.pos < t.pos AND p.level = t.level - 1 AND p.tag IN {NESTED}) AS parent FROM tags t WHERE NOT closing)"""
+#: All pairs of an element and one that holds it.
+HELD = ELEMENTS.replace("WITH found", "WITH RECURSIVE found") + """, up(page_id, pos, holder, hops) AS (SELECT page_id, pos, parent, 1 FROM e WHERE parent IS NOT NULL
+    UNION ALL SELECT up.page_id, up.pos, e.parent, hops + 1 FROM up JOIN e ON e.page_id = up.page_id AND e.pos = up.holder WHERE e.parent IS NOT NULL)"""
+HIDDEN, TERMINALS = ("div", "article", "ul"), ("a", "img")
+
+
+@query(
+    "grf11_unfolded_pages",
+    ELEMENTS.replace("WITH found", "WITH RECURSIVE found")
+    + """, u AS (SELECT e.page_id || ':' || p.tag AS src, e.page_id || ':' || e.tag AS dst, min(e.pos)::BIGINT AS pos FROM e JOIN e p ON p.page_id = e.page_id AND p.pos = e.parent GROUP BY 1, 2),
+    walk(root, id, poss, ids) AS (SELECT page_id || ':html', page_id || ':html', []::BIGINT[], [page_id || ':html'] FROM pages UNION ALL SELECT root, dst, list_append(poss, pos), list_append(ids, dst) FROM walk JOIN u ON src = id WHERE NOT list_contains(ids, dst)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY root, id ORDER BY len(poss), poss) AS k FROM walk),
+    best AS (SELECT * FROM f WHERE k = 1)
+    SELECT root, NULL AS parent, root AS id, NULL AS pos, 0 AS depth, false AS recursive, true AS first, false AS truncated FROM best WHERE root = id
+    UNION ALL SELECT b.root, b.id, u.dst, u.pos, len(b.ids)::INTEGER, list_contains(b.ids, u.dst), NOT list_contains(b.ids, u.dst) AND c.poss = list_append(b.poss, u.pos), false FROM best b JOIN u ON u.src = b.id JOIN best c ON c.root = b.root AND c.id = u.dst""",
+)
+def grf11(spark, sf):
+    """What each page renders, by tag: a tag within itself is recursive."""
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    e = markup.elements(pages)
+    name = lambda tag: F.concat_ws(":", "page_id", tag)
+    holders = e.select("page_id", F.col("pos").alias("parent"), F.col("tag").alias("_tag"))
+    uses = e.join(holders, ["page_id", "parent"]).groupBy(name("_tag").alias("src"), name("tag").alias("dst")).agg(F.min("pos").alias("pos"))
+    return unfold(uses, pages.select(F.concat_ws(":", "page_id", F.lit("html")).alias("id")))
+
+
+@query(
+    "grf21_ancestor_chains",
+    HELD + """ SELECT e.page_id, e.pos, any_value(e.tag) AS tag, coalesce(string_agg(p.tag, '>' ORDER BY hops DESC), '') AS chain, count(p.pos)::INTEGER AS depth
+    FROM e LEFT JOIN up ON up.page_id = e.page_id AND up.pos = e.pos LEFT JOIN e p ON p.page_id = up.page_id AND p.pos = up.holder GROUP BY e.page_id, e.pos""",
+)
+def grf21_chains(spark, sf):
+    spans = markup.intervals(table(spark, sf, "pages").select("page_id", "html"))
+    by = markup.ancestors(spans, spans).groupBy(F.col("page_id").alias("_page"), F.col("pos").alias("_pos")).agg(F.array_sort(F.collect_list("by")).alias("by"))
+    rows = spans.join(by, (F.col("page_id") == F.col("_page")) & (F.col("pos") == F.col("_pos")), "left")
+    return rows.select("page_id", "pos", "tag", F.coalesce(F.array_join("by.tag", ">"), F.lit("")).alias("chain"), F.coalesce(F.size("by"), F.lit(0)).alias("depth"))
+
+
+@query(
+    "grf18_hidden_subtrees",
+    HELD + f""", h AS (SELECT * FROM e WHERE tag IN {HIDDEN}),
+    above AS (SELECT h.page_id, h.pos, max(p.pos) FILTER (WHERE p.tag NOT IN {HIDDEN}) AS visible_parent FROM h JOIN up USING (page_id, pos) JOIN e p ON p.page_id = up.page_id AND p.pos = up.holder GROUP BY 1, 2),
+    below AS (SELECT h.page_id, h.pos, count(*) AS inside, count(*) FILTER (WHERE d.tag IN {HIDDEN}) AS hidden_inside, count(*) FILTER (WHERE d.tag IN {TERMINALS}) AS terminals FROM h JOIN up ON up.page_id = h.page_id AND up.holder = h.pos JOIN e d ON d.page_id = up.page_id AND d.pos = up.pos GROUP BY 1, 2)
+    SELECT h.page_id, h.pos, h.tag, visible_parent, coalesce(inside, 0) AS inside, coalesce(hidden_inside, 0) AS hidden_inside, coalesce(terminals, 0) AS terminals
+    FROM h LEFT JOIN above USING (page_id, pos) LEFT JOIN below USING (page_id, pos)""",
+)
+def grf18_subtrees(spark, sf):
+    """Hidden elements with the nearest visible one that holds them, and what they hold by subtraction."""
+    spans = markup.intervals(table(spark, sf, "pages").select("page_id", "html"), {"hidden_inside": HIDDEN, "terminals": TERMINALS})
+    hidden = spans.filter(F.col("tag").isin(*HIDDEN))
+    visible = markup.ancestors(spans.filter(~F.col("tag").isin(*HIDDEN)), hidden).groupBy(F.col("page_id").alias("_page"), F.col("pos").alias("_pos")).agg(F.max("by.pos").alias("visible_parent"))
+    rows = hidden.join(visible, (F.col("page_id") == F.col("_page")) & (F.col("pos") == F.col("_pos")), "left")
+    return rows.select("page_id", "pos", "tag", "visible_parent", "inside", "hidden_inside", "terminals")

@@ -13,6 +13,7 @@ from ..operators import graphs as G
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators.ranking import CHOSEN
+from ..operators.unique import unique_search
 from ..sources import markup, star
 from ..sources.tables import table
 from .ranked import agg4, agg15, agg21, fan_out
@@ -103,15 +104,12 @@ def grf12(spark, sf):
 
 @query("grf13_unique_paths", PATHS + " SELECT path[len(path)] AS id, any_value(array_to_string(path, '>')) AS path FROM done WHERE path[1] LIKE 'r:%' GROUP BY 1 HAVING count(*) = 1")
 def grf13(spark, sf):
-    paths = order_paths(spark, sf).filter(F.element_at("path", 1).startswith("r:"))
-    return G.unique_paths(paths).select("id", F.array_join("path", ">").alias("path"))
-
-
-@query("grf2_bounded_slices")
-def grf2(spark, sf):
-    seeds = table(spark, sf, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"))
-    priority = F.when(F.col("id").startswith("o:"), 3000).when(F.col("id").startswith("s:"), 2000).otherwise(100)
-    return G.bounded_slices(star_edges(spark, sf), seeds, priority, 128, 4)
+    """Orders that one path from all regions leads to: of all origins, one reaches it, and in one way."""
+    ends = table(spark, sf, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"))
+    regions = table(spark, sf, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"))
+    found = unique_search(star_edges(spark, sf), regions, ends, most_states=None)
+    one = found.groupBy(F.col("end").alias("id")).agg(F.min("path").alias("path"), F.count("*").alias("n"), F.bool_and(F.col("result") == "unique").alias("sole"))
+    return one.filter("n = 1 and sole").select("id", F.array_join("path", ">").alias("path"))
 
 
 @query(

@@ -1,11 +1,15 @@
 """Searches with states against plain loops: field lineage, bounded slices, unique paths, unfolded trees, layouts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sinkwell.operators import layout, lineage, slices
+from sinkwell.operators.unfold import unfold
+from sinkwell.operators.unique import unique_search
+from sinkwell.sources import markup
 
 # ---------------------------------------------------------------- field lineage
 
@@ -222,7 +226,7 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("direction,names", [("forward", list(CASES)), ("backward", ["elements", "work", "stops"]), ("both", ["relations", "terminals", "none"])])
+@pytest.mark.parametrize("direction,names", [("forward", ["elements", "relations", "terminals", "work", "depth"]), ("backward", ["stops"]), ("both", ["gaps", "none"])])
 def test_slices_equal_a_plain_loop_with_every_budget_binding(spark, direction, names):
     rng = random.Random(5)
     elements, relations, gaps = evidence(rng, 50, 110)
@@ -287,3 +291,122 @@ def test_a_step_exchanges_the_front_only_and_splits_hot_starts(spark):
         scan = plan[plan.index("Bucketed: true") - 400 :] if "Bucketed: true" in plan else ""
         assert scan and plan.count("Exchange") == (3 if ways.split else 1)
         ways.release()
+
+
+# ---------------------------------------------------------------- unique paths
+
+
+def search(spark, edges, origins, ends, **bounds):
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    rows = unique_search(spark.createDataFrame(edges, "src string, dst string"), frame(origins), frame(ends), **bounds).collect()
+    return {(r.origin, r.end): (r.result, r.path) for r in rows}
+
+
+def plain_paths(edges, origin, ends):
+    """All simple paths that end at their first end."""
+    found, stack = {}, [[origin]]
+    while stack:
+        path = stack.pop()
+        for a, b in set(edges):
+            if a == path[-1] and b not in path:
+                if b in ends:
+                    found.setdefault((origin, b), []).append([*path, b])
+                else:
+                    stack.append([*path, b])
+    return found
+
+
+def test_forty_levels_answer_at_once_though_their_paths_are_2_to_the_40(spark):
+    edges = [(f"{x}{i}", f"{y}{i + 1}") for i in range(1, 40) for x in "ab" for y in "ab"] + [("start", "a1"), ("start", "b1"), ("a40", "end"), ("b40", "end"), ("start", "near"), ("near", "only")]
+    began = time.time()
+    got = search(spark, edges, ["start"], ["end", "only"], most_hops=60)
+    assert got == {("start", "end"): ("several", None), ("start", "only"): ("unique", ["start", "near", "only"])}
+    assert time.time() - began < 240
+    assert search(spark, edges, ["start"], ["end", "only"], most_hops=3) == {("start", "only"): ("exhausted", None), ("start", None): ("exhausted", None)}
+    assert search(spark, edges, ["start"], ["end", "only"], most_states=5)[("start", None)] == ("exhausted", None)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_unique_search_never_errs_on_graphs_with_cycles(spark, seed):
+    rng = random.Random(seed)
+    edges = [(f"v{rng.randrange(9)}", f"v{rng.randrange(9)}") for _ in range(rng.choice([11, 14, 18]))]
+    edges += [(f"v{rng.randrange(9)}", f"e{rng.randrange(3)}") for _ in range(5)] + edges[:2]
+    origins, ends = ["v0", "v1", "v2", "nowhere"], ["e0", "e1", "e2"]
+    got = search(spark, edges, origins, ends)
+    for o in origins:
+        want, lost = plain_paths(edges, o, ends), (o, None) in got
+        for e in ends:
+            paths, result = want.get((o, e), []), got.get((o, e))
+            if result is None:
+                assert not paths or lost
+            elif result[0] == "unique":
+                assert paths == [result[1]]
+            elif result[0] == "several":
+                assert len(paths) > 1
+            else:
+                assert lost
+    assert any(r[0] == "unique" for r in got.values())
+
+
+# ---------------------------------------------------------------- unfolding
+
+
+def plain_unfold(uses, root, most):
+    rows, queued, queue, truncated = [(None, root, None, 0, False, True)], [root], [(root, [])], False
+    while queue:
+        if len(queued) > most:
+            truncated = True
+            break
+        at, above = queue.pop(0)
+        for src, dst, pos in sorted(set(uses), key=lambda u: u[2]):
+            if src != at:
+                continue
+            again = dst == at or dst in above
+            first = not again and dst not in queued
+            if first:
+                queued.append(dst)
+                queue.append((dst, [*above, at]))
+            rows.append((at, dst, pos, len(above) + 1, again, first))
+    return sorted((*r, truncated) for r in rows if r[0]), len(queued)
+
+
+def test_unfolding_marks_recursion_and_stops_at_the_bound(spark):
+    rng = random.Random(9)
+    uses = [("A", "B", 1), ("B", "A", 2), ("B", "B", 3), ("A", "C", 4), ("C", "D", 5), ("B", "D", 6), ("D", "A", 7)]
+    uses += [(f"n{i}", f"n{rng.randrange(40)}", 100 + 3 * i + j) for i in range(40) for j in range(3)] + [("A", "n0", 8), ("n39", "A", 9)]
+    frame = spark.createDataFrame(uses + uses[:3], "src string, dst string, pos int")
+    for most in (5000, 12):
+        got = unfold(frame, spark.createDataFrame([("A",), ("n5",), ("alone",), (None,), ("A",)], "id string"), most).collect()
+        for root in ("A", "n5", "alone"):
+            mine = [r for r in got if r.root == root]
+            assert [(r.parent, r.depth) for r in mine if r.parent is None] == [(None, 0)]
+            want, _ = plain_unfold(uses, root, most)
+            assert sorted((r.parent, r.id, r.pos, r.depth, r.recursive, r.first, r.truncated) for r in mine if r.parent) == want
+        assert {r.root for r in got} == {"A", "n5", "alone"}
+
+
+# ---------------------------------------------------------------- trees of pages
+
+
+def test_ancestors_of_a_tree_a_thousand_deep(spark):
+    deep = "".join(f"<div><p{i % 7}>" for i in range(1000)) + "</div>" * 1000 + "<ul><li>x<li><div>"
+    pages = spark.createDataFrame([(1, deep), (2, ""), (3, None), (4, "</div><div><a></div></div><ul>")], "page_id long, html string")
+    spans = markup.intervals(pages, {"divs": ("div",)})
+    rows = {(r.page_id, r.pos): r for r in spans.collect()}
+    parents = {(r.page_id, r.pos): r.parent for r in markup.elements(pages).collect()}
+    assert set(rows) == set(parents)
+    chains, held, divs = {}, dict.fromkeys(rows, 0), dict.fromkeys(rows, 0)
+    for page, pos in rows:
+        at, chain = parents[page, pos], []
+        while at is not None:
+            chain.append(at)
+            held[page, at] += 1
+            divs[page, at] += rows[page, pos].tag == "div"
+            at = parents[page, at]
+        chains[page, pos] = sorted(chain)
+    assert {k: (r.inside, r.divs) for k, r in rows.items()} == {k: (held[k], divs[k]) for k in rows}
+    got = {}
+    for r in markup.ancestors(spans, spans, 16).select("page_id", "pos", "by.pos").toDF("page", "pos", "by").collect():
+        got.setdefault((r.page, r.pos), []).append(r.by)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in chains.items() if v}
+    assert max(map(len, chains.values())) == 1000
