@@ -36,6 +36,7 @@ def sink_metrics(facts: DataFrame) -> DataFrame:
             "unknown_edge_count": kind("unknown"),
             "representation_churn": size(F.array_distinct(F.transform(F.filter(steps, lambda s: s["kind"] == "object-pack"), lambda s: s["part"]))),
             "parts": size(F.array_distinct("steps.part")),
+            "pack_parts": F.array_distinct("steps.part"),
             "suppliers": size(F.array_distinct("steps.supplier")),
             "any_prop": F.exists(steps, even).cast("int"),
             "all_prop": (F.forall(steps, even) & (F.size(steps) > 0)).cast("int"),
@@ -75,7 +76,11 @@ GLOBALS = (
 
 def sink_reach(roots: DataFrame) -> DataFrame:
     """AGG-2: per sink the reach of its widest actionable root; sinks without one are absent (their reach is 1)."""
-    owned = actionable(roots)
+    return widest(actionable(roots))
+
+
+def widest(owned: DataFrame) -> DataFrame:
+    """AGG-2 from (sink_id, label), one row for each pair."""
     return owned.join(root_reach(owned), "label").groupBy("sink_id").agg(F.max("reach").alias("reachable_sinks"))
 
 
@@ -93,15 +98,19 @@ def floor_quantile(rows: DataFrame, value: str, share: float, least: int) -> Dat
 
 def pack_groups(metrics: DataFrame, packs: DataFrame, roots: DataFrame) -> DataFrame:
     """AGG-11: packs that at least two sinks share, with evidence, verdict and risk."""
-    sink = metrics.select(
-        "sink_id",
-        classify.family(classify.attribute(F.col("label")), F.col("category")).alias("family"),
-        "defensive_operation_count",
-        "representation_churn",
-        "helper_hops",
-        "reachable_sinks",
-    )
-    groups = packs.join(sink, "sink_id").groupBy("pack_key").agg(
+    members = packs.join(metrics.select("sink_id", *PACKED), "sink_id")
+    per_root = actionable(roots).select("sink_id", "label", "kind")
+    pairs = packs.join(per_root, "sink_id").select("pack_key", "label", (F.col("kind") == "prop-read").alias("prop"))
+    return judged_packs(members, pairs)
+
+
+#: What a pack group takes from its sinks.
+PACKED = ("label", "category", "defensive_operation_count", "representation_churn", "helper_hops", "reachable_sinks")
+
+
+def judged_packs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """AGG-11 from pack_key with the columns ``PACKED`` of a sink, and pack_key with label and prop of a root."""
+    groups = members.withColumn("family", classify.family(classify.attribute(F.col("label")), F.col("category"))).groupBy("pack_key").agg(
         F.count("*").alias("sink_count"),
         F.array_sort(F.collect_set("family")).alias("families"),
         F.sum("defensive_operation_count").alias("defensive_ops"),
@@ -109,9 +118,8 @@ def pack_groups(metrics: DataFrame, packs: DataFrame, roots: DataFrame) -> DataF
         F.sum("helper_hops").alias("hops"),
         F.max("reachable_sinks").alias("max_reach"),
     ).filter("sink_count >= 2")
-    per_root = actionable(roots).select("sink_id", "label", "kind")
     # distinct labels first: one aggregation with a partial step instead of an expansion for two distinct counts
-    labels = packs.join(per_root, "sink_id").groupBy("pack_key", "label").agg(F.max((F.col("kind") == "prop-read").cast("long")).alias("prop"))
+    labels = pairs.groupBy("pack_key", "label").agg(F.max(F.col("prop").cast("long")).alias("prop"))
     owned = labels.groupBy("pack_key").agg(F.count("*").alias("root_count"), F.sum("prop").alias("prop_count"))
     out = groups.join(owned, "pack_key", "left").na.fill(0, ["root_count", "prop_count"])
     families = F.size("families")
@@ -200,23 +208,38 @@ class Report:
 
     @cached_property
     def _grounded(self) -> DataFrame:
-        out = sink_metrics(self.facts).join(sink_reach(self.roots), "sink_id", "left")
+        """Metrics with the parts of a sink, which are its packs and its actionable roots: from here on nothing goes back to the steps."""
+        rows = sink_metrics(self.facts)
+        out = rows.join(widest(rows.select("sink_id", F.explode("pack_parts").alias("label"))), "sink_id", "left")
         return out.withColumn("reachable_sinks", F.coalesce("reachable_sinks", F.lit(1).cast("long"))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def grounded(self) -> DataFrame:
-        return self._grounded
+        return self._grounded.drop("pack_parts")
+
+    def _groups(self) -> DataFrame:
+        """Pack groups by part number; packs meet sinks and roots within a row, so nothing is joined before it is counted."""
+        members = self._grounded.select(F.explode("pack_parts").alias("pack_key"), *PACKED)
+        pairs = self._grounded.select(F.explode("pack_parts").alias("pack_key"), "pack_parts").select("pack_key", F.explode("pack_parts").alias("label"))
+        return judged_packs(members, pairs.withColumn("prop", F.col("label") % 2 == 0))
 
     def pack_groups(self) -> DataFrame:
-        return pack_groups(self.grounded(), self.packs, self.roots)
+        return self._groups().withColumn("pack_key", F.concat(F.lit("pack."), "pack_key"))
 
     @cached_property
     def _scored(self) -> DataFrame:
-        return with_scores(with_packs(self.grounded(), self.packs, self.pack_groups())).persist(StorageLevel.MEMORY_AND_DISK)
+        packs = self._grounded.select("sink_id", F.explode("pack_parts").alias("pack_key"))
+        return with_scores(with_packs(self.grounded(), packs, self._groups())).persist(StorageLevel.MEMORY_AND_DISK)
 
     def scored(self) -> DataFrame:
         """All sinks with metrics and scores."""
         return self._scored
 
+    def close(self) -> None:
+        """Give up what the report holds on the executors."""
+        for name in ("facts", "_grounded", "_scored"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+
     def ranked(self) -> DataFrame:
         """FLT-4 and FLT-3: what the rankings hold."""
         return self.scored().filter("category <> 'event-handler'").filter(~is_constant())

@@ -187,7 +187,7 @@ def agg11(spark, sf):
 def join4(spark, sf):
     r = M.Report(spark, sf)
     g = r.grounded()
-    return M.with_packs(g, r.packs, M.pack_groups(g, r.packs, r.roots)).select("sink_id", "pack_family_diversity", "pack_risk", "suspicious_pack_count")
+    return M.with_packs(g, r.packs, r.pack_groups()).select("sink_id", "pack_family_diversity", "pack_risk", "suspicious_pack_count")
 
 
 @query(

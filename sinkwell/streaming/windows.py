@@ -1,7 +1,7 @@
 """Structured Streaming over event files (an extension: the report layer itself has request state only).
 
-A stream of event files is counted in tumbling windows.  Every micro-batch writes the whole result as a new generation; the
-generation counter moves only after the write, so a reader always sees the last complete one.
+A stream of event files is counted in tumbling windows.  Every micro-batch publishes the whole result as a new generation
+(``generations.py``), so a reader in any session sees the last complete one.
 """
 
 from __future__ import annotations
@@ -11,25 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stored import shared_dir
-
-
-class Generations:
-    """Numbered snapshots of one table in the shared folder: write, then swap."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.current = spark, None
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def publish(self, df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/generation={number}")
-        self.current = number
-
-    def read(self, number: int | None = None) -> DataFrame | None:
-        """The current snapshot; None for a number that is no longer current."""
-        if self.current is None or number is not None and number != self.current:
-            return None
-        return self.spark.read.parquet(f"{self.root}/generation={self.current}")
+from .generations import Generations
 
 
 def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
@@ -41,7 +23,7 @@ def run_windows(spark: SparkSession, sf_dir: str, width: str = "1 hour", late: s
     """Read all event files as a stream, to the end, and return the generations it published."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = Generations(spark, "windows")
+    out = Generations(spark, f"windows-{uuid.uuid4().hex}")
     query = (
         windowed_counts(stream, width, late)
         .writeStream.outputMode("complete")

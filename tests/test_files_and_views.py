@@ -9,7 +9,7 @@ from sinkwell import __main__ as cli
 from sinkwell.plans.views import VIEWS, write_views
 from sinkwell.sources import files
 from sinkwell.sources.stored import shared_dir, stored
-from sinkwell.streaming.windows import Generations
+from sinkwell.streaming.generations import Generations
 
 
 def test_source_files_are_filtered(spark, tmp_path):
@@ -54,11 +54,41 @@ def test_command_line(spark, small, tmp_path, capsys):
         cli.arguments(["--data", small, "--max-items", "0"])
 
 
-def test_generations_and_store(spark):
-    g = Generations(spark, "t")
+def test_generations_and_store(spark, tmp_path):
+    g = Generations(spark, "t", str(tmp_path))
     assert g.read() is None
     g.publish(spark.range(3), 0)
     g.publish(spark.range(5), 1)
     assert g.read().count() == 5 and g.read(0) is None and g.read(1).count() == 5
     kept = stored(spark.range(4).withColumn("x", F.lit("a")), "t")
     assert kept.count() == 4 and kept.inputFiles()[0].split("file:")[-1].lstrip("/").startswith(shared_dir(spark).split("file:")[-1].lstrip("/"))
+
+
+def test_the_last_good_generation_outlives_its_writer(spark, tmp_path):
+    root = str(tmp_path)
+    assert Generations(spark, "g", root).publish(spark.range(3)) == 1
+    reader = Generations(spark.newSession(), "g", root)
+    broken = spark.range(4).withColumn("x", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception):
+        Generations(spark.newSession(), "g", root).publish(broken)
+    assert reader.current == 1 and reader.read().count() == 3
+    with reader.pinned() as rows:
+        assert Generations(spark, "g", root).publish(spark.range(7)) == 2
+        assert rows.count() == 3 and reader.current == 2 and reader.read(1) is not None
+    assert reader.prune() == [1] and reader.read(1) is None and reader.read().count() == 7
+    names = [p.name for p in (tmp_path / "g").iterdir() if p.name.startswith(("pin", "draft"))]
+    assert names == []
+
+
+def test_writers_that_meet_take_numbers_of_their_own(spark, tmp_path, monkeypatch):
+    first, second = Generations(spark, "m", str(tmp_path)), Generations(spark, "m", str(tmp_path))
+    first.publish(spark.range(1), keep=9)
+    monkeypatch.setattr(Generations, "current", property(lambda self: None))  # both believe to be the first
+    assert second.publish(spark.range(2), keep=9) == 2
+    assert second.publish(spark.range(5), number=2, keep=9) == 2
+    monkeypatch.undo()
+    assert first.current == 2 and first.read().count() == 2 and first.read(1).count() == 1
+    assert first.publish(spark.range(9), number=2) == 2 and first.read().count() == 2
+    left = [p.name for p in (tmp_path / "m").iterdir() if p.name.startswith(("data", "draft"))]
+    assert first.prune(1, stale=0) == [1] and len(left) > 2
+    assert len([p for p in (tmp_path / "m").iterdir() if p.name.startswith(("data", "draft"))]) == 1
