@@ -13,7 +13,8 @@ Sources are a configuration of bounded size (``MAX_SOURCES``, checked: more are
 sees.  Places in a stream and ranks of slots are three-level running totals, so no task needs a whole source.
 
 Defined cases: a null text has size 0; documents without words are never taken; the null source comes last; repeated rows are
-documents of their own; an empty table, or one without words, gives targets and taken of 0.
+documents of their own, placed one after the other and counted before they are placed; an empty table, or one without words, gives targets and
+taken of 0.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ MAX_BLOCK = 4096
 #: The schedule has at least so many slots where there are as many words, and at most 2**31.
 MIN_SLOTS = 65_536
 ROWS_PER_BUCKET = 1000
-SMALL_BLOCKS = 64
 
 
 def fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -86,15 +86,16 @@ def source_plan(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: float
 
 
 def _plan_rows(spark, plan: dict) -> DataFrame:
-    """The plan as a table: source, _s, source_size, target; at most MAX_SOURCES rows."""
+    """The plan as a table: source, _s, source_size, target, quota; at most MAX_SOURCES rows."""
     arrays = {"source": array_of(plan["names"], "string"), "source_size": array_of(plan["sizes"], "bigint"), "target": array_of(plan["targets"], "double")}
     zipped = spark.range(1).select(*[a.alias(k) for k, a in arrays.items()]).select(F.posexplode(F.arrays_zip(*arrays)).alias("_s", "p"))
-    return zipped.select("_s", "p.source", "p.source_size", "p.target")
+    quota = F.when(F.col("p.target") > 0, F.greatest(F.round("p.target"), F.lit(1))).otherwise(0).cast("long")
+    return zipped.select("_s", "p.source", "p.source_size", "p.target", quota.alias("quota"))
 
 
 def schedule(spark, plan: dict) -> DataFrame:
-    """slot, _s (the source) and block (its rank among the slots of the source)."""
-    n = -(-plan["total"] // plan["block"])
+    """slot, _s (the source), block (its rank among the slots of the source) and the words of the source's stream, from ``_first`` up to ``_last``."""
+    n, b = -(-plan["total"] // plan["block"]), plan["block"]
     cumulative, seen = [], 0.0
     for t in plan["targets"]:
         seen += t
@@ -103,35 +104,37 @@ def schedule(spark, plan: dict) -> DataFrame:
     point = ((F.col("id") * F.lit(GOLDEN)) % F.lit(2**32) + F.lit(0.5)) / F.lit(2.0**32)
     slots = spark.range(n).withColumn("_s", F.least(search(cumulative, point), F.lit(last)))
     slots = slots.withColumn("_chunk", F.shiftright("id", 16))
-    return running_total(slots, "_s", "_chunk", ["id"], F.lit(1).cast("long"), "block").select(F.col("id").alias("slot"), "_s", "block")
-
-
-def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: int = 17, settle: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document.
-
-    ``settle`` brings small sources to their targets by the word, not by blocks.
-    """
+    ranked = running_total(slots, "_s", "_chunk", ["id"], F.lit(1).cast("long"), "block").select(F.col("id").alias("slot"), "_s", "block")
+    quotas = _plan_rows(spark, plan).select(F.col("_s").alias("_of"), "quota", F.expr(f"(quota + {b - 1}) div {b}").alias("_blocks"))
+    named = slots.groupBy("_s").agg(F.count("*").alias("_n"))
+    short = quotas.join(named, F.col("_of") == F.col("_s"), "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_n") < F.col("_blocks"))
+    tail = short.select(F.col("_of").alias("_s"), F.explode(F.sequence(F.col("_n"), F.col("_blocks") - 1)).alias("block"))
+    tail = tail.select((F.lit(n) + F.col("block") * len(plan["names"]) + F.col("_s")).alias("slot"), "_s", "block")
+    whole = ranked.unionByName(tail).join(F.broadcast(quotas), F.col("_s") == F.col("_of"))
+    whole = whole.withColumn("_first", F.col("block") * b).withColumn("_last", F.least(F.col("_first") + b, F.col("quota")))
+    return whole.filter("_first < _last").select("slot", "_s", "block", "_first", "_last")
+
+
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document."""
     spark = docs.sparkSession
     rows = stored(sized(docs, seed), "mixing")
     plan = source_plan(rows, cycle, float(max_repeat))
     buckets = max(1, -(-plan["n"] // ROWS_PER_BUCKET))
-    known = rows.join(F.broadcast(_plan_rows(spark, plan)).withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    known = rows.groupBy(*rows.columns).agg(F.count("*").alias("_same"))  # equal rows are one until they are placed
+    known = known.join(F.broadcast(_plan_rows(spark, plan)).withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     known = known.withColumn("_bucket", F.least(F.floor(F.col("_h") / F.lit(2.0**60) * buckets), F.lit(buckets - 1)))
-    placed = running_total(known, "_s", "_bucket", ["_h", "doc_id", "_g", "_r"], F.col("size"), "_start")
+    placed = running_total(known, "_s", "_bucket", ["_h", "doc_id", "_g", "_r"], F.col("size") * F.col("_same"), "_before")
+    placed = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_same") - 1))).withColumn("_start", F.col("_before") + F.col("_copy") * F.col("size"))
     placed = placed.withColumn("_id", F.struct("_h", "doc_id", "_start"))
     b = plan["block"]
     spans = placed.filter("size > 0").select("_id", "_s", "size", "source_size", "_start", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("_turn"))
     spans = spans.withColumn("_from", F.col("_turn") * F.col("source_size") + F.col("_start")).withColumn("_to", F.col("_from") + F.col("size"))
     spans = spans.withColumn("block", F.explode(F.sequence(F.expr(f"_from div {b}"), F.expr(f"(_to - 1) div {b}"))))
-    words = F.least("_to", (F.col("block") + 1) * b) - F.greatest("_from", F.col("block") * b)
+    words = F.greatest(F.least("_to", "_last") - F.greatest("_from", "_first"), F.lit(0))
     taken = spans.join(schedule(spark, plan), ["_s", "block"]).groupBy("_id").agg(F.sum(words).alias("taken"))
     out = placed.join(taken, "_id", "left")
-    words_taken = F.coalesce("taken", F.lit(0)).cast("long")
-    if settle:
-        quota = F.greatest(F.round("target"), F.lit(1)).cast("long")
-        turns = [F.least(F.greatest(quota - F.col("source_size") * t - F.col("_start"), F.lit(0)), F.col("size")) for t in range(max_repeat)]
-        words_taken = F.when(F.col("target") < SMALL_BLOCKS * b, sum(turns, F.lit(0)).cast("long")).otherwise(words_taken)
-    return out.select("doc_id", "source", "size", "source_size", "target", words_taken.alias("taken"), "_h", "_g", "_r")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_h", "_g", "_r")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -144,7 +147,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     named = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_i0"), F.coalesce("source", F.lit("")).alias("_n"), F.col("source").isNull().alias("_n0"), "_h", "_g", "_r"]
     keys = ["_i", "_i0", "_n", "_n0", "_h", "_g", "_r"]
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    often = mix(docs, **{"settle": True} | how).filter("taken > 0").withColumn("_copies", copies).select(*key, "_copies")
+    often = mix(docs, **how).filter("taken > 0").withColumn("_copies", copies).select(*key, "_copies")
     often = often.select(*named, "_copies").groupBy(*keys).agg(F.sum("_copies").cast("int").alias("_copies"))
     rows = identified(docs, seed, F.struct(*docs.columns).alias("_row")).select(*named, "_row")
     rows = rows.join(often, keys).groupBy(*keys).agg(F.first("_row").alias("_row"), F.first("_copies").alias("_copies"))

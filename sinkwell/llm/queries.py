@@ -171,23 +171,18 @@ ORACLES = {
             FROM w WINDOW o AS (ORDER BY 3 * source_size::DOUBLE / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ), t AS (
             SELECT *, CASE WHEN capped THEN (3 * source_size)::DOUBLE
-                           ELSE (total - coalesce(sum(3 * source_size) FILTER (WHERE capped) OVER (), 0))::DOUBLE / sum(weight) FILTER (WHERE NOT capped) OVER () * weight END AS target,
-                   greatest(1, least(4096, total // 65536), -((-total) // 2147483648)) AS block
+                           ELSE (total - coalesce(sum(3 * source_size) FILTER (WHERE capped) OVER (), 0))::DOUBLE / sum(weight) FILTER (WHERE NOT capped) OVER () * weight END AS target
             FROM c
-        ), k AS (
-            SELECT *, sum(target) OVER (ORDER BY i) / total AS upto, coalesce(sum(target) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS since FROM t
-        ), points AS (
-            SELECT ((x * 2654435769) % 4294967296 + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS p FROM (SELECT unnest(range(0, (SELECT ceil(any_value(total) / any_value(block)::DOUBLE)::BIGINT FROM t))) AS x)
-        ), slots AS (
-            SELECT i, count(*) AS n FROM points JOIN k ON p >= since AND p < upto GROUP BY i
+        ), k AS (  -- a source's blocks end with its target in whole words
+            SELECT *, CASE WHEN target > 0 THEN greatest(round(target), 1) ELSE 0 END::BIGINT AS quota FROM t
         ), placed AS (
             SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
         )
         SELECT p.doc_id, p.source, p.size, k.source_size, k.target,
-               (greatest(0, least(start + size, coalesce(n, 0) * block) - start)
-                + greatest(0, least(source_size + start + size, coalesce(n, 0) * block) - source_size - start)
-                + greatest(0, least(2 * source_size + start + size, coalesce(n, 0) * block) - 2 * source_size - start))::BIGINT AS taken
-        FROM placed p JOIN k ON p.source IS NOT DISTINCT FROM k.source LEFT JOIN slots ON slots.i = k.i""",
+               (greatest(0, least(start + size, quota) - start)
+                + greatest(0, least(source_size + start + size, quota) - source_size - start)
+                + greatest(0, least(2 * source_size + start + size, quota) - 2 * source_size - start))::BIGINT AS taken
+        FROM placed p JOIN k ON p.source IS NOT DISTINCT FROM k.source""",
     "op12_hard_negatives": r"""
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings

@@ -204,12 +204,43 @@ def test_mix_targets_and_taken(spark):
     points = ((np.arange(-(-total // block), dtype=np.uint64) * np.uint64(2654435769) % np.uint64(2**32)) + 0.5) / 2**32
     slots = Counter(np.minimum(np.searchsorted(bounds, points, "right"), max(i for i, s in enumerate(names) if target[s] > 0)).tolist())
     for i, s in enumerate(names):
-        assert taken[s] == min(slots[i] * block, 3 * sizes[s])
-        assert abs(taken[s] - target[s]) <= 12 * block
+        assert abs(slots[i] * block - target[s]) <= 12 * block
+        assert taken[s] == max(1, math.floor(target[s] + 0.5)) if target[s] else taken[s] == 0
     again = mixing.mix(docs_of(spark, rows)).collect()
     assert sorted([tuple(r)[:6] for r in again], key=repr) == sorted([tuple(r)[:6] for r in got], key=repr)
 
 
+def test_schedule_holds_every_block_of_every_source_once(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MIN_SLOTS", 16)
+    sizes = {"a": 4000, "b": 900, "c": 3, "d": 1, "e": 0}
+    rows = [(i, " ".join(["w"] * n), "en", s) for i, (s, n) in enumerate(sizes.items())]
+    plan = mixing.source_plan(mixing.sized(docs_of(spark, rows)))
+    b, got = plan["block"], defaultdict(list)
+    slots = mixing.schedule(spark, plan).orderBy("slot").collect()
+    assert b > 3 and len({r.slot for r in slots}) == len(slots)
+    for r in slots:
+        got[r["_s"]].append((r["block"], r["_first"], r["_last"]))
+    for i, target in enumerate(plan["targets"]):
+        quota = max(1, math.floor(target + 0.5)) if target else 0
+        assert got[i] == [(k, k * b, min(k * b + b, quota)) for k in range(-(-quota // b))]
+    golden = [r for r in slots if r.slot < -(-plan["total"] // b)]
+    bounds = np.cumsum(plan["targets"]) / plan["total"]
+    assert all(r["_s"] == min(int(np.searchsorted(bounds, ((r.slot * 2654435769) % 2**32 + 0.5) / 2**32, "right")), 3) for r in golden)
+
+
+def test_mix_places_many_equal_rows(spark):
+    rows = [(1, "one two three", "en", "a")] * 300 + [(None, "four five", "en", "a")] * 100 + [(i, "six", "en", "b") for i in range(50)]
+    got = mixing.mix(docs_of(spark, rows)).collect()
+    _, sizes, target, _ = brute_mix(rows)
+    taken = Counter()
+    for r in got:
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+    assert len(got) == len(rows) and all(taken[s] == round(target[s]) for s in sizes)
+    n = Counter(r.source for r in mixing.mixed_documents(docs_of(spark, rows)).collect())
+    assert n["b"] == 150 and n["a"] >= 300
+
+
 def test_mixed_documents_repeat_and_leave_out(spark):
     rows = [(i, "one two three", "en", "a" if i < 90 else "b") for i in range(100)]
     out = mixing.mixed_documents(docs_of(spark, rows, extra=True))
@@ -227,10 +258,10 @@ def test_mixed_documents_tell_rows_apart(spark):
     want = Counter()
     for r in mixing.mix(docs).collect():
         want[r.doc_id, r.source] += -(-r.taken // r["size"])
-    got = [tuple(r)[:4] for r in mixing.mixed_documents(docs, settle=False).collect()]
+    got = [tuple(r)[:4] for r in mixing.mixed_documents(docs).collect()]
     assert Counter((i, s) for i, _, _, s in got) == +want
     assert set(got) <= set(rows)
-    again = mixing.mixed_documents(docs_of(spark, rows[::-1]), settle=False).collect()
+    again = mixing.mixed_documents(docs_of(spark, rows[::-1])).collect()
     assert Counter(tuple(r)[:4] for r in again) == Counter(got)
 
 
@@ -256,7 +287,7 @@ def test_mixed_documents_keep_a_very_small_source(spark, monkeypatch):
     rows += [(1000 + s, prose(rng, n), "en", name) for s, (name, n) in enumerate(small.items())]
     docs = docs_of(spark, rows)
     taken = Counter()
-    for r in mixing.mix(docs, settle=True).collect():
+    for r in mixing.mix(docs).collect():
         assert 0 <= r.taken <= 3 * r["size"]
         taken[r.source] += r.taken
     _, _, target, _ = brute_mix(rows)
