@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import classify, scores
 from ..sources import star
@@ -80,20 +81,37 @@ def sink_reach(roots: DataFrame) -> DataFrame:
 
 
 def widest(owned: DataFrame) -> DataFrame:
-    """AGG-2 from (sink_id, label), one row for each pair."""
-    return owned.join(root_reach(owned), "label").groupBy("sink_id").agg(F.max("reach").alias("reachable_sinks"))
+    """AGG-2 from (sink_id, label), one row for each pair; a sink whose labels feed no other one is absent.
+
+    Only the labels that feed several sinks are joined back.
+    """
+    shared = root_reach(owned).filter("reach > 1")
+    return owned.join(shared, "label").groupBy("sink_id").agg(F.max("reach").alias("reachable_sinks"))
+
+
+#: Bits of a value that one step of the quantile looks at: a window of at most 2**16 rows.
+LEVEL_BITS = 16
 
 
 def floor_quantile(rows: DataFrame, value: str, share: float, least: int) -> DataFrame:
-    """AGG-3: max(least, values[min(n - 1, floor(share * n))]) as one row, from the histogram of the values."""
-    from pyspark.sql import Window as W
-
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("_n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    at = F.least(F.col("_total") - 1, F.floor(F.col("_total") * share))
-    hist = counts.select(value, upto.alias("_upto"), total.alias("_total"))
-    return hist.filter(F.col("_upto") > at).agg(F.greatest(F.lit(least), F.coalesce(F.min(value), F.lit(0))).alias("threshold"))
+    """AGG-3: max(least, values[min(n - 1, floor(share * n))]) as one row; values are longs of 0 and more.
+
+    The value of that rank is found from its highest bits down: values that agree in the bits found so far are counted by their next
+    ``LEVEL_BITS``, and a running sum over these counts tells in which of them the rank lies.  Each step is a partial aggregate and a window over its few rows,
+    whatever the number of distinct values.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("_v")).agg(F.count("*").alias("_n"))
+    found = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+    found = found.select(F.lit(0).cast("long").alias("_high"), F.least(F.col("_total") - 1, F.floor(F.col("_total") * share)).cast("long").alias("_rank"))
+    for shift in range(64 - LEVEL_BITS, -1, -LEVEL_BITS):
+        above = F.shiftright(F.shiftright("_v", shift), LEVEL_BITS) if shift + LEVEL_BITS < 64 else F.lit(0).cast("long")
+        here = counts.withColumn("_above", above).join(F.broadcast(found), F.col("_above") == F.col("_high"))  # one row
+        bins = here.groupBy(F.shiftright("_v", shift).alias("_bin"), "_rank").agg(F.sum("_n").alias("_n"))
+        upto = F.sum("_n").over(W.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+        bins = bins.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_rank"))
+        best = F.min(F.struct("_bin", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")))
+        found = bins.agg(best.alias("b")).select(F.col("b._bin").alias("_high"), F.col("b._rank").alias("_rank"))
+    return found.select(F.greatest(F.lit(least), F.coalesce("_high", F.lit(0))).cast("long").alias("threshold"))
 
 
 def pack_groups(metrics: DataFrame, packs: DataFrame, roots: DataFrame) -> DataFrame:

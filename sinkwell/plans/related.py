@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import graphs as G
 from ..operators import metrics as M
 from ..sources import star
+from ..sources.stored import stored
 from ..sources.tables import table
 from .registry import query
 from .star_sql import ALL, BASE
@@ -34,11 +35,16 @@ def join1(spark, sf):
 
 
 def reached_via(owned: DataFrame, cap: int) -> DataFrame:
-    """JOIN-1: the other sinks of each root, the first ``cap`` and the true number.  The cap is applied per label before the join."""
-    w = W.partitionBy("label")
-    nth = owned.select("label", "sink_id", F.row_number().over(w.orderBy("sink_id")).alias("k"), F.count("*").over(w).alias("n"))
-    firsts = nth.filter(F.col("k") <= cap + 1).groupBy("label").agg(F.array_sort(F.collect_list("sink_id")).alias("ids"), F.max("n").alias("n")).filter("n > 1")
-    rows = owned.select("sink_id", "label").join(firsts, "label")
+    """JOIN-1: the other sinks of each root, the first ``cap`` and the true number.
+
+    The first ones of a label come from a row number with a constant limit, which is applied on both sides of the shuffle, and its number from an
+    aggregate with a partial step; these few are stored, so that both sides of the join back are plain exchanges and a hot label can be split.
+    """
+    k = F.row_number().over(W.partitionBy("label").orderBy("sink_id"))
+    nth = owned.select("label", "sink_id", k.alias("k")).filter(F.col("k") <= cap + 1)
+    total = owned.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("n")).filter("n > 1")
+    firsts = nth.groupBy("label").agg(F.array_sort(F.collect_list("sink_id")).alias("ids")).join(total, F.col("label") == F.col("_label")).select("label", "ids", "n")
+    rows = owned.select("sink_id", "label").join(stored(firsts, "firsts"), "label")
     others = F.slice(F.filter("ids", lambda i: i != F.col("sink_id")), 1, cap)
     return rows.select("sink_id", "label", (F.col("n") - 1).alias("total"), F.array_join(others.cast("array<string>"), ",").alias("sinks"))
 
