@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from ..operators import lineage, slices
 from ..operators.unfold import unfold
 from ..operators.unique import unique_search
 from ..sources import markup
+from ..sources.relations import RelationStore
+from ..sources.stored import run_dir
 from ..sources.tables import table
 from .markup import NESTED, TAGS
 from .registry import query
@@ -204,3 +208,25 @@ def grf18_subtrees(spark, sf):
     visible = markup.ancestors(spans.filter(~F.col("tag").isin(*HIDDEN)), hidden).groupBy(F.col("page_id").alias("_page"), F.col("pos").alias("_pos")).agg(F.max("by.pos").alias("visible_parent"))
     rows = hidden.join(visible, (F.col("page_id") == F.col("_page")) & (F.col("pos") == F.col("_pos")), "left")
     return rows.select("page_id", "pos", "tag", "visible_parent", "inside", "hidden_inside", "terminals")
+
+
+# ---------------------------------------------------------------- relations by producing file
+
+
+@query(
+    "grf23_pruned_relations",
+    "SELECT 's:' || s_suppkey AS id, count(DISTINCT l_orderkey) AS relations FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey WHERE n_regionkey = 2 GROUP BY 1",
+)
+def grf23_pruned(spark, sf):
+    """Relations are produced in the supplier's nation; those of one region's suppliers are read from its nations only."""
+    supplier = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("n"), "s_nationkey").alias("file"), "s_nationkey")
+    none = F.lit(None).cast("string")
+    elements = supplier.select(F.concat(F.lit("s:"), "s_suppkey").alias("id"), "file", F.lit("value").alias("kind"), none.alias("symbol"), none.alias("owner_id"), none.alias("definition_id"))
+    pairs = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    ends = {"src": F.concat(F.lit("s:"), "l_suppkey"), "dst": F.concat(F.lit("o:"), "l_orderkey")}
+    relations = pairs.select(F.concat_ws(">", *ends.values()).alias("id"), *(v.alias(k) for k, v in ends.items()), F.lit("alias").alias("kind"), F.lit("proven").alias("status"), F.col("file").alias("producer_file"))
+    store = RelationStore(spark, f"{run_dir(spark)}/relations-{uuid.uuid4().hex}")
+    store.write(relations)
+    here = table(spark, sf, "nation").filter("n_regionkey = 2").select("n_nationkey")
+    asked = supplier.join(here, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s:"), "s_suppkey").alias("id"))
+    return store.relations_of(elements, asked, "forward").groupBy("id").agg(F.count("*").alias("relations"))

@@ -410,3 +410,46 @@ def test_ancestors_of_a_tree_a_thousand_deep(spark):
         got.setdefault((r.page, r.pos), []).append(r.by)
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in chains.items() if v}
     assert max(map(len, chains.values())) == 1000
+
+
+# ---------------------------------------------------------------- relations by producing file
+
+FACTS = "id string, file string, kind string, symbol string, owner_id string, definition_id string"
+
+
+def test_relations_are_read_from_the_files_that_can_emit_them(spark, tmp_path):
+    from sinkwell.sources.relations import RelationStore, relation_files
+
+    rng = random.Random(8)
+    kinds = ["value", "call", "fetch-input", "http-request"]
+    facts = [(f"e{i}", f"f{rng.randrange(30)}.ts", rng.choice(kinds[: 4 if i % 9 == 0 else 2]), rng.choice([None, f"s{rng.randrange(20)}"]), rng.choice([None, f"e{rng.randrange(60)}"]), rng.choice([None, f"e{rng.randrange(60)}"])) for i in range(60)]
+    elements, by_id = spark.createDataFrame(facts, FACTS), {f[0]: f for f in facts}
+    edge = {f[1] for f in facts if f[2] in kinds[2:]}
+
+    def files(i):
+        near = [by_id[x] for x in (i, by_id[i][4], by_id[i][5]) if x in by_id]
+        symbols = {f[3] for f in near if f[3]}
+        return {f[1] for f in near} | {f[1] for f in facts if f[3] in symbols} | (edge if by_id[i][2] in kinds[2:] else set())
+
+    asked = spark.createDataFrame([("e3",), ("e9",), ("e3",), ("unknown",), (None,)], "id string")
+    assert {(r.id, r.file) for r in relation_files(elements, asked).collect()} == {(i, f) for i in ("e3", "e9") for f in files(i)}
+    relations = [(f"r{k}", f"e{rng.randrange(60)}", f"e{rng.randrange(60)}", "alias", "proven", f"f{rng.randrange(30)}.ts") for k in range(900)]
+    store = RelationStore(spark, str(tmp_path / "rel"), groups=16)
+    store.write(spark.createDataFrame(relations, "id string, src string, dst string, kind string, status string, producer_file string"))
+    one = spark.createDataFrame([("e3",)], "id string")
+    for direction, ends in (("forward", (1,)), ("backward", (2,)), ("both", (1, 2))):
+        got = sorted(r.relation for r in store.relations_of(elements, one, direction).collect())
+        assert got == sorted(r[0] for r in relations if r[5] in files("e3") and any(r[e] == "e3" for e in ends))
+    out = store.relations_of(elements, one)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "file_group" in plan[plan.index("PartitionFilters: [") : plan.index("PartitionFilters: [") + 80]
+    groups = {r[0] for r in relation_files(elements, one).select(store._group("file")).distinct().collect()}
+
+    def files_read(df):
+        df.collect()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return scan.metrics().apply("numFiles").value()
+
+    every = files_read(store.read())
+    assert files_read(store.read(sorted(groups))) <= len(groups) < every
+    assert store.relations_of(elements, asked.filter("id = 'unknown'")).collect() == []
