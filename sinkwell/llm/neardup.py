@@ -14,7 +14,10 @@ who meets whom.  All classes of a leader's group must be compared, but no pair t
 1. Every class meets its least leader only, in blocks of bounded size, each with the leader: one row a class.
 2. A large group in which not all are connected then compares the rest with the classes that had most links in their
    blocks: the original of a family of copies, say.  One row for each class of the rest.
-3. In what is still open, the classes outside of the group's largest component meet all blocks.
+3. What is still open may be pages of one template that no link joins.  There, pairs are looked for anew by rare shingles: of two linked sets each has a
+   shingle of the other among its first n - ceil(n * percent / 100) + 1, whatever the order of all shingles, and with the rarest first these are not
+   those of the template.  The groups of a shared rare shingle start with their least leader again, and where that leaves them open, the classes outside
+   of a group's largest component meet all blocks.
 
 Comparisons are made on the full sets (shingles hashed to 64 bits), which are made once per class and sent in place of
 texts.  Only a spanning forest of the confirmed links is kept: a family of n near copies sends about n rows and gives n rows, and no
@@ -274,11 +277,42 @@ def hub_meetings(rest: DataFrame, found: DataFrame, labels: DataFrame) -> DataFr
     return own.union(heads).distinct()
 
 
-def last_meetings(rest: DataFrame) -> DataFrame:
-    """All pairs of blocks of the open groups, but for two blocks of the group's largest component."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(s, np.int64) for s in b.column(3).to_pylist()]
+        size = [len(s) for s in sets]
+        columns = [np.repeat(b.column(i).to_numpy(zero_copy_only=False), size) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["id", "n_shingles", "outer", "shingle"])
+
+
+def sides_of(rest: DataFrame) -> DataFrame:
+    """``rest`` with ``outer``: whether a class is outside of the largest component of its group."""
     counts = rest.groupBy("lead", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("lead").agg(F.max(F.struct("n", "label")).alias("top")).select("lead", F.col("top.label").alias("main"))
-    sides = rest.join(stored(main, "main"), "lead").withColumn("outer", F.col("label") != F.col("main"))
+    return rest.join(stored(main, "main"), "lead").withColumn("outer", F.col("label") != F.col("main"))
+
+
+def rare_members(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(lead, id, n_shingles) of the open classes that share a rare shingle with an outer one, the least of a shingle leading.
+
+    Shingles are ordered by the number of outer classes that hold them.  Every pair that is still to be compared has an outer class; linked, both
+    hold one of the same shingles among their first ones, so they are in one group.
+    """
+    ids = stored(sides_of(rest).groupBy("id").agg(F.bool_or("outer").alias("outer")), "open_ids")
+    rows = ids.join(sets.hint("merge"), "id").select("id", "n_shingles", "outer", "shingles").mapInArrow(_exploded, "id long, n_shingles long, outer boolean, shingle long")
+    often = stored(rows.filter("outer").groupBy("shingle").agg(F.count("*").alias("often")), "often")
+    own = rows.join(often.hint("merge"), "shingle").groupBy("id", "n_shingles", "outer").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    left = F.greatest(first - (F.col("n_shingles") - F.size("s")), F.lit(0)).cast("int")  # shingles that no outer class holds come before all others
+    keys = own.select("id", "n_shingles", "outer", F.explode(F.slice("s", F.lit(1), left)).alias("k")).select("id", "n_shingles", "outer", "k.shingle")
+    keys = stored(keys, "rare")
+    leaders = keys.groupBy("shingle").agg(F.min("id").alias("lead"), F.count("*").alias("n"), F.bool_or("outer").alias("any")).filter("n > 1 and any").select("shingle", "lead")
+    return stored(keys.join(stored(leaders, "leaders").hint("merge"), "shingle").select("lead", "id", "n_shingles").distinct(), "members")
+
+
+def last_meetings(rest: DataFrame) -> DataFrame:
+    """All pairs of blocks of the open groups, but for two blocks of the group's largest component."""
+    sides = sides_of(rest)
     size = [F.greatest(F.ceil(F.sum(F.when(c, 1)) / BLOCK_ROWS), F.ceil(F.sum(F.when(c, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int") for c in (~F.col("outer"), F.col("outer"))]
     one = (F.count("*") <= BLOCK_ROWS) & (F.sum("n_shingles") <= BLOCK_SHINGLES)
     groups = stored(sides.groupBy("lead").agg(size[0].alias("inner_blocks"), size[1].alias("outer_blocks"), one.alias("one")), "sides")
@@ -307,8 +341,14 @@ def connected(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
         labels = components(more.filter("b is not null").select("a", "b").union(labels.select("component", "id")))
         rest = still_open(rest.drop("label"), labels)
     if not rest.isEmpty():
-        more = confirmed(last_meetings(rest), sets, percent)
-        labels = components(more.select("a", "b").union(labels.select("component", "id")))
+        near = rare_members(rest, sets, percent)
+        meetings, groups = first_meetings(near)
+        more = confirmed(meetings, sets, percent)
+        labels = components(more.filter("b is not null").select("a", "b").union(labels.select("component", "id")))
+        rest = still_open(near, labels, groups)
+        if not rest.isEmpty():
+            more = confirmed(last_meetings(rest), sets, percent)
+            labels = components(more.select("a", "b").union(labels.select("component", "id")))
     release(members, sets, found)
     return labels
 

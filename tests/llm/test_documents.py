@@ -396,6 +396,30 @@ def test_a_family_sends_about_one_row_per_copy(spark, monkeypatch, original):
     assert all(r < 3 and t <= 1 for r, t in shares.values()), shares
 
 
+def test_pages_of_one_template_are_not_all_compared(spark, monkeypatch):
+    """70 words of a template and 30 of their own: similarity 0.54, no link, but for two planted copies."""
+    sent = []
+    real = neardup.confirmed
+
+    def counting(rows, sets, percent):
+        sent.append(rows.count())
+        return real(rows, sets, percent)
+
+    monkeypatch.setattr(neardup, "confirmed", counting)
+    rng = random.Random(5)
+    shared = [f"t{i}" for i in range(70)]
+    shares = {}
+    for n in (1500, 3000):
+        rows = [(i, " ".join(shared + [f"o{i}x{j}" for j in range(30)])) for i in range(n)]
+        rows[n // 2] = (n // 2, rows[7][1].replace(f"o7x{rng.randrange(30)}", "changed"))
+        rows[n - 1] = (n - 1, rows[9][1] + " more")
+        sent.clear()
+        got = neardup.near_duplicates(docs_of(spark, rows), 1, 80).collect()
+        assert {r.doc_id: r.component_id for r in got if not r.kept} == {n // 2: 7, n - 1: 9}
+        shares[n] = sum(sent) / n
+    assert all(r < 4 for r in shares.values()), shares
+
+
 def test_signatures_within_the_distance_always_share_a_key():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**14, (300, neardup.VALUES), dtype=np.uint16)
