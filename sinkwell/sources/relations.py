@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds of elements at a request boundary: each may be linked from any file that holds one of them.  Fixed values.
-HTTP_KINDS = ("fetch-input", "resource-input", "http-request", "http-response", "http-handler")
+HTTP_KINDS = ("fetch-input", "resource-input", "resource-result", "http-response")
 
 
 def relation_files(elements: DataFrame, asked: DataFrame) -> DataFrame:
@@ -33,8 +33,9 @@ def relation_files(elements: DataFrame, asked: DataFrame) -> DataFrame:
     named = reduce(DataFrame.union, named)
     holders = elements.select(F.col("symbol").alias("_symbol"), F.col("file").alias("_file")).filter("_symbol is not null").distinct()
     by_symbol = named.select("id", "symbol").filter("symbol is not null").distinct().join(holders, F.col("symbol") == F.col("_symbol")).select("id", F.col("_file").alias("file"))
-    edge = facts.filter(F.col("kind").isin(*HTTP_KINDS)).select(F.col("file").alias("_file")).distinct()
-    at_edge = own.filter(F.col("kind").isin(*HTTP_KINDS)).select("id", F.lit(1).alias("_one")).join(edge.withColumn("_all", F.lit(1)), F.col("_one") == F.col("_all")).select("id", F.col("_file").alias("file"))
+    edge = facts.filter(F.col("kind").isin(*HTTP_KINDS)).select(F.col("kind").alias("_kind"), F.col("file").alias("_file")).distinct()
+    met = own.filter(F.col("kind").isin(*HTTP_KINDS)).select("id", F.explode(F.array(*map(F.lit, HTTP_KINDS))).alias("kind"))
+    at_edge = met.join(edge, F.col("kind") == F.col("_kind")).select("id", F.col("_file").alias("file"))
     return named.select("id", "file").union(by_symbol).union(at_edge).filter("file is not null").distinct()
 
 

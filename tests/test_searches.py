@@ -421,7 +421,7 @@ def test_relations_are_read_from_the_files_that_can_emit_them(spark, tmp_path):
     from sinkwell.sources.relations import RelationStore, relation_files
 
     rng = random.Random(8)
-    kinds = ["value", "call", "fetch-input", "http-request"]
+    kinds = ["value", "call", "fetch-input", "http-response"]
     facts = [(f"e{i}", f"f{rng.randrange(30)}.ts", rng.choice(kinds[: 4 if i % 9 == 0 else 2]), rng.choice([None, f"s{rng.randrange(20)}"]), rng.choice([None, f"e{rng.randrange(60)}"]), rng.choice([None, f"e{rng.randrange(60)}"])) for i in range(60)]
     elements, by_id = spark.createDataFrame(facts, FACTS), {f[0]: f for f in facts}
     edge = {f[1] for f in facts if f[2] in kinds[2:]}
