@@ -150,7 +150,13 @@ def agg31(spark, sf):
 
 @query("win18_complex_trajectories", PATHS + " SELECT array_to_string(path, '>') AS path, len(path)::INTEGER AS length FROM done ORDER BY len(path) DESC, path LIMIT 400")
 def win18(spark, sf):
-    return order_paths(spark, sf).orderBy(F.desc(F.size("path")), "path").limit(CHOSEN).select(F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
+    return longest_first(order_paths(spark, sf), CHOSEN)
+
+
+def longest_first(paths: DataFrame, n: int) -> DataFrame:
+    """The ``n`` longest paths, ties by their text: as text ``a:10>`` comes before ``a:1>``, as an array after it."""
+    rows = paths.select(F.array_join("path", ">").alias("path"), F.size("path").alias("length"))
+    return rows.orderBy(F.desc("length"), "path").limit(n)
 
 
 # ---------------------------------------------------------------- ranks and choices

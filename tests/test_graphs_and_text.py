@@ -45,6 +45,14 @@ def test_long_chains_are_followed_to_their_ends(spark):
     assert max(len(r.path) for r in best.collect()) == 10
 
 
+def test_longest_paths_are_ordered_by_their_text(spark):
+    from sinkwell.plans.views import longest_first
+
+    paths = spark.createDataFrame([(["a:1", "z"],), (["a:10", "z"],), (["b"],)], "path array<string>")
+    assert [tuple(r) for r in longest_first(paths, 2).collect()] == [("a:10>z", 2), ("a:1>z", 2)]
+    assert [r.path for r in longest_first(paths, 1).collect()] == ["a:10>z"]
+
+
 SEGMENTS = "feeds string, fed_by string, component string, path array<string>"
 
 
