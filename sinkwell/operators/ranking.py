@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -160,8 +162,8 @@ def actionable_pool(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("background") | (F.coalesce(any_real, F.lit(0)) == 0))
 
 
-#: Width of a bin of burdens, within which one task looks for a key's earlier rows.
-BURDEN_BIN = 1 / 256
+#: Ranks of a bin, within which one task looks for a key's earlier rows.
+RANK_BIN = 65_536
 
 
 def work_units(rows: DataFrame, packs: DataFrame) -> DataFrame:
@@ -170,39 +172,51 @@ def work_units(rows: DataFrame, packs: DataFrame) -> DataFrame:
     A unit is named by its head, the row that opened it, and units stand in the order of their heads.  So a row's unit is the least of the units of
     earlier rows that share a pack, and of the earlier heads with its pivot and shape; a row without either is a head.  This depends on earlier rows only, so
     it has one solution, and a round that computes it for all rows from the last round's answers settles the first rows first and changes
-    nothing once all are settled.  A round is a prefix minimum over the rows of each key, in two levels of burden bins, and a minimum over the keys of
+    nothing once all are settled.  A round is a prefix minimum over the rows of each key, in two levels of rank bins, and a minimum over the keys of
     each row: no task holds a file or a hot pack, and a pack passes a unit on to all its rows in one round.
+
+    Rows go by their rank and keys by a number.  A key with one row binds nothing and is left out; a row whose earlier rows are all settled is
+    settled too: the next round adds it to the ``low`` of the rows behind it and drops it, so rounds shrink.
     """
     none = F.lit(None).cast("string")
 
     def key(kind: str, x, y):
         return F.to_json(F.struct(F.col("file"), F.lit(kind).alias("kind"), x.alias("x"), y.alias("y")))
 
-    data = rows.select("file", "sink_id", "pivot", "shape", F.struct((-F.round("burden", 9)).alias("less"), F.col("seq").alias("seq")).alias("at"))
-    shared = data.join(packs.select("sink_id", "pack_key").distinct(), "sink_id").select("file", "at", key("pack", F.col("pack_key"), none).alias("key"), F.lit(False).alias("heads"))
-    pivots = data.filter("pivot is not null").select("file", "at", key("pivot", F.col("pivot"), F.col("shape")).alias("key"), F.lit(True).alias("heads"))
-    own = data.select("file", "at", none.alias("key"), F.lit(False).alias("heads"))
-    now = last = stored(shared.union(pivots).union(own).withColumn("unit", F.col("at")), "units")
-    bins = F.floor(F.col("at.less") / BURDEN_BIN)
+    data = rows.select("file", "sink_id", "pivot", "shape", "burden", "seq")
+    data = stored(global_rank(data, "burden", "at").withColumn("burden", F.round("burden", 9)), "ranked")
+    shared = data.join(packs.select("sink_id", "pack_key").distinct(), "sink_id").select("at", key("pack", F.col("pack_key"), none).alias("key"), F.lit(False).alias("heads"))
+    pivots = data.filter("pivot is not null").select("at", key("pivot", F.col("pivot"), F.col("shape")).alias("key"), F.lit(True).alias("heads"))
+    entries = stored(shared.union(pivots), "entries")
+    keys = entries.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key", F.monotonically_increasing_id().alias("k"))
+    keys = stored(keys, "keys")
+    at = F.col("at")
+    now = entries.join(keys, F.col("key") == F.col("_key")).select("at", "k", "heads", at.alias("low"), at.alias("unit"), F.lit(False).alias("settled"))
+    done = []
     while True:
-        keyed = now.filter("key is not null").withColumn("_bin", bins)
-        given = F.when(~F.col("heads") | (F.col("unit") == F.col("at")), F.col("unit"))
-        within = F.min(given).over(W.partitionBy("key", "_bin").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
-        lows = keyed.groupBy("key", "_bin").agg(F.min(given).alias("_low"))
-        lows = lows.select(F.col("key").alias("_key"), F.col("_bin").alias("_at"), F.min("_low").over(W.partitionBy("key").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)).alias("_low"))
-        met = keyed.withColumn("_within", within).join(lows, (F.col("key") == F.col("_key")) & (F.col("_bin") == F.col("_at")))
-        option = met.select("file", "at", "key", "heads", "unit", F.least("_within", "_low").alias("option"))
-        alone = now.filter("key is null").select("file", "at", "key", "heads", "unit", F.lit(None).cast(now.schema["unit"].dataType).alias("option"))
-        best = option.union(alone).groupBy("file", "at").agg(F.coalesce(F.min("option"), F.col("at")).alias("new"), F.min("unit").alias("old"), F.collect_list(F.struct("key", "heads")).alias("keys"))
-        nxt = stored(best.select("file", "at", F.col("new").alias("unit"), (F.col("new") != F.col("old")).alias("moved"), F.explode("keys").alias("k")).select("file", "at", "k.key", "k.heads", "unit", "moved"), "units")
-        release(last)
-        now, last = nxt.drop("moved"), nxt
-        if nxt.filter("moved").isEmpty():
+        given = F.when(~F.col("heads") | (F.col("unit") == at), F.col("unit"))
+        sums = {"any": given, "final": F.when(F.col("settled"), given), "open": (~F.col("settled")).cast("int")}
+        first = lambda n, v: F.max(v) if n == "open" else F.min(v)
+        keyed = now.withColumn("_bin", F.floor(at / RANK_BIN))
+        inner = W.partitionBy("k", "_bin").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+        outer = W.partitionBy("k").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+        tops = keyed.groupBy("k", "_bin").agg(*[first(n, v).alias(n) for n, v in sums.items()])
+        tops = tops.select(F.col("k").alias("_k"), F.col("_bin").alias("_at"), *[first(n, F.col(n)).over(outer).alias(f"_top_{n}") for n in sums])
+        met = keyed.select("*", *[first(n, v).over(inner).alias(f"_own_{n}") for n, v in sums.items()]).filter("not settled")
+        met = met.join(tops, (F.col("k") == F.col("_k")) & (F.col("_bin") == F.col("_at")))
+        low = F.least("low", "_own_final", "_top_final")
+        met = met.select("at", "unit", F.least(low, "_own_any", "_top_any").alias("option"), F.coalesce(F.greatest("_own_open", "_top_open"), F.lit(0)).alias("waits"), F.struct("k", "heads", low.alias("low")).alias("e"))
+        best = met.groupBy("at").agg(F.min("option").alias("unit"), F.first("unit").alias("old"), (F.max("waits") == 0).alias("settled"), F.collect_list("e").alias("e"))
+        best = stored(best.withColumn("moved", F.col("unit") != F.col("old")).drop("old"), "units")
+        done.append(best.filter("settled").select("at", "unit"))
+        if best.filter("not settled").isEmpty() or best.filter("moved").isEmpty():
+            done.append(best.filter("not settled").select("at", "unit"))
             break
-    units = now.filter("key is null").groupBy("file", "unit").agg(F.count("*").alias("sinks"))
-    heads = data.select(F.col("file").alias("_file"), F.col("at").alias("_at"), "shape")
-    out = units.join(heads, F.col("file").eqNullSafe(F.col("_file")) & (F.col("unit") == F.col("_at")))
-    return out.select("file", "unit.seq", (-F.col("unit.less")).alias("burden"), "sinks", "shape")
+        now = best.select("at", F.explode("e").alias("e"), "unit", "settled").select("at", "e.k", "e.heads", "e.low", "unit", "settled")
+    release(entries, keys)
+    found = reduce(DataFrame.union, done).select(at.alias("_row"), "unit")
+    units = data.join(found, at == F.col("_row"), "left").groupBy(F.coalesce("unit", at).alias("unit")).agg(F.count("*").alias("sinks"))
+    return units.join(data, F.col("unit") == at).select("file", "seq", "burden", "sinks", "shape")
 
 
 def _top_before(sites: DataFrame, value: Column, inner: W, name: str) -> DataFrame:

@@ -169,3 +169,22 @@ def test_staged_choice(spark):
         got = [tuple(r) for r in pick(table, total).select("route", "place", "stage", "item").collect()]
         assert sorted(got, key=str) == sorted(loop_staged(rows, last, caps, total), key=str)
     assert {tuple(r) for r in pick(table.limit(0), 4).select("route", "place", "item").collect()} == {("a", 1, 900), ("d", 1, 901)}
+
+
+def test_rounds_of_work_units_shrink(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(*r[:5], None, *r[6:]) for r in rows_of(rng, 200)]
+    packs = {i: {f"k{rng.randrange(150)}", "hot" if i % 9 == 0 else f"own{i}"} for i in range(200)}
+    table = spark.createDataFrame([(i, k) for i, v in packs.items() for k in v], "sink_id long, pack_key string")
+    sizes, before = [], R.stored
+
+    def counted(df, label):
+        out = before(df, label)
+        if label == "units":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "stored", counted)
+    monkeypatch.setattr(R, "RANK_BIN", 7, raising=False)
+    assert sorted((r.seq, r.sinks) for r in R.work_units(spark.createDataFrame(rows, SCHEMA), table).collect()) == loop_units(rows, packs)
+    assert len(sizes) > 2 and sizes[-1] < sizes[0] / 2
