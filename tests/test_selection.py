@@ -188,3 +188,26 @@ def test_rounds_of_work_units_shrink(spark, monkeypatch):
     monkeypatch.setattr(R, "RANK_BIN", 7, raising=False)
     assert sorted((r.seq, r.sinks) for r in R.work_units(spark.createDataFrame(rows, SCHEMA), table).collect()) == loop_units(rows, packs)
     assert len(sizes) > 2 and sizes[-1] < sizes[0] / 2
+
+
+def test_risks_need_no_roots_but_of_possible_mirrors(spark, small):
+    from sinkwell.operators import metrics as M
+
+    r = M.Report(spark, small)
+    whole = {x.pack_key: (x.verdict, x.risk) for x in r.pack_groups().collect()}
+    assert whole and {f"pack.{x.pack_key}": (x.verdict, x.risk) for x in r._risks().collect()} == whole
+    # a mirror object: its roots are counted, of two only one is a prop
+    rows = "pack_parts array<long>, label string, category string, defensive_operation_count long, representation_churn long, helper_hops long, reachable_sinks long, sink_id long"
+    sinks = spark.createDataFrame([([2, 4], "x={v}", "attribute", 0, 0, 0, 1, 1), ([2, 4], "x={v}", "attribute", 0, 0, 0, 1, 2), ([6, 7], "x={v}", "attribute", 0, 0, 0, 1, 3), ([6, 7], "x={v}", "attribute", 0, 0, 0, 1, 4)], rows)
+    r = M.Report(spark, small)
+    r.__dict__["_grounded"] = sinks
+    got = {x.pack_key: x.verdict for x in r._risks().collect()}
+    assert got[2] == got[4] == "mirror-object" and got[6] == got[7] == "cohesive-render-model"
+
+
+def test_texts_of_steps_come_back_from_their_number(spark, small):
+    from sinkwell.sources import star
+
+    got = {r.sink_id: [(s.kind, s.verdict, s.origin, s.guarded, s.guard_key, s.expression) for s in r.steps] for r in star.facts(spark, small).collect()}
+    for r in star.items(spark, small).orderBy("sink_id", "item").limit(200).collect():
+        assert (r.kind, r.verdict, r.origin, r.guarded, r.guard_key, r.expression) in got[r.sink_id]
