@@ -30,7 +30,7 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Data
     Edges are laid out once and every level is written, so a level never runs the ones before it again.  The search ends with an empty level, or
     after ``depth`` levels where one is given.
     """
-    hops = Layout(edges.select("src", "dst").distinct())
+    hops = Layout(edges.select("src", "dst"))
     seen = front = seeds.select("id").distinct().withColumn("distance", F.lit(0))
     for d in count(1):
         if depth is not None and d > depth:
@@ -45,12 +45,12 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Data
 def simple_paths(edges: DataFrame, ends: DataFrame, depth: int = MOST_HOPS) -> DataFrame:
     """GRF-6: all simple paths that lead to ``ends`` (id), backwards, as arrays in forward order, to the sources.
 
-    Edges are laid out once and every level is written.  ``truncated`` marks paths that were still open after ``depth`` hops.
+    Edges are laid out once and every level is written; repeated edges are one.  ``truncated`` marks paths that were still open after ``depth`` hops.
     """
-    into = Layout(edges.select(F.col("dst").alias("src"), F.col("src").alias("before")).distinct())
+    into = Layout(edges.select(F.col("dst").alias("src"), F.col("src").alias("before")))
     open_, done = ends.select(F.array("id").alias("path")), []
-    for _ in range(depth):
-        step = into.step(open_.withColumn("_head", F.element_at("path", 1)), "_head", "left")
+    for hop in range(depth):
+        step = into.step(open_.withColumn("_head", F.element_at("path", 1)), "_head", "left", crowded=hop > 0)
         step = stored(step.filter(F.col("before").isNull() | ~F.array_contains("path", F.col("before"))).select("path", "before"), "paths")
         done.append(step.filter("before is null").select("path", F.lit(False).alias("truncated")))
         open_ = step.filter("before is not null").select(F.concat(F.array("before"), "path").alias("path"))
@@ -155,7 +155,7 @@ def best_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     ``edges`` has src, dst and status.  Only the best path of each vertex goes on to the next level, until a level is empty.
     """
-    hops = Layout(edges.select("src", "dst", "status").distinct())
+    hops = Layout(edges.select("src", "dst", "status"))
     seen = front = seeds.select("id", F.array("id").alias("path"), F.lit(False).alias("partial"))
     while True:
         step = hops.step(front, "id")
