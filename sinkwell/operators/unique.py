@@ -30,19 +30,25 @@ def unique_search(edges: DataFrame, origins: DataFrame, ends: DataFrame, most_st
     tell whether there is one; then the origin is exhausted, never unique.
     """
     last = stored(ends.select(F.col("id").alias("_end")).filter("id is not null").distinct(), "ends")
-    rows = edges.select("src", "dst").filter("dst is not null").distinct().join(last, F.col("dst") == F.col("_end"), "left")
-    ways = Layout(rows.select("src", "dst", F.col("_end").isNotNull().alias("ends")))
-    first = origins.filter("id is not null").select(F.col("id").alias("origin"), "id").distinct()
-    front = first.select("origin", "id", F.array("id").alias("low"), F.array("id").alias("high"), F.lit(False).alias("more"), F.lit(1).cast("long").alias("used"))
+    known = edges.select("src", "dst").filter("dst is not null")
+    rows = known.join(last, F.col("dst") == F.col("_end"), "left")
+    ways = Layout(rows.select("src", "dst", F.col("_end").isNotNull().alias("ends")), starts=known.select("src"))
+    # of a path only what lies between its origin and its vertex is kept; ``high`` is null where it is ``low``
+    front = origins.filter("id is not null").select(F.col("id").alias("origin"), "id").distinct()
+    front = front.select("origin", "id", F.array().cast("array<string>").alias("low"), F.lit(None).cast("array<string>").alias("high"), F.lit(False).alias("more"), F.lit(1).cast("long").alias("used"))
     levels, lost = [], []
     for hop in range(most_hops + 1):
-        met = ways.step(front, "id")
-        kept = F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))
-        met = met.withColumn("_path", F.explode(kept)).withColumn("_met", F.array_contains("_path", F.col("dst")))
-        path = F.when(~F.col("_met"), F.concat("_path", F.array("dst")))
-        level = met.groupBy("origin", F.col("dst").alias("id"), "ends").agg(
-            F.min(path).alias("low"), F.max(path).alias("high"), (F.bool_or("more") | (F.count(path) > 2)).alias("more"), F.bool_or(F.col("_met") & F.col("more")).alias("unsure"), F.max("used").alias("used")
+        met = ways.step(front, "id", crowded=hop > 0)
+        kept = F.when(F.col("high").isNull(), F.array("low")).otherwise(F.array("low", "high"))
+        met = met.withColumn("_via", F.explode(kept)).withColumn("_met", F.col("dst").isin(F.col("origin"), F.col("id")) | F.array_contains("_via", F.col("dst")))
+        via = F.when(~F.col("_met"), F.array_append("_via", F.col("id")) if hop else F.col("_via"))
+        met = met.select("origin", F.col("dst").alias("id"), "ends", via.alias("_path"), "more", (F.col("_met") & F.col("more")).alias("_unsure"), "used")
+        if most_states is not None:
+            met = met.repartition("origin")  # the states of an origin are counted, so its rows are exchanged once for both
+        level = met.groupBy("origin", "id", "ends").agg(
+            F.min("_path").alias("low"), F.max("_path").alias("high"), (F.bool_or("more") | (F.count("_path") > 2)).alias("more"), F.bool_or("_unsure").alias("unsure"), F.max("used").alias("used")
         )
+        level = level.withColumn("high", F.when(F.col("high") != F.col("low"), F.col("high")))
         if most_states is not None:
             level = level.withColumn("used", F.col("used") + F.count_if(~F.col("ends") & F.col("low").isNotNull()).over(W.partitionBy("origin")))
         level = stored(level, "paths")
@@ -58,10 +64,10 @@ def unique_search(edges: DataFrame, origins: DataFrame, ends: DataFrame, most_st
         if front.isEmpty():
             break
     lost = stored(reduce(DataFrame.union, lost).distinct(), "lost")
-    found = reduce(DataFrame.union, levels).groupBy("origin", F.col("id").alias("end")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("more").alias("more"))
+    found = reduce(DataFrame.union, levels).groupBy("origin", F.col("id").alias("end")).agg(F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high"), F.bool_or("more").alias("more"))
     found = found.join(lost.select(F.col("origin").alias("_origin")), F.col("origin") == F.col("_origin"), "left")
     one = (F.col("low") == F.col("high")) & ~F.col("more")
     result = F.when(F.col("low") != F.col("high"), "several").when(F.col("_origin").isNotNull() | ~one, "exhausted").otherwise("unique")
-    out = found.withColumn("result", result).select("origin", "end", "result", F.when(F.col("result") == "unique", F.col("low")).alias("path"))
+    out = found.withColumn("result", result).select("origin", "end", "result", F.when(F.col("result") == "unique", F.concat(F.array("origin"), "low", F.array("end"))).alias("path"))
     none = F.lit(None).cast("string")
     return out.union(lost.select("origin", none, F.lit("exhausted"), F.lit(None).cast("array<string>")))

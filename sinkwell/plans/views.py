@@ -18,7 +18,7 @@ from ..sources import markup, star
 from ..sources.tables import table
 from .ranked import agg4, agg15, agg21, fan_out
 from .registry import query
-from .related import GRAPH, PATHS, agg18, order_paths, star_edges
+from .related import GRAPH, PATHS, agg18, order_paths, star_edges, star_rows
 from .star_sql import ALL, BASE
 
 
@@ -107,7 +107,7 @@ def grf13(spark, sf):
     """Orders that one path from all regions leads to: of all origins, one reaches it, and in one way."""
     ends = table(spark, sf, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"))
     regions = table(spark, sf, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"))
-    found = unique_search(star_edges(spark, sf), regions, ends, most_states=None)
+    found = unique_search(star_rows(spark, sf), regions, ends, most_states=None)
     one = found.groupBy(F.col("end").alias("id")).agg(F.min("path").alias("path"), F.count("*").alias("n"), F.bool_and(F.col("result") == "unique").alias("sole"))
     return one.filter("n = 1 and sole").select("id", F.array_join("path", ">").alias("path"))
 

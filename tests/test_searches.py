@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sinkwell.operators import layout, lineage, slices
+from sinkwell.operators import layout, lineage, slices, unique
 from sinkwell.operators.unfold import unfold
 from sinkwell.operators.unique import unique_search
 from sinkwell.sources import markup
@@ -293,6 +293,21 @@ def test_a_step_exchanges_the_front_only_and_splits_hot_starts(spark):
         ways.release()
 
 
+def test_rows_that_crowd_at_one_start_meet_its_edges_beside_the_buckets(spark):
+    edges = spark.createDataFrame([("busy", "x"), ("busy", "y"), ("busy", "x"), ("a", "b"), ("hot", "h")] + [("hot", f"h{i}") for i in range(60)], "src string, dst string")
+    front = spark.createDataFrame([("busy", i) for i in range(200)] + [("hot", i) for i in range(30)] + [("a", 0), ("end", 1)] + [("far", i) for i in range(90)], "at string, n int")
+    want = sorted([("busy", i, d) for i in range(200) for d in "xy"] + [("hot", i, h) for i in range(30) for h in ["h", *(f"h{j}" for j in range(60))]] + [("a", 0, "b")])
+    ways = layout.Layout(edges, 25)
+    taken = []
+    met = ways._met
+    ways._met = lambda rows, at, how: taken.append((at, {r[at] for r in rows.collect()})) or met(rows, at, how)
+    for how in ("inner", "left"):
+        rows = [(r["at"], r["n"], r["dst"]) for r in ways.step(front, "at", how, crowded=True).collect()]
+        assert sorted(r for r in rows if r[2]) == want
+        assert sorted(r[:2] for r in rows if not r[2]) == (sorted([("end", 1)] + [("far", i) for i in range(90)]) if how == "left" else [])
+    assert taken == [("_busy", {"busy", "hot", "far"}), ("at", {"a", "end"})] * 2
+
+
 # ---------------------------------------------------------------- unique paths
 
 
@@ -348,6 +363,21 @@ def test_unique_search_never_errs_on_graphs_with_cycles(spark, seed):
     assert any(r[0] == "unique" for r in got.values())
 
 
+def test_a_level_of_unique_paths_is_exchanged_once_after_its_step(spark, monkeypatch):
+    plans = []
+
+    def kept(df, label, stored=unique.stored):
+        if label == "paths":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(unique, "stored", kept)
+    got = search(spark, [("a", "b"), ("b", "e"), ("a", "c"), ("c", "d"), ("d", "f"), ("a", "b")], ["a"], ["e", "f"])
+    assert got == {("a", "e"): ("unique", ["a", "b", "e"]), ("a", "f"): ("unique", ["a", "c", "d", "f"])}
+    later = [p.count("Exchange hashpartitioning(origin") for p in plans[1:]]  # the first level also makes its origins distinct
+    assert later and set(later) == {1}
+
+
 # ---------------------------------------------------------------- unfolding
 
 
