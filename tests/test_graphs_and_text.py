@@ -180,3 +180,15 @@ def test_classifications(spark):
     assert value(spark, classify.queue(i(0), no, i(3), i(0), 3)) == "central-leverage"
     assert value(spark, classify.pack_risk(F.lit("relay-bag"))) == 12
     assert value(spark, classify.family(F.lit("viewBox"), F.lit("attribute"))) == "svg-shell"
+
+
+def test_affected_sinks_leave_out_rows_of_kinds_that_no_edge_has(spark):
+    from sinkwell.plans.related import affected_sinks
+
+    edges = spark.createDataFrame([("f", "a", "unknown"), ("g", "a", "unknown"), ("f", "b", "parameter"), ("f", "a", "unknown")], "file string, label string, kind string")
+    roots = spark.createDataFrame([(i, "b", "parameter") for i in (9, 3, 3, 5, 7)] + [(i, "a", "literal") for i in range(50)], "sink_id long, label string, kind string")
+    steps = spark.createDataFrame([(4, "f", "a", "unknown"), (4, "f", "a", "unknown"), (1, "g", "a", "unknown"), (2, "f", "a", "call")], "sink_id long, file string, label string, kind string")
+    out = affected_sinks(edges, roots, steps, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi") == 2  # before, all kinds were made distinct and ranked
+    assert sorted(map(tuple, out.collect())) == [("f", "a", "unknown", "4"), ("f", "b", "parameter", "3,5,7"), ("g", "a", "unknown", "1")]
