@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.stored import stored
+from ..sources.stored import release, stored, stored_by
 from .layout import Layout
 
 #: Relations that keep a field as it is.
@@ -24,6 +24,8 @@ KEEP = ("alias", "argument", "return", "result")
 SOLE_OUT, SOLE_IN = ("argument", "return"), ("result",)
 #: Segments of a stack.
 MOST_SEGMENTS = 16
+#: Tables of known states that a level is compared with.
+MOST_TABLES = 8
 #: Frontiers that are reported.  The bound of the reported contract.
 MOST_FRONTIERS = 256
 
@@ -65,18 +67,21 @@ def field_lineage(starts: DataFrame, relations: DataFrame, gaps: DataFrame | Non
     first, ``budget-exhausted`` where a wrap would go beyond the bound.  A state on an element with gaps goes no further and names the least ``gap``.
     Starts with a null field or id are none; repeated starts and relations are one.
     """
-    ways = Layout(judged(relations))
-    if gaps is not None:
+    ways = judged(relations)
+    first = starts.select(F.coalesce(F.concat(F.lit("="), F.col("origin").cast("string")), F.lit("")).alias("_origin"), "id", "field").filter("id is not null and field is not null")
+    if gaps is None:
+        none = F.lit(None).cast("string")
+        first, ways = first.withColumn("gap", none), ways.withColumn("gap", none)
+    else:  # the gap of an element comes with the relation that leads to it, so no level looks it up
         gaps = stored(gaps.filter("src is not null").groupBy(F.col("src").alias("_gap_src")).agg(F.min("id").alias("gap")), "gaps")
-
-    def held(states: DataFrame) -> DataFrame:
-        if gaps is None:
-            return states.withColumn("gap", F.lit(None).cast("string"))
-        return states.join(gaps, F.col("id") == F.col("_gap_src"), "left").drop("_gap_src")
-
-    keys = ["origin", "id", "field"]
-    first = starts.select(*keys).filter("id is not null and field is not null").distinct()
-    front = stored(held(first).withColumn("hop", F.lit(0)), "states")
+        first = first.join(gaps, F.col("id") == F.col("_gap_src"), "left").drop("_gap_src")
+        ways = ways.join(gaps, F.col("dst") == F.col("_gap_src"), "left").drop("_gap_src")
+    ways = Layout(ways.withColumnRenamed("gap", "dst_gap"), starts=relations.select("src"))
+
+    # states lie in buckets of their keys, which are never null: a level exchanges its own states only, however many are known
+    keys = ["_origin", "id", "field"]
+    n = int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    front = stored_by(first.withColumn("hop", F.lit(0)), keys, "states", distinct=True)
     seen = [front]
     kind, field, segment = F.col("kind"), F.col("field"), F.col("segment")
     after = (
@@ -89,18 +94,25 @@ def field_lineage(starts: DataFrame, relations: DataFrame, gaps: DataFrame | Non
         return ways.step(states.filter("gap is null"), "id").withColumn("_after", F.when(F.col("refused").isNull(), after))
 
     for hop in count(1):
-        new = moved(front).filter("_after is not null").select("origin", F.col("dst").alias("id"), F.col("_after").alias("field")).distinct()
-        known = reduce(DataFrame.union, [s.select(*(F.col(k).alias(f"_{k}") for k in keys)) for s in seen])
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "origin" else F.col(k) == F.col(f"_{k}") for k in keys]
-        front = stored(held(new.join(known, same, "left_anti")).withColumn("hop", F.lit(hop)), "states")
+        new = moved(front).filter("_after is not null").select("_origin", F.col("dst").alias("id"), F.col("_after").alias("field"), F.col("dst_gap").alias("gap"))
+        new = new.repartition(n, *keys).distinct()
+        for s in seen:
+            known = s.select(*(F.col(k).alias(f"_known_{k}") for k in keys))
+            new = new.join(known, [F.col(k) == F.col(f"_known_{k}") for k in keys], "left_anti")
+        front = stored_by(new.withColumn("hop", F.lit(hop)), keys, "states", dealt=True)
         if front.isEmpty():
             break
+        if len(seen) == MOST_TABLES:  # later levels are small; they become one table
+            small = seen[MOST_TABLES // 2 :]
+            seen[MOST_TABLES // 2 :] = [stored_by(reduce(DataFrame.union, small), keys, "states")]
+            release(*small[:-1])  # the last one is the front before this
         seen.append(front)
+    own = F.when(F.col("_origin") != "", F.expr("substring(_origin, 2)")).cast(starts.schema["origin"].dataType).alias("origin")
     states = reduce(DataFrame.union, seen)
     stop = F.coalesce("refused", F.when(kind == "wrap", "budget-exhausted").otherwise("field-mismatch"))
-    ended = moved(states).filter("_after is null").select(*keys, stop.alias("stop"), F.col("dst").alias("target"), F.lit(None).cast("string").alias("gap"), "hop")
+    ended = moved(states).filter("_after is null").select(own, "id", "field", stop.alias("stop"), F.col("dst").alias("target"), F.lit(None).cast("string").alias("gap"), "hop")
     none = F.lit(None).cast("string")
-    return states.select(*keys, none.alias("stop"), none.alias("target"), "gap", "hop").union(ended.distinct())
+    return states.select(own, "id", "field", none.alias("stop"), none.alias("target"), "gap", "hop").union(ended.distinct())
 
 
 def frontiers(lineage: DataFrame, most: int = MOST_FRONTIERS, by: str | None = None) -> DataFrame:

@@ -101,6 +101,25 @@ def test_lineage_equals_a_plain_loop_on_random_graphs(spark, seed):
     assert {r.origin for r in per} == {r[0] for r in stopped} and len(per) == len({r[0] for r in stopped})
 
 
+def test_a_level_of_lineage_exchanges_its_own_states_only(spark, monkeypatch):
+    plans = []
+
+    def kept(df, keys, label, stored_by=lineage.stored_by, **how):
+        if how.get("dealt"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored_by(df, keys, label, **how)
+
+    monkeypatch.setattr(lineage, "stored_by", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        starts = [("s0", "s0", ["x"]), (None, "s0", ["x"]), (None, "s0", ["x"])]
+        _, got = lineage_rows(spark, starts, [(f"s{i}", f"s{(i + 1) % 11}", "alias", None, "proven") for i in range(11)])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 22  # more levels than tables of known states, which become one
+    assert len(plans) == 11 and all(p.count("Exchange") == 2 for p in plans)
+
+
 def test_lineage_without_rows(spark):
     assert lineage_rows(spark, [("o", "a", ["x"])], [])[1] == {("o", "a", ("x",), None, None, None, 0)}
     assert lineage_rows(spark, [(None, None, None)], [])[1] == set()
