@@ -539,6 +539,16 @@ def test_language_id_never_sees_held_out_rows(spark, small):
     assert "zz" not in langid.fit(spoiled).langs
 
 
+def test_language_fit_leaves_vectors_of_texts_to_the_executors(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    here, cluster = [], langid._cluster
+    monkeypatch.setattr(langid, "_cluster", lambda x, k: here.append(len(x)) or cluster(x, k))
+    model = langid.fit(docs)
+    assert not here  # of the driver; tasks have a copy of the module
+    assert model.langs == ["de", "en", "es", "fr"] and len(model.centroids) == len(model.owner) == 4 * langid.CENTROIDS
+    assert np.allclose((model.centroids**2).sum(axis=1), 1, atol=1e-4) and (np.diff(model.floor) >= 0).all()
+
+
 def test_language_id_messy_and_rejection(spark, small):
     rng = random.Random(1)
     docs = spark.read.parquet(f"{small}/documents.parquet")
