@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -232,7 +233,8 @@ def nested_removed(sites: DataFrame) -> DataFrame:
     """WIN-12: per file drop a site whose start lies inside an earlier kept site (file, start, end).
 
     A site that starts beyond the ends of all before it is kept in any case and opens a part of its own; what starts inside of an
-    opener is dropped in any case.  Only the rest of a part, sites that overlap in chains, goes through the ordered loop.
+    opener is dropped in any case.  Only the rest of a part, sites that overlap in chains, goes through the ordered loop; parts are small and many, so
+    those that open in one bin of a file go through it together.
     """
     bins = W.partitionBy("file", "_bin")
     rows = sites.withColumn("_bin", F.floor(F.col("start") / SITE_BIN))
@@ -242,13 +244,17 @@ def nested_removed(sites: DataFrame) -> DataFrame:
     rows = _top_before(rows, opener, bins.orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow), "_part")
     rows = rows.filter(F.col("_opens") | (F.col("start") > F.col("_part.end"))).select(*sites.columns, F.col("_part.start").alias("_part"))
 
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop(columns="_part").sort_values(["start", "end"], ascending=[True, False], kind="stable")
-        kept, reach = [], -1
-        for r in g.itertuples(index=False):
-            if r.start > reach:
-                kept.append(r)
-                reach = r.end
-        return pd.DataFrame(kept, columns=g.columns)
+    columns = sites.columns
 
-    return rows.groupBy("file", "_part").applyInPandas(keep, sites.schema)
+    def keep(g: pa.Table) -> pa.Table:
+        g = g.sort_by([("start", "ascending"), ("end", "descending")])
+        kept, part, reach = [], None, -1
+        for i, (here, start, end) in enumerate(zip(*(g[c].to_pylist() for c in ("_part", "start", "end")), strict=True)):
+            if here != part:
+                part, reach = here, -1
+            if start > reach:
+                kept.append(i)
+                reach = float("inf") if end is None else end
+        return g.select(columns).take(kept)
+
+    return rows.groupBy("file", F.floor(F.col("_part") / SITE_BIN).alias("_home")).applyInArrow(keep, sites.schema)

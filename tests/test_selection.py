@@ -132,6 +132,20 @@ def test_nested_sites_over_many_bins(spark, monkeypatch):
     assert not R.nested_removed(spark.createDataFrame([], "file string, start long, end long")).collect()
 
 
+def test_parts_of_a_bin_are_compared_together(spark, monkeypatch):
+    sites = [("f", a, a + 3) for a in range(0, 3000, 2)] + [("f", a, a + 6) for a in range(3000, 6000, 10)] + [("f", 7000, None), ("f", 7001, 7003), (None, 5, 6)]
+    frame, grouped = spark.createDataFrame(sites, "file string, start long, end long"), []
+    group = type(frame).groupBy
+    monkeypatch.setattr(type(frame), "groupBy", lambda self, *by: grouped.append((self, by)) or group(self, *by))
+    got = R.nested_removed(frame)
+    monkeypatch.undo()
+    rows, by = grouped[-1]
+    assert rows.select("_part").distinct().count() > 300 and rows.select(*by).distinct().count() == 2
+    order = lambda s: (s[0] or "", s[1])
+    want = [*loop_nested([s for s in sites if s[2] is not None and s[1] < 7000]), ("f", 7000, None), ("f", 7001, 7003)]
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+
+
 def test_diverse_with_many_files_and_pivots(spark):
     rng = random.Random(8)
     rows = [(i, i, f"f{rng.randrange(60)}", "x", f"s{rng.randrange(2)}", rng.choice([None] + [f"p{j}" for j in range(40)]), rng.randrange(25) / 25, "q", False) for i in range(900)]
