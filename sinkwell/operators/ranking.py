@@ -163,7 +163,7 @@ def actionable_pool(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("background") | (F.coalesce(any_real, F.lit(0)) == 0))
 
 
-#: Ranks of a bin, within which one task looks for a key's earlier rows.
+#: Ranks of a bin, within which one task looks for a key's earlier rows; a key with no more rows is one bin.
 RANK_BIN = 65_536
 
 
@@ -173,11 +173,12 @@ def work_units(rows: DataFrame, packs: DataFrame) -> DataFrame:
     A unit is named by its head, the row that opened it, and units stand in the order of their heads.  So a row's unit is the least of the units of
     earlier rows that share a pack, and of the earlier heads with its pivot and shape; a row without either is a head.  This depends on earlier rows only, so
     it has one solution, and a round that computes it for all rows from the last round's answers settles the first rows first and changes
-    nothing once all are settled.  A round is a prefix minimum over the rows of each key, in two levels of rank bins, and a minimum over the keys of
-    each row: no task holds a file or a hot pack, and a pack passes a unit on to all its rows in one round.
+    nothing once all are settled.  A round is a prefix minimum over the rows of each key, in two levels of rank bins where a key has many, and a minimum over
+    the keys of each row: no task holds a file or a hot pack, and a pack passes a unit on to all its rows in one round.
 
     Rows go by their rank and keys by a number.  A key with one row binds nothing and is left out; a row whose earlier rows are all settled is
-    settled too: the next round adds it to the ``low`` of the rows behind it and drops it, so rounds shrink.
+    settled too: the next round adds it to the ``low`` of the rows behind it and drops it, so rounds shrink.  Of a round only the units of its
+    settled rows stay when the next one is there.
     """
     none = F.lit(None).cast("string")
 
@@ -186,35 +187,43 @@ def work_units(rows: DataFrame, packs: DataFrame) -> DataFrame:
 
     data = rows.select("file", "sink_id", "pivot", "shape", "burden", "seq")
     data = stored(global_rank(data, "burden", "at").withColumn("burden", F.round("burden", 9)), "ranked")
-    shared = data.join(packs.select("sink_id", "pack_key").distinct(), "sink_id").select("at", key("pack", F.col("pack_key"), none).alias("key"), F.lit(False).alias("heads"))
+    sets = packs.groupBy(F.col("sink_id").alias("_sink")).agg(F.collect_set("pack_key").alias("_packs"))
+    shared = data.join(sets, F.col("sink_id") == F.col("_sink")).select("at", "file", F.explode("_packs").alias("_pack")).select("at", key("pack", F.col("_pack"), none).alias("key"), F.lit(False).alias("heads"))
     pivots = data.filter("pivot is not null").select("at", key("pivot", F.col("pivot"), F.col("shape")).alias("key"), F.lit(True).alias("heads"))
     entries = stored(shared.union(pivots), "entries")
-    keys = entries.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key", F.monotonically_increasing_id().alias("k"))
+    keys = entries.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key", F.monotonically_increasing_id().alias("k"), (F.col("_n") > RANK_BIN).alias("hot"))
     keys = stored(keys, "keys")
+    hot = not keys.filter("hot").isEmpty()
     at = F.col("at")
-    now = entries.join(keys, F.col("key") == F.col("_key")).select("at", "k", "heads", at.alias("low"), at.alias("unit"), F.lit(False).alias("settled"))
-    done = []
+    bin_ = F.when(F.col("hot"), F.floor(at / RANK_BIN)).alias("bin")
+    now = entries.join(keys, F.col("key") == F.col("_key")).select("at", "k", bin_, "heads", at.alias("low"), at.alias("unit"), F.lit(False).alias("settled"))
+    best, done = None, []
     while True:
         given = F.when(~F.col("heads") | (F.col("unit") == at), F.col("unit"))
         sums = {"any": given, "final": F.when(F.col("settled"), given), "open": (~F.col("settled")).cast("int")}
         first = lambda n, v: F.max(v) if n == "open" else F.min(v)
-        keyed = now.withColumn("_bin", F.floor(at / RANK_BIN))
-        inner = W.partitionBy("k", "_bin").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-        outer = W.partitionBy("k").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-        tops = keyed.groupBy("k", "_bin").agg(*[first(n, v).alias(n) for n, v in sums.items()])
-        tops = tops.select(F.col("k").alias("_k"), F.col("_bin").alias("_at"), *[first(n, F.col(n)).over(outer).alias(f"_top_{n}") for n in sums])
-        met = keyed.select("*", *[first(n, v).over(inner).alias(f"_own_{n}") for n, v in sums.items()]).filter("not settled")
-        met = met.join(tops, (F.col("k") == F.col("_k")) & (F.col("_bin") == F.col("_at")))
-        low = F.least("low", "_own_final", "_top_final")
-        met = met.select("at", "unit", F.least(low, "_own_any", "_top_any").alias("option"), F.coalesce(F.greatest("_own_open", "_top_open"), F.lit(0)).alias("waits"), F.struct("k", "heads", low.alias("low")).alias("e"))
-        best = met.groupBy("at").agg(F.min("option").alias("unit"), F.first("unit").alias("old"), (F.max("waits") == 0).alias("settled"), F.collect_list("e").alias("e"))
+        inner = W.partitionBy("k", "bin").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+        met = now.select("*", *[first(n, v).over(inner).alias(f"_own_{n}") for n, v in sums.items()]).filter("not settled")
+        parts = ["own"]
+        if hot:
+            outer = W.partitionBy("k").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+            tops = now.filter("bin is not null").groupBy("k", "bin").agg(*[first(n, v).alias(n) for n, v in sums.items()])
+            tops = tops.select(F.col("k").alias("_k"), F.col("bin").alias("_at"), *[first(n, F.col(n)).over(outer).alias(f"_top_{n}") for n in sums])
+            met = met.join(tops, (F.col("k") == F.col("_k")) & (F.col("bin") == F.col("_at")), "left")
+            parts.append("top")
+        low = F.least("low", *[f"_{p}_final" for p in parts])
+        waits = F.greatest(F.lit(0), *[f"_{p}_open" for p in parts])
+        met = met.select("at", "unit", F.least(low, *[f"_{p}_any" for p in parts]).alias("option"), waits.alias("waits"), F.struct("k", "bin", "heads", low.alias("low")).alias("e"))
+        before, best = best, met.groupBy("at").agg(F.min("option").alias("unit"), F.first("unit").alias("old"), (F.max("waits") == 0).alias("settled"), F.collect_list("e").alias("e"))
         best = stored(best.withColumn("moved", F.col("unit") != F.col("old")).drop("old"), "units")
-        done.append(best.filter("settled").select("at", "unit"))
-        if best.filter("not settled").isEmpty() or best.filter("moved").isEmpty():
-            done.append(best.filter("not settled").select("at", "unit"))
+        if before is not None:
+            release(before)
+        last = best.filter("not settled").isEmpty() or best.filter("moved").isEmpty()
+        done.append(stored((best if last else best.filter("settled")).select("at", "unit"), "settled"))
+        if last:
             break
-        now = best.select("at", F.explode("e").alias("e"), "unit", "settled").select("at", "e.k", "e.heads", "e.low", "unit", "settled")
-    release(entries, keys)
+        now = best.select("at", F.explode("e").alias("e"), "unit", "settled").select("at", "e.k", "e.bin", "e.heads", "e.low", "unit", "settled")
+    release(entries, keys, best)
     found = reduce(DataFrame.union, done).select(at.alias("_row"), "unit")
     units = data.join(found, at == F.col("_row"), "left").groupBy(F.coalesce("unit", at).alias("unit")).agg(F.count("*").alias("sinks"))
     return units.join(data, F.col("unit") == at).select("file", "seq", "burden", "sinks", "shape")

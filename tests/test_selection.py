@@ -204,6 +204,52 @@ def test_rounds_of_work_units_shrink(spark, monkeypatch):
     assert len(sizes) > 2 and sizes[-1] < sizes[0] / 2
 
 
+def test_rounds_of_work_units_leave_only_what_is_settled(spark, monkeypatch):
+    from pathlib import Path
+
+    from sinkwell.sources.stored import run_dir
+
+    rng = random.Random(6)
+    rows = rows_of(rng, 200)
+    packs = {i: {f"k{rng.randrange(90)}", "hot" if i % 4 == 0 else f"own{i}"} for i in range(200)}
+    table = spark.createDataFrame([(i, k) for i, v in packs.items() for k in [*v, *v]], "sink_id long, pack_key string")
+    for most in (3, 1000):  # with keys that are dealt into bins, and without
+        monkeypatch.setattr(R, "RANK_BIN", most)
+        out, before = R.work_units(spark.createDataFrame(rows, SCHEMA), table), R.stored(spark.range(1), "here")
+        assert sorted((r.seq, r.sinks) for r in out.collect()) == loop_units(rows, packs)
+        left = [p.name for p in Path(run_dir(spark)).iterdir()]
+        assert any(n.startswith("here-") for n in left) and not [n for n in left if n.startswith(("units-", "entries-", "keys-"))]
+        R.release(before)
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from sinkwell.sources import stored as S
+
+    files = lambda: {f.getPath() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if "shuffle" in f.getName()}
+    before, kept = files(), spark.conf.get(S.CLEANUP, None)
+    out = R.stored(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n")).repartition(3, "n"), "counts")
+    end = time.time() + 30
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(S.CLEANUP, None) == kept and out.count() == 1000
+    R.release(out)
+
+
+def test_a_report_in_the_shared_folder_equals_the_persisted_one(spark, small):
+    from sinkwell.operators import metrics as M
+    from sinkwell.plans.ranked import pivots
+
+    kept, shared = M.Report(spark, small), M.Report(spark, small, shared=True)
+    want = {tuple(r) for r in kept.ranked().select("sink_id", "burden", "shape").join(pivots(kept), "sink_id", "left").collect()}
+    got = {tuple(r) for r in shared.ranked().select("sink_id", "burden", "shape").join(shared.parts().select("sink_id", "pivot"), "sink_id", "left").collect()}
+    packs = {(r.sink_id, f"pack.{r.p}") for r in shared.parts().select("sink_id", F.explode("pack_parts").alias("p")).collect()}
+    assert got == want and packs == {tuple(r) for r in kept.packs.collect()}
+    shared.close()
+    assert not [k for k in shared.__dict__ if k in ("_counted", "_grounded", "_sums", "_packed")]
+
+
 def test_risks_need_no_roots_but_of_possible_mirrors(spark, small):
     from sinkwell.operators import metrics as M
 
